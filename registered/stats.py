@@ -18,15 +18,15 @@ def group_aggregate(spark, d):
     return rounded(tk.group_by_aggregate(open_orders, ["o_orderpriority"], {"o_totalprice": ["count", "mean", "median", "std"]}))
 
 
-@query("group_aggregate_all", f"""SELECT user_id, event_type, count(value)::BIGINT AS value_count, round(avg(value), 7) AS value_mean,
-  round(quantile_cont(value, 0.5), 7) AS value_median, round(coalesce(sum(value), 0), 7) AS value_sum, min(value) AS value_min,
-  max(value) AS value_max, round(stddev_samp(value), 7) AS value_std, round(var_samp(value), 7) AS value_var,
+@query("group_aggregate_all", f"""SELECT user_id, event_type, count(value)::BIGINT AS value_count, round(avg(value), 9) AS value_mean,
+  round(quantile_cont(value, 0.5), 9) AS value_median, round(coalesce(sum(value), 0), 9) AS value_sum, min(value) AS value_min,
+  max(value) AS value_max, round(stddev_samp(value), 9) AS value_std, round(var_samp(value), 9) AS value_var,
   arg_min(value, event_id) FILTER (WHERE value IS NOT NULL) AS value_first,
   arg_max(value, event_id) FILTER (WHERE value IS NOT NULL) AS value_last, count(DISTINCT value)::BIGINT AS value_nunique
   FROM {HOLED} WHERE event_type IS NOT NULL GROUP BY 1, 2""")
 def group_aggregate_all(spark, d):
     functions = ["count", "mean", "median", "sum", "min", "max", "std", "var", "first", "last", "nunique"]
-    return rounded(tk.group_by_aggregate(holed_events(spark, d), ["user_id", "event_type"], {"value": functions}), 7)
+    return rounded(tk.group_by_aggregate(holed_events(spark, d), ["user_id", "event_type"], {"value": functions}), 9)
 
 
 @query("group_medians_wide", """SELECT l_returnflag, quantile_cont(l_extendedprice, 0.5) AS l_extendedprice_median,

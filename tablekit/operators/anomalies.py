@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..errors import InvalidParameter
-from ..plans.columns import INDEX, as_double, data_columns, missing, numeric_columns, ref, require, text_columns
+from ..plans.columns import INDEX, as_double, beyond, data_columns, missing, numeric_columns, ref, require, text_columns
 from ..plans.metrics import moments, null_counts, value_histogram
 from ..plans.order import BLOCK_BITS
 from ..plans.quantiles import quantiles, scaled_bounds
@@ -41,7 +41,7 @@ def _statistical_rules(df, names, sensitivity):
         if bounds is None:
             continue
         c, m = as_double(df, name), facts[name]
-        hit = (c < bounds[0]) | (c > bounds[1])
+        hit = beyond(df, name, *bounds[:2])[1]
         if m["std"] > 0:
             hit = hit | (F.abs((c - F.lit(m["mean"])) / F.lit(m["std"])) > F.lit(z_limit))
         rules[name] = (hit, m["mean"], m["std"], bounds[0], bounds[1])

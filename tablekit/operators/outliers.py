@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..errors import InvalidParameter
-from ..plans.columns import INDEX, as_double, numeric_columns, require
+from ..plans.columns import INDEX, as_double, beyond, numeric_columns, require
 from ..plans.metrics import moments, per_column
 from ..plans.quantiles import quantiles, scaled_bounds
 
@@ -15,8 +15,8 @@ METHODS = ("iqr", "zscore")
 MAX_CAP = 1000  # up to this Spark limits each group before the shuffle
 
 
-def _rules(df: DataFrame, names: Sequence[str], method: str, threshold: float) -> dict[str, tuple[Column, Column]]:
-    """Per column (is outlier, score). The statistics are literals, so the quartile rule reaches the scan."""
+def _rules(df: DataFrame, names: Sequence[str], method: str, threshold: float) -> dict[str, tuple[Column, Column, Column]]:
+    """Per column (candidate, is outlier, score); the candidate condition can be pushed into the scan."""
     rules = {}
     if method == "iqr":
         for name, q in quantiles(df, names, (0.25, 0.75)).items():
@@ -24,12 +24,13 @@ def _rules(df: DataFrame, names: Sequence[str], method: str, threshold: float) -
             if bounds:
                 c, (low, high, iqr) = as_double(df, name), bounds
                 distance = F.when(c < low, F.lit(low) - c).otherwise(c - F.lit(high))
-                rules[name] = ((c < low) | (c > high), distance / F.lit(iqr) if iqr > 0 else F.lit(0.0))
+                rules[name] = (*beyond(df, name, low, high), distance / F.lit(iqr) if iqr > 0 else F.lit(0.0))
     else:
         for name, m in moments(df, names).items():
             if m["std"] > 0:
                 score = F.abs((as_double(df, name) - F.lit(m["mean"])) / F.lit(m["std"]))
-                rules[name] = (score > F.lit(float(threshold)), score)
+                hit = score > F.lit(float(threshold))
+                rules[name] = (hit, hit, score)
     return rules
 
 
@@ -55,13 +56,13 @@ def detect_outliers(
     rules = _rules(df, names, method, threshold)
     hits = [
         F.when(hit, F.struct(F.lit(name).alias("column"), as_double(df, name).alias("value"), score.alias("score")))
-        for name, (hit, score) in rules.items()
+        for name, (_, hit, score) in rules.items()
     ]
     if not hits:
         return df.sparkSession.createDataFrame([], f"column string, `{index}` bigint, value double, score double")
     any_hit = None
-    for hit, _ in rules.values():
-        any_hit = hit if any_hit is None else any_hit | hit
+    for candidate, _, _ in rules.values():
+        any_hit = candidate if any_hit is None else any_hit | candidate
     found = (
         df.filter(any_hit)
         .select(F.col(index), F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("x"))
@@ -86,5 +87,5 @@ def outlier_counts(
     names = _numeric(df, columns, index, method)
     rules = _rules(df, names, method, threshold)
     return per_column(df, names, lambda name: {
-        "outliers": F.count_if(rules[name][0]) if name in rules else F.count_if(F.lit(False))
+        "outliers": F.count_if(rules[name][1]) if name in rules else F.count_if(F.lit(False))
     })

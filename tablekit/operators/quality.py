@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.columns import (
-    DATETIME, INDEX, as_double, data_columns, datetime_columns, missing, numeric_columns, ref, text_columns, type_of,
+    DATETIME, INDEX, beyond, data_columns, datetime_columns, missing, numeric_columns, ref, text_columns, type_of,
 )
 from ..plans.metrics import COLUMNS_PER_SLICE, is_null_slot, value_histogram
 from ..plans.quantiles import quantiles, scaled_bounds
@@ -88,7 +88,7 @@ def _facts(df: DataFrame, rules: Sequence[Rule], index: str) -> dict:
         elif isinstance(rule, Outliers):
             for c, q in quantiles(df, numeric, (0.25, 0.75)).items():
                 bounds = scaled_bounds(q, OUTLIER_FACTOR)
-                outside = (as_double(df, c) < bounds[0]) | (as_double(df, c) > bounds[1]) if bounds else F.lit(False)
+                outside = beyond(df, c, *bounds[:2])[1] if bounds else F.lit(False)
                 wanted["outliers", c] = F.count_if(outside)
         elif isinstance(rule, Consistency) and _date_pair(df, rule, index):
             a, b = _date_pair(df, rule, index)

@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..errors import InvalidParameter
 from ..plans.columns import ref, require, type_of, value_of
+from ..plans.joins import lookup_join
+from ..plans.store import keep
 from .project import literal_fits
 
 MAX_INLINE_MAPPING = 1000
+BROADCAST_ROWS = 500_000
 
 
 def replace_values(df: DataFrame, column: str, pattern: object, replacement: object) -> DataFrame:
@@ -20,24 +23,36 @@ def replace_values(df: DataFrame, column: str, pattern: object, replacement: obj
     return df.withColumn(column, F.when(hit, F.lit(replacement)).otherwise(c))
 
 
-def map_values(df: DataFrame, column: str, mapping: Mapping | DataFrame) -> DataFrame:
+def map_values(df: DataFrame, column: str, mapping: Mapping | DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Look every cell up; a value that is not mapped becomes null.
 
     A dictionary becomes one map literal. A larger mapping comes as a DataFrame with columns ``key`` (unique) and
-    ``value``, and the join strategy is left to Spark, which broadcasts it only while its size allows.
+    ``value``: broadcast up to ``broadcast_rows`` rows (counted), above that joined with hot values spread.
     """
     c = ref(*require(df, [column]))
     if isinstance(mapping, DataFrame):
         require(mapping, ["key", "value"])
         table = mapping.select(F.col("key").alias("__key__"), F.col("value").alias("__value__"))
-        joined = df.join(table, c == F.col("__key__"), "left")
-        return joined.withColumn(column, F.col("__value__")).drop("__key__", "__value__")
+        if table.limit(broadcast_rows + 1).count() <= broadcast_rows:
+            joined = df.join(F.broadcast(table), c == F.col("__key__"), "left")
+        else:
+            joined = _map_by_shuffle(df.withColumn("__key__", c), table)
+        return joined.withColumn(column, F.col("__value__")).select(*[ref(x) for x in df.columns])
     if not mapping or len(mapping) > MAX_INLINE_MAPPING:
         raise InvalidParameter("mapping", f"{len(mapping)} entries", f"1 to {MAX_INLINE_MAPPING}, or a DataFrame")
     literal = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
     return df.withColumn(column, F.try_element_at(literal, c))
 
 
+def _map_by_shuffle(df: DataFrame, table: DataFrame) -> DataFrame:
+    """Resolve each distinct value once, then join the answers back by value. Null maps to null without a join."""
+    values = df.filter("__key__ IS NOT NULL").groupBy("__key__").agg(F.count(F.lit(1)).alias("__n__"))
+    resolved = keep(values.join(table, "__key__", "left"))
+    known = lookup_join(df.filter("__key__ IS NOT NULL"), resolved, ["__key__"], "__n__").drop("__n__")
+    empty = df.filter("__key__ IS NULL").withColumn("__value__", F.lit(None).cast(table.schema["__value__"].dataType))
+    return known.unionByName(empty)
+
+
 def apply_expression(df: DataFrame, column: str, expression: str | Callable[[Column], Column]) -> DataFrame:
     """Rewrite a column by a function of it, or by a SQL expression over the table's columns."""
     c = ref(*require(df, [column]))

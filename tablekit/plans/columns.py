@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -100,3 +101,17 @@ def nullify_nan(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 def as_double(df: DataFrame, name: str) -> Column:
     c = value_of(df, name)
     return c if isinstance(type_of(df, name), T.DoubleType) else c.cast("double")
+
+
+def beyond(df: DataFrame, name: str, low: float, high: float) -> tuple[Column, Column]:
+    """(candidate, exact): values below ``low`` or above ``high``.
+
+    The candidate compares the bare column with literals of its own type, which the scan can push down; it also lets
+    NaN through, which the exact condition does not.
+    """
+    c, dtype = ref(name), type_of(df, name)
+    if isinstance(dtype, INTEGRAL) and max(abs(low), abs(high)) < 2**53:
+        candidate = (c < F.lit(math.ceil(low))) | (c > F.lit(math.floor(high)))
+        return candidate, candidate
+    candidate = (c < F.lit(low)) | (c > F.lit(high))
+    return candidate, candidate & ~F.isnan(c) if isinstance(dtype, FLOATING) else candidate

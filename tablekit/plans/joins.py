@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 # A key is hot when it holds at least this share of the rows, so there are at most 1/share hot keys.
 HOT_SHARE = 1 / 1000
-_HOT, _SALT = "__hot__", "__salt__"
+_COPIES, _SALT = "__copies__", "__salt__"
 
 
 def lookup_join(
@@ -16,21 +16,22 @@ def lookup_join(
 ) -> DataFrame:
     """Join ``big`` to ``small`` (unique on ``on``), where ``weight`` counts the rows of ``big`` per key.
 
-    Rows of hot keys are spread over salts and the hot rows of ``small`` are copied once per salt; all other keys
-    keep salt 0. The hot keys are found by a broadcast join whose size is bounded by 1/HOT_SHARE whatever the data.
+    A hot key gets as many salts as its share of the shuffle partitions; its rows in ``big`` are spread over them and
+    its row in ``small`` is copied to each, so all copies together stay below partitions + 1/HOT_SHARE. Other keys
+    keep salt 0. The hot keys reach ``big`` by a broadcast join, bounded by 1/HOT_SHARE rows whatever the data.
     Rows of ``big`` must differ (aggregate them, or carry the row index): the salt is a hash of the row, so that a
     task that runs twice gives the same result. ``how`` is ``inner`` or ``left_semi``; keys must not be null.
     """
     on = list(on)
-    total = small.agg(F.sum(weight)).first()[0] or 0
-    limit = F.lit(float(total) * HOT_SHARE)
-    salts = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot_keys = small.filter(F.col(weight) >= limit).select(*on, F.lit(True).alias(_HOT))
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salts)).cast("int")
+    total = float(small.agg(F.sum(weight)).first()[0] or 0)
+    partitions = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = F.col(weight) >= F.lit(total * HOT_SHARE)
+    copies = F.greatest(F.lit(1), F.ceil(F.col(weight) * F.lit(partitions) / F.lit(total or 1.0))).cast("int")
+    hot_keys = small.filter(hot).select(*on, copies.alias(_COPIES))
+    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in big.columns])
     left = (
         big.join(F.broadcast(hot_keys), on, "left")
-        .withColumn(_SALT, F.when(F.col(_HOT), spread).otherwise(F.lit(0))).drop(_HOT)
+        .withColumn(_SALT, F.coalesce(F.pmod(row_hash, F.col(_COPIES)).cast("int"), F.lit(0))).drop(_COPIES)
     )
-    copies = F.when(F.col(weight) >= limit, F.lit(salts - 1)).otherwise(F.lit(0))
-    right = small.withColumn(_SALT, F.explode(F.sequence(F.lit(0), copies)))
+    right = small.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.when(hot, copies - 1).otherwise(F.lit(0)))))
     return left.join(right, [*on, _SALT], how).drop(_SALT)
