@@ -11,6 +11,7 @@ from ..plans.columns import INDEX, as_double, data_columns, missing, numeric_col
 from ..plans.metrics import most_frequent, value_histogram
 from ..plans.order import BLOCK, BLOCK_BITS, block_of, index_span, last_before
 from ..plans.quantiles import quantiles
+from ..plans.store import keep
 from .project import literal_fits
 
 STRATEGIES = ("drop", "fill", "forward", "backward", "mean", "median", "mode")
@@ -109,6 +110,8 @@ def _neighbour(df, targets, index, backward, bits):
         ends = rows.groupBy(BLOCK).agg(
             *[F.max_by(k, F.when(F.col(k).isNotNull(), at)).alias(k) for k in names]
         )
+        if last_block >> bits:
+            ends = keep(ends)  # read several times; one row per block
         carried = last_before(ends, BLOCK, list(names), last_block, bits)
         carried = carried.withColumnsRenamed({k: f"__c{k}" for k in names})
         filled = filled.join(carried, BLOCK)

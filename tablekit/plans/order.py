@@ -37,33 +37,33 @@ def _before(key: str, bits: int) -> Window:
 
 def sums_before(table: DataFrame, key: str, values: Sequence[str], last_key: int, bits: int = BLOCK_BITS) -> DataFrame:
     """For unique integers ``key`` in 0..last_key: the sums of ``values`` over all smaller keys."""
-    w = _before(key, bits)
+    w, up = _before(key, bits), f"{key}up__"
     here = table.select(
-        key, F.shiftright(F.col(key), bits).alias("__up__"),
+        key, F.shiftright(F.col(key), bits).alias(up),
         *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(v) for v in values],
     )
     if last_key >> bits == 0:
-        return here.drop("__up__")
-    upper = table.groupBy(F.shiftright(F.col(key), bits).alias("__up__")).agg(*[F.sum(v).alias(v) for v in values])
-    upper = sums_before(upper, "__up__", values, last_key >> bits, bits)
+        return here.drop(up)
+    upper = table.groupBy(F.shiftright(F.col(key), bits).alias(up)).agg(*[F.sum(v).alias(v) for v in values])
+    upper = sums_before(upper, up, values, last_key >> bits, bits)
     upper = upper.withColumnsRenamed({v: f"__above__{v}" for v in values})
-    return here.join(upper, "__up__").select(key, *[(F.col(v) + F.col(f"__above__{v}")).alias(v) for v in values])
+    return here.join(upper, up).select(key, *[(F.col(v) + F.col(f"__above__{v}")).alias(v) for v in values])
 
 
 def last_before(table: DataFrame, key: str, values: Sequence[str], last_key: int, bits: int = BLOCK_BITS) -> DataFrame:
     """For unique integers ``key`` in 0..last_key: the last non-null of each value among the smaller keys."""
-    w = _before(key, bits)
+    w, up = _before(key, bits), f"{key}up__"
     here = table.select(
-        key, F.shiftright(F.col(key), bits).alias("__up__"), *[F.last(v, True).over(w).alias(v) for v in values]
+        key, F.shiftright(F.col(key), bits).alias(up), *[F.last(v, True).over(w).alias(v) for v in values]
     )
     if last_key >> bits == 0:
-        return here.drop("__up__")
-    upper = table.groupBy(F.shiftright(F.col(key), bits).alias("__up__")).agg(
+        return here.drop(up)
+    upper = table.groupBy(F.shiftright(F.col(key), bits).alias(up)).agg(
         *[F.max_by(v, F.when(F.col(v).isNotNull(), F.col(key))).alias(v) for v in values]
     )
-    upper = last_before(upper, "__up__", values, last_key >> bits, bits)
+    upper = last_before(upper, up, values, last_key >> bits, bits)
     upper = upper.withColumnsRenamed({v: f"__above__{v}" for v in values})
-    return here.join(upper, "__up__").select(
+    return here.join(upper, up).select(
         key, *[F.coalesce(F.col(v), F.col(f"__above__{v}")).alias(v) for v in values]
     )
 
@@ -83,6 +83,8 @@ def renumber(df: DataFrame, by: str = INDEX, index: str = INDEX, bits: int = BLO
     if last_block == 0:
         return _put_index(rows.withColumn(POS, position), F.col(POS), index).drop(BLOCK, POS)
     counts = rows.groupBy(BLOCK).agg(F.count(F.lit(1)).alias("__n__"))
+    if last_block >> bits:
+        counts = keep(counts)  # read several times; one row per block
     offsets = sums_before(counts, BLOCK, ["__n__"], last_block, bits)
     rows = rows.withColumn(POS, position).join(offsets, BLOCK)
     return _put_index(rows, F.col("__n__") + F.col(POS), index).drop(BLOCK, POS, "__n__")
