@@ -87,9 +87,19 @@ def inspect_data_around_many(
     return wanted.join(df.select(index, *[ref(c) for c in names]), index).select("centre", index, *[ref(c) for c in names])
 
 
+def _named(df: DataFrame, addresses: DataFrame, index: str) -> DataFrame:
+    """Addresses with column names; 0-based column numbers are translated, a number without a column is kept as text."""
+    require(addresses, [index, "column"])
+    if not isinstance(type_of(addresses, "column"), T.IntegralType):
+        return addresses
+    names = F.array(*[F.lit(c) for c in df.columns if c != index])
+    number = F.col("column").cast("int")
+    return addresses.withColumn("column", F.coalesce(F.get(names, number), number.cast("string")))
+
+
 def lookup_cells(df: DataFrame, addresses: DataFrame, index: str = INDEX) -> DataFrame:
     """(row index, column, value as text, type) for ``addresses`` (row index, column); bad addresses are left out."""
-    require(addresses, [index, "column"])
+    addresses = _named(df, addresses, index)
     names = data_columns(df, None, index)
     value, kind = F.lit(None).cast("string"), F.lit(None).cast("string")
     for name in names:
@@ -135,6 +145,7 @@ def _wide_patches(df, patches, index):
     """One row per patched row, one struct per column that is patched (null: keep)."""
     require(df, [index])
     require(patches, [index, "column", "value"])
+    patches = _named(df, patches, index)
     names = [c for c in df.columns if c != index]
     seq = F.col("seq") if "seq" in patches.columns else F.lit(0)
     picked = [
@@ -206,6 +217,7 @@ def delete_rows(df: DataFrame, rows: Iterable[int] | DataFrame, index: str = IND
 
 def bad_addresses(df: DataFrame, addresses: DataFrame, index: str = INDEX) -> DataFrame:
     """The addresses (row index, column) outside the table, with a reason."""
+    addresses = _named(df, addresses, index)
     names = [c for c in df.columns if c != index]
     size = df.agg(F.coalesce(F.max(index) + 1, F.lit(0)).alias("n")).scalar()
     row_bad = (F.col(index) < 0) | (F.col(index) >= size)
