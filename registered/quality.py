@@ -182,9 +182,11 @@ def _spelled_events(spark, d):
     return indexed(spark, d, "events").select(I, label.alias("label"))
 
 
+_RARE = f"(SELECT label FROM {_SPELLED} GROUP BY 1 HAVING count(*) / (SELECT count(*) FROM events) < (1 - 0.95) * 0.01)"
+
+
 @query("anomalies_pattern", f"""SELECT 'label' AS "column", event_id AS __row_index__, label AS value FROM {_SPELLED}
-  WHERE label IN (SELECT label FROM {_SPELLED} GROUP BY 1 HAVING count(*) / (SELECT count(*) FROM events) < (1 - 0.95) * 0.01)
-     OR (label = lower(label))""")
+  WHERE label IN {_RARE} OR ((SELECT count(*) FROM {_RARE}) > 0 AND label = lower(label))""")
 def anomalies_pattern(spark, d):
     return tk.pattern_anomalies(_spelled_events(spark, d))
 

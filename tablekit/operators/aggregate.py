@@ -96,10 +96,11 @@ def group_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) ->
     at = (F.col("__total__") - 1) / F.lit(2.0)
     holds = lambda rank: (F.col("__before__") <= rank) & (rank < F.col("__before__") + F.col("__n__"))
     middle = lookup_join(ranked, totals, groups, "__weight__").select(
-        *groups, F.when(holds(F.floor(at)), F.col("__v__")).alias("a"), F.when(holds(F.ceil(at)), F.col("__v__")).alias("b")
-    ).filter("a IS NOT NULL OR b IS NOT NULL")
+        *groups, F.when(holds(F.floor(at)), F.col("__v__")).alias("__low__"),
+        F.when(holds(F.ceil(at)), F.col("__v__")).alias("__high__"),
+    ).filter("__low__ IS NOT NULL OR __high__ IS NOT NULL")
     return middle.groupBy(*keys).agg(*[
-        ((F.max(F.when(F.col("__c__") == i, F.col("a"))) + F.max(F.when(F.col("__c__") == i, F.col("b")))) / 2)
+        ((F.max(F.when(F.col("__c__") == i, F.col("__low__"))) + F.max(F.when(F.col("__c__") == i, F.col("__high__")))) / 2)
         .alias(f"{c}_median") for i, c in enumerate(columns)
     ])
 
