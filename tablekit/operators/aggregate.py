@@ -8,9 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..errors import InvalidParameter
 from ..plans.columns import INDEX, as_double, missing, numeric_columns, ref, require, value_of
-from ..plans.joins import lookup_join
 from ..plans.order import running_sums
-from ..plans.store import keep
 
 FUNCTIONS = ("count", "mean", "median", "sum", "min", "max", "std", "var", "first", "last", "nunique")
 # The built-in percentile keeps a group's distinct values in one buffer; it is used up to this many of them.
@@ -87,16 +85,11 @@ def group_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) ->
         .select(*[ref(k) for k in keys], "__x__.*").filter("__v__ IS NOT NULL")
         .groupBy(*[ref(k) for k in keys], "__c__", "__v__").agg(F.count(F.lit(1)).alias("__n__"))
     )
-    hist = keep(hist)
-    ranked = running_sums(hist, [*keys, "__c__"], ["__v__"], {"__before__": "__n__"})
-    groups = [*keys, "__c__"]
-    totals = keep(
-        hist.groupBy(*groups).agg(F.sum("__n__").alias("__total__"), F.count(F.lit(1)).alias("__weight__"))
-    )
+    ranked = running_sums(hist, [*keys, "__c__"], ["__v__"], {"__before__": "__n__"}, {"__total__": "__before__"})
     at = (F.col("__total__") - 1) / F.lit(2.0)
     holds = lambda rank: (F.col("__before__") <= rank) & (rank < F.col("__before__") + F.col("__n__"))
-    middle = lookup_join(ranked, totals, groups, "__weight__").select(
-        *groups, F.when(holds(F.floor(at)), F.col("__v__")).alias("__low__"),
+    middle = ranked.select(
+        *keys, "__c__", F.when(holds(F.floor(at)), F.col("__v__")).alias("__low__"),
         F.when(holds(F.ceil(at)), F.col("__v__")).alias("__high__"),
     ).filter("__low__ IS NOT NULL OR __high__ IS NOT NULL")
     return middle.groupBy(*keys).agg(*[

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..errors import InvalidParameter
 from ..plans.columns import INDEX, as_double, beyond, data_columns, missing, numeric_columns, ref, require, text_columns
-from ..plans.metrics import moments, null_counts, value_histogram
+from ..plans.metrics import null_counts, value_histogram
 from ..plans.order import BLOCK_BITS
-from ..plans.quantiles import quantiles, scaled_bounds
+from ..plans.quantiles import quantiles_and, scaled_bounds
 from ..plans.store import keep
 from ..settings import DEFAULTS, Thresholds
 
@@ -35,16 +35,21 @@ def _empty(df: DataFrame, index: str) -> DataFrame:
 def _statistical_rules(df, names, sensitivity):
     """Per numeric column with values: (rule, mean, std, lower, upper)."""
     z_limit, factor = 3 * (1 - sensitivity + 0.5), 1.5 * (2 - sensitivity)
-    facts, rules = moments(df, names), {}
-    for name, q in quantiles(df, names, (0.25, 0.75)).items():
+    wanted = {}
+    for c in names:
+        v = as_double(df, c)
+        wanted |= {(c, "mean"): F.avg(v), (c, "std"): F.coalesce(F.stddev_samp(v), F.lit(0.0))}
+    found, facts = quantiles_and(df, names, (0.25, 0.75), wanted)
+    rules = {}
+    for name, q in found.items():
         bounds = scaled_bounds(q, factor)
         if bounds is None:
             continue
-        c, m = as_double(df, name), facts[name]
+        c, mean, std = as_double(df, name), facts[name, "mean"], facts[name, "std"]
         hit = beyond(df, name, *bounds[:2])[1]
-        if m["std"] > 0:
-            hit = hit | (F.abs((c - F.lit(m["mean"])) / F.lit(m["std"])) > F.lit(z_limit))
-        rules[name] = (hit, m["mean"], m["std"], bounds[0], bounds[1])
+        if std > 0:
+            hit = hit | (F.abs((c - F.lit(mean)) / F.lit(std)) > F.lit(z_limit))
+        rules[name] = (hit, mean, std, bounds[0], bounds[1])
     return rules
 
 

@@ -17,6 +17,7 @@ from ..plans.store import keep
 
 METHODS = ("pearson", "spearman", "kendall")
 PAIRS_PER_JOB = 100
+BROADCAST_RANKS = 500_000  # ranks of a column with at most this many distinct values are broadcast
 
 
 def get_correlation_matrix(
@@ -85,7 +86,7 @@ def _rank_correlations(complete: DataFrame, numbers: list[int]) -> dict:
     """Pearson on average ranks.
 
     Equal rows are merged first. Ranks come from running counts over each column's distinct values, all columns in
-    one pass, and are joined back with hot values salted. The mean rank (n + 1) / 2 is known, so one weighted sum
+    one pass, and are joined back: by broadcast while a column has few distinct values, else with hot values salted. The mean rank (n + 1) / 2 is known, so one weighted sum
     per pair is all that is left.
     """
     cols = [f"v{i}" for i in numbers]
@@ -100,12 +101,17 @@ def _rank_correlations(complete: DataFrame, numbers: list[int]) -> dict:
         running_sums(hist, ["c"], ["v"], {"before": "n"})
         .select("c", "v", "rows", (F.col("before") + (F.col("n") + 1) / F.lit(2.0)).alias("rank"))
     )
+    distinct = {r["c"]: r["k"] for r in ranks.groupBy("c").agg(F.count(F.lit(1)).alias("k")).collect()}
     ranked = rows
-    for i in numbers:
+    for i in sorted(numbers, key=lambda i: distinct.get(i, 0)):
         mine = ranks.filter(F.col("c") == i).select(
             F.col("v").alias(f"v{i}"), F.col("rank").alias(f"r{i}"), F.col("rows").alias("__rows__")
         )
-        ranked = lookup_join(ranked, mine, [f"v{i}"], "__rows__").drop("__rows__", f"v{i}")
+        if distinct.get(i, 0) <= BROADCAST_RANKS:
+            ranked = ranked.join(F.broadcast(mine), f"v{i}")
+        else:
+            ranked = lookup_join(ranked, mine, [f"v{i}"], "__rows__")
+        ranked = ranked.drop("__rows__", f"v{i}")
     mid = F.lit((n + 1) / 2.0)
     dev = {i: F.col(f"r{i}") - mid for i in numbers}
     pairs = list(itertools.combinations_with_replacement(numbers, 2))

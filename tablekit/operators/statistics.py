@@ -10,23 +10,14 @@ from ..plans.columns import (
     INDEX, as_double, data_columns, numeric_columns, scalar_columns, type_label, type_of,
 )
 from ..plans.metrics import is_null_slot, most_frequent, per_column, value_histogram
-from ..plans.quantiles import ACCURACY, quantiles
+from ..plans.quantiles import quantiles_and
 
 QUARTILES = (0.25, 0.5, 0.75)
+APPROXIMATE = 10_000  # accuracy of the quartiles with exact=False
 _STATISTICS = "column string, count bigint, mean double, std double, min double, p25 double, p50 double, " \
               "p75 double, max double"
 
 
-def _quartiles(df, columns, exact):
-    """Per column the three quartile expressions: literals found beforehand, or sketches inside the same aggregate."""
-    if exact:
-        found = quantiles(df, columns, QUARTILES)
-        return {c: [F.lit(found[c][p]).cast("double") for p in QUARTILES] for c in columns}
-    return {
-        c: [F.percentile_approx(as_double(df, c), p, ACCURACY) for p in QUARTILES] for c in columns
-    }
-
-
 def get_statistics(
     df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True, index: str = INDEX
 ) -> DataFrame:
@@ -37,23 +28,36 @@ def get_statistics(
     return _numeric_rows(df, numeric_columns(df, columns, index), exact, 0.0)
 
 
+def _moments(df, name):
+    c, zero = as_double(df, name), F.lit(0.0)
+    return {
+        "count": F.count(c), "mean": F.coalesce(F.avg(c), zero), "std": F.coalesce(F.stddev_samp(c), zero),
+        "min": F.coalesce(F.min(c), zero), "max": F.coalesce(F.max(c), zero),
+    }
+
+
 def _numeric_rows(df, numeric, exact, undefined):
+    """Moments and quartiles; the moments come from the first scan of the quartile search. One row per column."""
+    if exact:
+        wanted = {(c, k): v for c in numeric for k, v in _moments(df, c).items()}
+        found, m = quantiles_and(df, numeric, QUARTILES, wanted)
+        quartile = lambda c, p: undefined if found[c][p] is None else found[c][p]
+        rows = [
+            (c, m[c, "count"], m[c, "mean"], m[c, "std"], m[c, "min"], *[quartile(c, p) for p in QUARTILES], m[c, "max"])
+            for c in numeric
+        ]
+        return df.sparkSession.createDataFrame(rows, _STATISTICS)
     if not numeric:
         return df.sparkSession.createDataFrame([], _STATISTICS)
-    quartiles = _quartiles(df, numeric, exact)
-    zero = F.lit(0.0)
-    fill = lambda c: F.coalesce(c, F.lit(undefined)) if undefined is not None else c
 
     def metrics(name):
-        c = as_double(df, name)
-        q25, q50, q75 = quartiles[name]
-        return {
-            "count": F.count(c), "mean": F.coalesce(F.avg(c), zero), "std": F.coalesce(F.stddev_samp(c), zero),
-            "min": F.coalesce(F.min(c), zero), "p25": fill(q25), "p50": fill(q50), "p75": fill(q75),
-            "max": F.coalesce(F.max(c), zero),
+        sketched = {
+            f"p{round(p * 100)}": F.coalesce(F.percentile_approx(as_double(df, name), p, APPROXIMATE), F.lit(undefined))
+            for p in QUARTILES
         }
+        return _moments(df, name) | sketched
 
-    return per_column(df, numeric, metrics)
+    return per_column(df, numeric, metrics).select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def get_column_statistics(

@@ -141,25 +141,29 @@ def _offset_parts(rows: DataFrame, index: str, last_part: int = (1 << 31) - 1) -
 
 
 def running_sums(
-    table: DataFrame, groups: Sequence[str], order: Sequence[str], values: dict[str, Column | str]
+    table: DataFrame, groups: Sequence[str], order: Sequence[str], values: dict[str, Column | str],
+    totals: dict[str, str] | None = None,
 ) -> DataFrame:
     """Sums over the earlier rows of the same group; ``groups`` + ``order`` must be unique and not null.
 
     A group of any size is spread over range partitions. Each (partition, group) is summed by a window, and one
-    total per (partition, group) is carried forward. Output: the input columns and one column per value.
+    total per (partition, group) is carried forward. Output: the input columns and one column per value; ``totals``
+    adds the whole group's sum of a value under another name, ``{name: value}``.
     """
     groups, order = list(groups), list(order)
     rows = table.withColumns({f"__v__{k}": F.col(v) if isinstance(v, str) else v for k, v in values.items()})
     rows = sorted_parts(rows, [*groups, *order]).drop(POS)
     inside = Window.partitionBy(PART, *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     across = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy(PART, *groups).agg(*[F.sum(f"__v__{k}").alias(f"__t__{k}") for k in values])
-    carried = totals.select(
-        PART, *groups, *[F.coalesce(F.sum(f"__t__{k}").over(across), F.lit(0)).alias(f"__c__{k}") for k in values]
+    whole = Window.partitionBy(*(groups or [F.lit(0)]))  # one row per partition that the group touches
+    carried = rows.groupBy(PART, *groups).agg(*[F.sum(f"__v__{k}").alias(f"__t__{k}") for k in values]).select(
+        PART, *groups, *[F.coalesce(F.sum(f"__t__{k}").over(across), F.lit(0)).alias(f"__c__{k}") for k in values],
+        *[F.sum(f"__t__{k}").over(whole).alias(name) for name, k in (totals or {}).items()],
     )
     inner = rows.withColumns(
         {f"__i__{k}": F.coalesce(F.sum(f"__v__{k}").over(inside), F.lit(0)) for k in values}
     )
     return inner.join(carried, [PART, *groups]).select(
-        *[ref(c) for c in table.columns], *[(F.col(f"__i__{k}") + F.col(f"__c__{k}")).alias(k) for k in values]
+        *[ref(c) for c in table.columns], *[(F.col(f"__i__{k}") + F.col(f"__c__{k}")).alias(k) for k in values],
+        *(totals or {}),
     )

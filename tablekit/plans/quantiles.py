@@ -1,9 +1,10 @@
 """Exact, linearly interpolated quantiles of whole columns, without a shuffle of the values.
 
 ``percentile`` keeps every distinct value of a column in one buffer, which a large column does not survive. Here a
-bounded sketch brackets each wanted rank, a second pass counts the rows below and on the brackets, and the search
-goes on inside the bracket until it holds few enough values to list. Each round shrinks a bracket more than a
-thousandfold, so 10**12 rows need three scans; the counts make the answer exact whatever the sketch's error.
+bounded sketch brackets each wanted rank, a second pass counts the rows below and on the ends of the bracket, and the
+search goes on inside until a bracket holds few enough values to list. Each round shrinks a bracket more than a
+thousandfold, so 10**12 rows need about seven scans of the column; the counts make the answer exact whatever the
+sketch's error.
 """
 
 from __future__ import annotations
@@ -12,13 +13,14 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .columns import ref, value_of
+from .columns import as_double, ref
 
-ACCURACY = 10_000        # sketch size: rank error of a bracket end is n / ACCURACY
+SKETCH_SIZE = 32768      # values per sketch level; its rank error is below REACH
+REACH = 2e-4             # how far the ends of a bracket lie from the wanted rank, as a share of the rows
 SMALL_ROWS = 100_000     # columns with at most this many values use the built-in exact percentile
-LIST_LIMIT = 20_000      # a bracket with at most this many values is listed
+LIST_LIMIT = 100_000     # a bracket with at most this many values is listed
 COLUMNS_PER_JOB = 20     # keeps the generated code of one aggregate small
 
 
@@ -35,7 +37,12 @@ class _Target:
     found: object = None
     ends: list = field(default_factory=list)
 
-    def within(self, c):
+    @property
+    def bracket(self) -> tuple:
+        return self.column, self.low, self.high
+
+    def within(self) -> Column:
+        c = ref(self.column)
         cond = c.isNotNull()
         if self.low is not None:
             cond = cond & (c > F.lit(self.low))
@@ -46,52 +53,65 @@ class _Target:
 
 def quantiles(df: DataFrame, columns: Sequence[str], ps: Sequence[float]) -> dict[str, dict[float, float | None]]:
     """Exact quantiles on the driver (schema-sized): ``{column: {p: value}}``; None for an all-null column."""
-    out: dict[str, dict[float, float | None]] = {}
-    columns = list(columns)
-    for at in range(0, len(columns), COLUMNS_PER_JOB):
-        out.update(_quantiles(df, columns[at : at + COLUMNS_PER_JOB], list(ps)))
-    return out
+    return quantiles_and(df, columns, ps, {})[0]
+
+
+def quantiles_and(df: DataFrame, columns: Sequence[str], ps: Sequence[float], extras: dict[object, Column]) -> tuple[dict, dict]:
+    """The quantiles, and other aggregates of ``df`` from the same first scan."""
+    found, more, columns = {}, {}, list(columns)
+    for at in range(0, max(len(columns), 1), COLUMNS_PER_JOB):
+        part = columns[at : at + COLUMNS_PER_JOB]
+        q, x = _quantiles(df, part, list(ps), extras if at == 0 else {})
+        found, more = found | q, more | x
+    return found, more
+
+
+def _ends(c: Column, ranks: Sequence[float]) -> Column:
+    """Values near the ranks, from a bounded sketch; null when there is no value."""
+    sketch = F.kll_sketch_agg_double(c, F.lit(SKETCH_SIZE))
+    return F.when(F.count(c) > 0, F.kll_sketch_get_quantile_double(sketch, F.array(*[F.lit(r) for r in ranks])))
 
 
-def _quantiles(df, columns, ps, small=None, listed=None):
+def _around(rank: float) -> list[float]:
+    return [max(0.0, rank - REACH), min(1.0, rank + REACH)]
+
+
+def _quantiles(df, columns, ps, extras=None, small=None, listed=None):
     small = SMALL_ROWS if small is None else small
     listed = LIST_LIMIT if listed is None else listed
-    if not columns:
-        return {}
-    vals = df.select(*[value_of(df, c).alias(c) for c in columns])
-    near = sorted({min(1.0, max(0.0, p + d)) for p in ps for d in (-2 / ACCURACY, 2 / ACCURACY)})
-    first = vals.agg(
-        *[F.count(ref(c)).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.percentile_approx(ref(c), near, ACCURACY).alias(f"s{i}") for i, c in enumerate(columns)],
+    extras = extras or {}
+    if not columns and not extras:
+        return {}, {}
+    near = sorted({r for p in ps for r in _around(p)})
+    first = df.agg(
+        F.count(F.lit(1)).alias("rows"), *[v.alias(f"x{i}") for i, v in enumerate(extras.values())],
+        *[F.count(as_double(df, c)).alias(f"n{i}") for i, c in enumerate(columns)],
+        *[_ends(as_double(df, c), near).alias(f"s{i}") for i, c in enumerate(columns)],
     ).first()
+    more = {k: first[f"x{i}"] for i, k in enumerate(extras)}
     counts = {c: first[f"n{i}"] for i, c in enumerate(columns)}
     out = {c: {p: None for p in ps} for c in columns}
+    vals = df.select(*[as_double(df, c).alias(c) for c in columns])
 
     few = [c for c in columns if 0 < counts[c] <= small]
     if few:
-        row = vals.agg(*[F.percentile(ref(c).cast("double"), list(ps)).alias(f"q{i}") for i, c in enumerate(few)])
-        row = row.first()
+        row = vals.agg(*[F.percentile(ref(c), list(ps)).alias(f"q{i}") for i, c in enumerate(few)]).first()
         for i, c in enumerate(few):
             out[c] = dict(zip(ps, row[f"q{i}"]))
 
-    many = [c for c in columns if counts[c] > small]
     targets = {}
     for i, c in enumerate(columns):
-        if c not in many:
-            continue
-        for p in ps:
+        for p in ps if counts[c] > small else ():
+            ends = [first[f"s{i}"][near.index(r)] for r in _around(p)]
             for rank in _ranks(counts[c], p):
-                t = targets.setdefault((c, rank), _Target(c, rank, inside=counts[c]))
-                if not t.ends:
-                    t.ends = [first[f"s{i}"][near.index(min(1.0, max(0.0, p + d)))]
-                              for d in (-2 / ACCURACY, 2 / ACCURACY)]
+                targets.setdefault((c, rank), _Target(c, rank, inside=counts[c], ends=ends))
     _resolve(vals, list(targets.values()), listed)
-    for c in many:
+    for c in dict.fromkeys(c for c, _ in targets):
         for p in ps:
             lo, hi = _ranks(counts[c], p)
-            a, b = float(targets[c, lo].found), float(targets[c, hi].found)
+            a, b = targets[c, lo].found, targets[c, hi].found
             out[c][p] = a + (b - a) * ((counts[c] - 1) * p - lo)
-    return out
+    return out, more
 
 
 def _ranks(n: int, p: float) -> tuple[int, int]:
@@ -101,12 +121,10 @@ def _ranks(n: int, p: float) -> tuple[int, int]:
 
 def _resolve(vals: DataFrame, targets: list[_Target], listed: int) -> None:
     _narrow(vals, targets)
-    while True:
-        wide = [t for t in targets if t.found is None and t.inside > listed]
-        if not wide:
-            break
-        sketches = vals.agg(*[
-            F.percentile_approx(F.when(t.within(ref(t.column)), ref(t.column)), _around(t), ACCURACY).alias(f"s{i}")
+    while wide := [t for t in targets if t.found is None and t.inside > listed]:
+        inner = vals.filter(_any_within(wide))
+        sketches = inner.agg(*[
+            _ends(F.when(t.within(), ref(t.column)), _around((t.rank - t.below) / t.inside)).alias(f"s{i}")
             for i, t in enumerate(wide)
         ]).first()
         for i, t in enumerate(wide):
@@ -115,9 +133,11 @@ def _resolve(vals: DataFrame, targets: list[_Target], listed: int) -> None:
     _list(vals, [t for t in targets if t.found is None])
 
 
-def _around(t: _Target) -> list[float]:
-    f = (t.rank - t.below) / t.inside
-    return [max(0.0, f - 2 / ACCURACY), min(1.0, f + 2 / ACCURACY)]
+def _any_within(targets: list[_Target]) -> Column:
+    wanted = targets[0].within()
+    for t in targets[1:]:
+        wanted = wanted | t.within()
+    return wanted
 
 
 def _narrow(vals: DataFrame, targets: list[_Target]) -> None:
@@ -148,27 +168,27 @@ def _narrow(vals: DataFrame, targets: list[_Target]) -> None:
 
 
 def _list(vals: DataFrame, targets: list[_Target]) -> None:
-    """Read off the rank from the values of a bracket; every bracket holds at most ``LIST_LIMIT`` rows."""
+    """Read off the ranks from the values of the brackets; every bracket holds at most ``LIST_LIMIT`` rows."""
     if not targets:
         return
-    wanted = None
-    for t in targets:
-        cond = t.within(ref(t.column))
-        wanted = cond if wanted is None else wanted | cond
+    brackets = list(dict.fromkeys(t.bracket for t in targets))
+    of = {t.bracket: t for t in targets}
     tagged = F.array(*[
-        F.when(t.within(ref(t.column)), F.struct(F.lit(i).alias("i"), ref(t.column).cast("string").alias("v")))
-        for i, t in enumerate(targets)
+        F.when(of[b].within(), F.struct(F.lit(i).alias("i"), ref(of[b].column).alias("v"))) for i, b in enumerate(brackets)
     ])
     rows = (
-        vals.filter(wanted).select(F.explode(F.filter(tagged, lambda x: x.isNotNull())).alias("x"))
+        vals.filter(_any_within(list(of.values())))
+        .select(F.explode(F.filter(tagged, lambda x: x.isNotNull())).alias("x"))
         .groupBy("x.i", "x.v").agg(F.count(F.lit(1)).alias("n")).collect()
     )
-    by_target: dict[int, list] = {}
+    values: dict[int, list] = {}
     for i, v, n in rows:
-        by_target.setdefault(i, []).append((float(v), n))
-    for i, t in enumerate(targets):
+        values.setdefault(i, []).append((v, n))
+    for listed in values.values():
+        listed.sort()
+    for t in targets:
         left = t.rank - t.below
-        for v, n in sorted(by_target[i]):
+        for v, n in values[brackets.index(t.bracket)]:
             if left < n:
                 t.found = v
                 break

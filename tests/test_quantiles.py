@@ -7,12 +7,12 @@ from tablekit.plans import quantiles as q
 PS = [0.0, 0.25, 0.5, 0.75, 1.0]
 
 
-def check(spark, columns, small, listed, accuracy=None, monkeypatch=None):
+def check(spark, columns, small, listed):
     n = len(next(iter(columns.values())))
     columns = {c: [None if x is None else float(x) for x in v] for c, v in columns.items()}
     data = [tuple(v[i] for v in columns.values()) for i in range(n)]
     df = spark.createDataFrame(data, ", ".join(f"{c} double" for c in columns)).repartition(3)
-    got = q._quantiles(df, list(columns), PS, small=small, listed=listed)
+    got = q._quantiles(df, list(columns), PS, small=small, listed=listed)[0]
     for c, values in columns.items():
         known = [v for v in values if v is not None and not np.isnan(v)]
         want = np.quantile(known, PS) if known else [None] * len(PS)
@@ -31,7 +31,8 @@ def test_every_way_to_the_same_quantile(spark, small, listed):
 
 def test_search_inside_brackets(spark, monkeypatch):
     # a coarse sketch leaves wide brackets, so that the search goes several rounds
-    monkeypatch.setattr(q, "ACCURACY", 10)
+    monkeypatch.setattr(q, "SKETCH_SIZE", 8)
+    monkeypatch.setattr(q, "REACH", 0.02)
     rng = np.random.default_rng(6)
     check(spark, {"u": list(rng.uniform(size=900)), "h": [3.0] * 300 + list(rng.uniform(0, 6, size=600))}, 0, 5)
 
@@ -45,4 +46,11 @@ def test_random_columns(spark, values):
 
 def test_long_columns_keep_their_type(spark):
     df = spark.range(1001)
-    assert q._quantiles(df, ["id"], [0.5], small=0, listed=2)["id"][0.5] == 500.0
+    assert q._quantiles(df, ["id"], [0.5], small=0, listed=2)[0]["id"][0.5] == 500.0
+
+
+def test_other_aggregates_from_the_first_scan(spark):
+    from pyspark.sql import functions as F
+    found, more = q.quantiles_and(spark.range(5), ["id"], [0.5], {"sum": F.sum("id"), ("max", "id"): F.max("id")})
+    assert found == {"id": {0.5: 2.0}} and more == {"sum": 10, ("max", "id"): 4}
+    assert q.quantiles_and(spark.range(5), [], [0.5], {"sum": F.sum("id")}) == ({}, {"sum": 10})
