@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..errors import InvalidParameter
-from ..plans.columns import INDEX, data_columns, nullify_nan, ref, require
+from ..plans.columns import FLOATING, INDEX, data_columns, nullify_nan, ref, require, type_of
+from ..plans.joins import bounded
 from ..plans.order import with_row_index
+from ..plans.store import keep as keep_table
 
 
 def sort_keys(df: DataFrame, columns: Sequence[str | tuple[str, bool]], index: str = INDEX) -> list[Column]:
@@ -46,22 +48,61 @@ def sort_data(
     return df.orderBy(*keys)
 
 
+# Tables with more rows than this are first searched for repeated key hashes.
+HASH_ROWS = 10_000_000
+# The search pays while at most this share of the rows are copies ...
+FEW_COPIES = 0.1
+# ... and the repeated hashes fit a broadcast.
+REPEATED_HASHES = 1_000_000
+_HASH = "__hash__"
+
+
+def _key_hash(df: DataFrame, keys: Sequence[str]) -> Column:
+    return F.xxhash64(*[ref(k) + F.lit(0.0) if isinstance(type_of(df, k), FLOATING) else ref(k) for k in keys])
+
+
+def _repeated_hashes(df: DataFrame, keys: Sequence[str], hash_rows: int) -> DataFrame | None:
+    """The key hashes that occur more than once, if they are few: only these rows can have twins.
+
+    A sketch without a shuffle estimates the copies; then 8 bytes per row are shuffled instead of the row.
+    """
+    hashes = df.select(_key_hash(df, keys).alias(_HASH))
+    rows, distinct = hashes.agg(F.count(F.lit(1)), F.approx_count_distinct(_HASH, 0.01)).first()
+    if rows <= hash_rows or distinct < rows * (1 - FEW_COPIES):
+        return None
+    repeated = keep_table(hashes.groupBy(_HASH).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(_HASH))
+    small = bounded(repeated, REPEATED_HASHES)
+    return None if small is repeated else small
+
+
 def remove_duplicates(
-    df: DataFrame, subset: Sequence[str] | None = None, keep: str = "first", index: str = INDEX
+    df: DataFrame, subset: Sequence[str] | None = None, keep: str = "first", index: str = INDEX,
+    hash_rows: int = HASH_ROWS,
 ) -> DataFrame:
     """Keep the first or last row (in index order) of every group of equal rows, or none of a group with twins.
 
     Null equals null. Rows are reduced to one candidate per key before the shuffle, so a key that holds a third of
-    the table moves one row per task. The survivors keep their index; ``renumber`` closes the gaps.
+    the table moves one row per task. In a large table with few copies, rows whose key hash is unique are passed on
+    without a shuffle. The survivors keep their index; ``renumber`` closes the gaps.
     """
     if keep not in ("first", "last", "none"):
         raise InvalidParameter("keep", keep, "first, last or none")
     df = nullify_nan(df)
     keys = data_columns(df, subset, index)
+    if index not in df.columns and keep != "none" and set(df.columns) - set(keys):
+        raise InvalidParameter("index", index, "a row order, as the rows of a group differ outside the subset")
+    repeated = _repeated_hashes(df, keys, hash_rows)
+    if repeated is None:
+        return _survivors(df, keys, keep, index)
+    hashed = df.withColumn(_HASH, _key_hash(df, keys))
+    single = hashed.join(repeated, _HASH, "left_anti").select(*[ref(c) for c in df.columns])
+    twins = hashed.join(repeated, _HASH, "left_semi").select(*[ref(c) for c in df.columns])
+    return single.unionByName(_survivors(twins, keys, keep, index))
+
+
+def _survivors(df: DataFrame, keys: Sequence[str], keep: str, index: str) -> DataFrame:
     indexed = index in df.columns
     rest = [c for c in df.columns if c not in keys and c != index]
-    if rest and not indexed and keep != "none":
-        raise InvalidParameter("index", index, "a row order, as the rows of a group differ outside the subset")
     order = ref(index) if indexed else F.lit(0)
     pick = {"first": F.min_by, "last": F.max_by, "none": F.min_by}[keep]
     aggregates = [F.count(F.lit(1)).alias("__copies__")]
@@ -75,10 +116,21 @@ def remove_duplicates(
     return groups.select(*[F.col("__row__").getField(c).alias(c) if c in rest else ref(c) for c in df.columns])
 
 
-def duplicate_count(df: DataFrame, subset: Sequence[str] | None = None, index: str = INDEX) -> DataFrame:
+def duplicate_count(
+    df: DataFrame, subset: Sequence[str] | None = None, index: str = INDEX, hash_rows: int = HASH_ROWS
+) -> DataFrame:
     """total rows and duplicates (rows after the first of their group)."""
     keys = data_columns(df, subset, index)
-    groups = nullify_nan(df, keys).groupBy(*[ref(c) for c in keys]).agg(F.count(F.lit(1)).alias("n"))
+    df = nullify_nan(df.select(*[ref(c) for c in keys]))
+    repeated = _repeated_hashes(df, keys, hash_rows)
+    if repeated is None:
+        return _copies(df, keys)
+    twins = df.withColumn(_HASH, _key_hash(df, keys)).join(repeated, _HASH, "left_semi").drop(_HASH)
+    return _copies(twins, keys).select(df.agg(F.count(F.lit(1)).alias("n")).scalar().alias("rows"), "duplicates")
+
+
+def _copies(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    groups = df.groupBy(*[ref(c) for c in keys]).agg(F.count(F.lit(1)).alias("n"))
     return groups.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates")
     )

@@ -1,7 +1,7 @@
 """Finding, reading and changing cells and rows by position, many addresses at a time.
 
-``index`` names the dense row index. Address tables are joined on it; whether a side is broadcast is left to Spark,
-which checks its size.
+``index`` names the dense row index. Address tables are joined on it: broadcast when they are counted to be small, so
+that the table itself is not shuffled, else by an ordinary join on the index, which is unique and cannot be skewed.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..errors import ColumnNotFound, InvalidParameter
 from ..functions.text import check_regex
 from ..plans.columns import INDEX, NUMERIC, TEXT, data_columns, missing, ref, require, type_of, value_of
+from ..plans.joins import bounded
 from ..plans.order import renumber
 
 CellValue = str | int | float | bool | None
@@ -84,7 +85,7 @@ def inspect_data_around_many(
     wanted = centres.select(
         "centre", F.explode(F.sequence(F.col("centre") - radius, F.col("centre") + radius)).alias(index)
     )
-    return wanted.join(df.select(index, *[ref(c) for c in names]), index).select("centre", index, *[ref(c) for c in names])
+    return bounded(wanted).join(df.select(index, *[ref(c) for c in names]), index).select("centre", index, *[ref(c) for c in names])
 
 
 def _named(df: DataFrame, addresses: DataFrame, index: str) -> DataFrame:
@@ -107,7 +108,7 @@ def lookup_cells(df: DataFrame, addresses: DataFrame, index: str = INDEX) -> Dat
         value = F.when(hit, value_of(df, name).cast("string")).otherwise(value)
         kind = F.when(hit, F.lit(type_of(df, name).simpleString())).otherwise(kind)
     wanted = addresses.select(F.col(index), F.col("column").alias("__column__")).filter(F.col("__column__").isin(names))
-    joined = wanted.join(df, index)
+    joined = bounded(wanted).join(df, index)
     return joined.select(index, F.col("__column__").alias("column"), value.alias("value"), kind.alias("type"))
 
 
@@ -115,7 +116,7 @@ def lookup_rows(df: DataFrame, rows: Iterable[int] | DataFrame, columns: Sequenc
     names = data_columns(df, columns, index)
     picked = df.select(index, *[ref(c) for c in names])
     if isinstance(rows, DataFrame):
-        return picked.join(rows.select(index), index, "left_semi")
+        return picked.join(bounded(rows.select(index)), index, "left_semi")
     return picked.filter(F.col(index).isin(list(rows)))
 
 
@@ -134,7 +135,7 @@ def patch_cells(df: DataFrame, patches: DataFrame, index: str = INDEX) -> DataFr
     Text that does not parse as the column's type becomes null. Rows without a patch are unchanged.
     """
     wide, names = _wide_patches(df, patches, index)
-    joined = df.join(wide, index, "left")
+    joined = df.join(bounded(wide), index, "left")
     return joined.select(*[
         F.when(F.col(f"__p{names.index(c)}__").isNotNull(), F.col(f"__p{names.index(c)}__.value").try_cast(type_of(df, c)))
         .otherwise(ref(c)).alias(c) if c in names else ref(c) for c in df.columns
@@ -158,7 +159,7 @@ def _wide_patches(df, patches, index):
 def patch_report(df: DataFrame, patches: DataFrame, index: str = INDEX) -> DataFrame:
     """(row index, column, old value, new value) of the cells that ``patch_cells`` sets."""
     wide, names = _wide_patches(df, patches, index)
-    joined = wide.join(df, index)
+    joined = bounded(wide).join(df, index)
     cells = [
         F.when(F.col(f"__p{i}__").isNotNull(), F.struct(
             F.lit(c).alias("column"), value_of(df, c).cast("string").alias("old_value"),
@@ -207,7 +208,7 @@ def delete_rows(df: DataFrame, rows: Iterable[int] | DataFrame, index: str = IND
     """
     require(df, [index])
     if isinstance(rows, DataFrame):
-        return renumber(df.join(rows.select(index), index, "left_anti"), by=index, index=index)
+        return renumber(df.join(bounded(rows.select(index)), index, "left_anti"), by=index, index=index)
     gone = sorted(set(rows))
     if not gone:
         return df

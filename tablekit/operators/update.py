@@ -8,12 +8,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..errors import InvalidParameter
 from ..plans.columns import ref, require, type_of, value_of
-from ..plans.joins import lookup_join
+from ..plans.joins import BROADCAST_ROWS, bounded, lookup_join
 from ..plans.store import keep
 from .project import literal_fits
 
 MAX_INLINE_MAPPING = 1000
-BROADCAST_ROWS = 500_000
 
 
 def replace_values(df: DataFrame, column: str, pattern: object, replacement: object) -> DataFrame:
@@ -33,8 +32,8 @@ def map_values(df: DataFrame, column: str, mapping: Mapping | DataFrame, broadca
     if isinstance(mapping, DataFrame):
         require(mapping, ["key", "value"])
         table = mapping.select(F.col("key").alias("__key__"), F.col("value").alias("__value__"))
-        if table.limit(broadcast_rows + 1).count() <= broadcast_rows:
-            joined = df.join(F.broadcast(table), c == F.col("__key__"), "left")
+        if (small := bounded(table, broadcast_rows)) is not table:
+            joined = df.join(small, c == F.col("__key__"), "left")
         else:
             joined = _map_by_shuffle(df.withColumn("__key__", c), table)
         return joined.withColumn(column, F.col("__value__")).select(*[ref(x) for x in df.columns])

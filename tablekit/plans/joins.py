@@ -11,6 +11,15 @@ HOT_SHARE = 1 / 1000
 _COPIES, _SALT = "__copies__", "__salt__"
 
 
+# A side of at most this many rows, counted beforehand, is broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a join side for broadcast when it is counted to be small; the count stops at the bound."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def lookup_join(
     big: DataFrame, small: DataFrame, on: Sequence[str], weight: str, how: str = "inner"
 ) -> DataFrame:

@@ -69,10 +69,31 @@ def test_duplicates_equal_pandas(spark, keep, subset):
     want = pdf.drop_duplicates(subset=subset, keep=False if keep == "none" else keep).index.tolist()
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(data)], f"{I} long, a long, b string, c double").repartition(4)
     got = tk.remove_duplicates(df, subset, keep)
+    check_kept(got, data, want)
+
+
+def check_kept(got, data, want):
     assert sorted(r[I] for r in got.collect()) == want
     assert {r[I]: (r["a"], r["b"], r["c"]) for r in got.collect()} == {i: data[i] for i in want}
 
 
+@pytest.mark.parametrize("keep", ["first", "last", "none"])
+def test_duplicates_by_hash_equal_the_direct_way(spark, keep):
+    # 5 % copies: one value many times, some pairs, nulls, and keys that differ only in which column is null
+    data = [(i, float(i), f"s{i}") for i in range(400)] + [(1, 1.0, "s1")] * 15 + [(7, 7.0, "s7"), (None, 2.0, "a"), (2, None, "a"), (None, 2.0, "a")]
+    want = pd.DataFrame(data).drop_duplicates(keep=False if keep == "none" else keep).index.tolist()
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(data)], f"{I} long, a long, b double, c string").repartition(4)
+    got = tk.remove_duplicates(df, None, keep, hash_rows=0)
+    check_kept(got, data, want)
+    check_kept(tk.remove_duplicates(df, ["a", "b"], keep, hash_rows=0), data, want)
+    assert tuple(tk.duplicate_count(df, hash_rows=0).first()) == (419, 17)
+
+
+def test_many_copies_take_the_direct_way(spark):
+    df = spark.range(300).select(F.col("id").alias(I), (F.col("id") % 3 * F.col("id") % 5).alias("a"))
+    assert tk.remove_duplicates(df, hash_rows=0).count() == df.select("a").distinct().count()
+
+
 def test_duplicates_need_an_order_only_when_rows_differ(people):
     with pytest.raises(InvalidParameter):
         tk.remove_duplicates(people.drop(I), ["age"])
@@ -227,3 +248,24 @@ def test_preview(people):
 def test_lines_in_a_column(spark):
     lines = spark.createDataFrame([(1, "2;x"), (2, ";y")], "k int, line string")
     assert rows(tk.parse_csv_column(lines, "line", "n long, s string", ";"), "k", "n", "s") == [(1, 2, "x"), (2, None, "y")]
+
+
+def test_row_wise_operators_run_on_a_stream(spark, people, tmp_path):
+    path = str(tmp_path / "in")
+    people.write.parquet(path)
+    stream = spark.readStream.schema(people.schema).parquet(path)
+    out = tk.filter_rows(stream, [("age", ">", 20), ("name", "contains", "[A-Z]")])
+    out = tk.transform_column_case(tk.replace_in_column(out, "name", "n+", "N"), "status", "upper")
+    out = tk.change_column_type(tk.add_column(out, "k", formula="age * 2"), "k", "str")
+    query = out.writeStream.format("memory").queryName("streamed").outputMode("append").start()
+    try:
+        query.processAllAvailable()
+        assert rows(spark.table("streamed"), I, "name", "status", "k")[0] == (0, "AN", "ACTIVE", "62")
+    finally:
+        query.stop()
+
+
+def test_large_address_tables_are_not_broadcast(spark, people):
+    from tablekit.plans.joins import bounded
+    ids = spark.range(50)
+    assert bounded(ids, 49) is ids and bounded(ids, 50) is not ids
