@@ -8,27 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..errors import ColumnNotFound, InvalidParameter
 from ..functions.text import check_regex
-from ..plans.columns import INDEX, NUMERIC, TEXT, data_columns, missing, ref, require, type_of, value_of
+from ..plans.columns import INDEX, data_columns, equals, missing, ref, require, type_of, value_of
 from ..plans.joins import bounded
 from ..plans.order import renumber
 
 CellValue = str | int | float | bool | None
 
 
-def _equals(df: DataFrame, name: str, value: CellValue) -> Column | None:
-    """Equality by kind: text never equals a number, true equals 1. None: the column cannot hold the value."""
-    dtype, c = type_of(df, name), ref(name)
-    if isinstance(value, str):
-        return c == F.lit(value) if isinstance(dtype, TEXT) else None
-    if isinstance(dtype, T.BooleanType):
-        return c.cast("int") == F.lit(float(value))
-    return c == F.lit(int(value) if isinstance(value, bool) else value) if isinstance(dtype, NUMERIC) else None
-
-
 def find_cells_with_value(
     df: DataFrame, value: CellValue, columns: Sequence[str] | None = None, exact_match: bool = True,
     index: str = INDEX,
@@ -46,7 +36,7 @@ def find_cells_with_value(
         elif not exact_match and isinstance(value, str):
             hits[name] = value_of(df, name).cast("string").rlike("(?i)" + check_regex(df.sparkSession, value))
         else:
-            hits[name] = _equals(df, name, value)
+            hits[name] = equals(df, name, value)
     hits = {name: hit for name, hit in hits.items() if hit is not None}
     if not hits:
         return df.sparkSession.createDataFrame([], f"`{index}` bigint, column string, value string")

@@ -17,6 +17,7 @@ from ..plans.store import keep
 
 METHODS = ("pearson", "spearman", "kendall")
 PAIRS_PER_JOB = 100
+DIGIT_BITS = 3
 BROADCAST_RANKS = 500_000  # ranks of a column with at most this many distinct values are broadcast
 
 
@@ -138,37 +139,54 @@ def _kendall(values: DataFrame, k: int) -> dict:
 def _tau_b(pair: DataFrame) -> float:
     """tau-b in O(n log n) rows, without pairing rows.
 
-    Two values of y differ first at one bit of their dense rank. For every bit, the rows that share the higher bits
-    form a group; inside it a concordant pair is a row with the bit set and a row with the bit clear at a smaller x.
-    Running counts over x, spread over range partitions, count them. Discordant pairs follow from the ties.
+    Written in base 8, two dense ranks of y differ first at one digit. For every digit, the rows that share the higher
+    digits form a group; inside it a concordant pair is a row and a row with a smaller digit at a smaller x. Running
+    counts over x, one per digit value and spread over range partitions, count them. Discordant pairs follow from the
+    ties. The column with fewer distinct values takes the part of y, which keeps the number of digits low.
     """
     cells = keep(pair.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")))
     ties = lambda c: F.sum(_product(F.col(c), F.col(c) - 1))
     both, n = cells.agg(ties("n"), F.coalesce(F.sum("n"), F.lit(0))).first()
     if n < 2:
         return 0.0
-    by_x = cells.groupBy("x").agg(F.sum("n").alias("t")).agg(ties("t")).first()[0]
-    y_values = cells.groupBy("y").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("rows"))
-    by_y, distinct = y_values.agg(ties("t"), F.count(F.lit(1))).first()
+    values = {
+        c: cells.groupBy(c).agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("rows")) for c in ("x", "y")
+    }
+    (by_x, x_distinct), (by_y, y_distinct) = (
+        values[c].agg(ties("t"), F.count(F.lit(1))).first() for c in ("x", "y")
+    )
     all_pairs, by_x, by_y, both = n * (n - 1), int(by_x), int(by_y), int(both)  # each counted twice
     if all_pairs == by_x or all_pairs == by_y:
         return 0.0
-    ranks = keep(running_sums(y_values, [], ["y"], {"rank": F.lit(1)}).select("y", "rank", "rows"))
-    bits = max(1, (distinct - 1).bit_length())
-    levels = (
-        lookup_join(cells, ranks, ["y"], "rows")
-        .select("x", "n", "rank", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("level"))
-        .select("x", "level", F.expr("shiftright(rank, level + 1)").alias("prefix"),
-                F.expr("if(shiftright(rank, level) & 1 = 0, n, 0)").alias("clear"),
-                F.expr("if(shiftright(rank, level) & 1 = 1, n, 0)").alias("set"))
-        .groupBy("level", "prefix", "x").agg(F.sum("clear").alias("clear"), F.sum("set").alias("set"))
-    )
-    counted = running_sums(levels, ["level", "prefix"], ["x"], {"smaller": "clear"})
-    concordant = 2 * int(counted.agg(F.sum(_product(F.col("set"), F.col("smaller")))).first()[0] or 0)
+    along, ranked = ("x", "y") if y_distinct <= x_distinct else ("y", "x")
+    concordant = 2 * _concordant(cells, values[ranked], along, ranked, min(x_distinct, y_distinct))
     discordant = all_pairs - by_x - by_y + both - concordant
     return (concordant - discordant) / math.sqrt((all_pairs - by_x) * (all_pairs - by_y))
 
 
+def _concordant(cells: DataFrame, values: DataFrame, along: str, ranked: str, distinct: int) -> int:
+    ranks = keep(running_sums(values, [], [ranked], {"rank": F.lit(1)}).select(ranked, "rank", "rows"))
+    digits = max(1, math.ceil((distinct - 1).bit_length() / DIGIT_BITS))
+    base = 1 << DIGIT_BITS
+    if distinct <= BROADCAST_RANKS:
+        placed = cells.join(F.broadcast(ranks), ranked)
+    else:
+        placed = lookup_join(cells, ranks, [ranked], "rows")
+    digit = F.expr(f"shiftright(rank, level * {DIGIT_BITS}) % {base}")
+    levels = (
+        placed.select(along, "n", "rank", F.explode(F.sequence(F.lit(0), F.lit(digits - 1))).alias("level"))
+        .select(along, "level", F.expr(f"shiftright(rank, (level + 1) * {DIGIT_BITS})").alias("prefix"), digit.alias("digit"), "n")
+        .groupBy("level", "prefix", along)
+        .agg(*[F.sum(F.when(F.col("digit") == d, F.col("n")).otherwise(0)).alias(f"n{d}") for d in range(base)])
+    )
+    counted = running_sums(levels, ["level", "prefix"], [along], {f"before{d}": f"n{d}" for d in range(base - 1)})
+    smaller, pairs = F.lit(0).cast("long"), F.lit(0).cast("decimal(38,0)")
+    for d in range(1, base):
+        smaller = smaller + F.col(f"before{d - 1}")
+        pairs = pairs + _product(F.col(f"n{d}"), smaller)
+    return int(counted.agg(F.sum(pairs.cast("decimal(38,0)"))).first()[0] or 0)
+
+
 def _product(a, b):
     """An exact product of two counts."""
     return a.cast("decimal(19,0)") * b.cast("decimal(19,0)")

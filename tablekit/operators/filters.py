@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..errors import InvalidParameter
 from ..functions.text import check_regex
-from ..plans.columns import FLOATING, missing, ref, require, type_of
+from ..plans.columns import FLOATING, comparison, equals, is_one_of, missing, ref, require, type_of
 
 OPERATORS = (
     "=", "==", "!=", "not_equals", ">", "<", ">=", "<=", "contains", "not_contains", "starts_with", "ends_with",
@@ -24,6 +24,9 @@ OPERATORS = (
 )
 
 
+LISTS = ("in", "not_in")
+
+
 @dataclass(frozen=True)
 class Condition:
     column: str
@@ -44,16 +47,18 @@ def _condition(df: DataFrame, cond: Condition) -> Column:
     text = c.cast("string")
     if o not in OPERATORS:
         raise InvalidParameter("operator", o, f"one of {OPERATORS}")
+    same = None if v is None or o in LISTS else equals(df, name, v)
     if o in ("=", "=="):
-        return F.lit(False) if v is None else c == F.lit(v)
+        return F.lit(False) if same is None else same
     if o in ("!=", "not_equals"):
-        return F.lit(True) if v is None else c.isNull() | (c != F.lit(v))
-    if o in (">", ">="):
+        return F.lit(True) if same is None else c.isNull() | ~same
+    if o in (">", ">=", "<", "<="):
+        sides = comparison(df, name, v)
+        if sides is None:
+            raise InvalidParameter("value", v, f"a value that compares with {name}: {type_of(df, name).simpleString()}")
+        bound = {">": op.gt, ">=": op.ge, "<": op.lt, "<=": op.le}[o](*sides)
         # NaN sorts above every number in Spark, but counts as null here
-        bound = c > F.lit(v) if o == ">" else c >= F.lit(v)
-        return bound & ~F.isnan(c) if floating else bound
-    if o in ("<", "<="):
-        return c < F.lit(v) if o == "<" else c <= F.lit(v)
+        return bound & ~F.isnan(c) if floating and o in (">", ">=") else bound
     if o == "contains":
         return text.rlike(check_regex(df.sparkSession, str(v)))
     if o == "not_contains":
@@ -62,10 +67,9 @@ def _condition(df: DataFrame, cond: Condition) -> Column:
         return text.startswith(str(v))
     if o == "ends_with":
         return text.endswith(str(v))
-    if o in ("in", "not_in"):
+    if o in LISTS:
         values = list(v) if isinstance(v, (list, tuple, set, frozenset)) else [v]
-        known = [x for x in values if x is not None]
-        hit = c.isin(known) if known else F.lit(False)
+        hit = is_one_of(df, name, values)
         if o == "in":
             return hit | missing(df, name) if None in values else hit
         hit = F.coalesce(hit, F.lit(False))

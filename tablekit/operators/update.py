@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..errors import InvalidParameter
-from ..plans.columns import ref, require, type_of, value_of
+from ..plans.columns import equals, missing, ref, require, type_of, value_of
 from ..plans.joins import BROADCAST_ROWS, bounded, lookup_join
 from ..plans.store import keep
 from .project import literal_fits
@@ -18,7 +18,9 @@ MAX_INLINE_MAPPING = 1000
 def replace_values(df: DataFrame, column: str, pattern: object, replacement: object) -> DataFrame:
     """Replace cells that are equal to ``pattern`` as a whole."""
     c = ref(*require(df, [column]))
-    hit = c.isNull() if pattern is None else c == F.lit(pattern)
+    hit = missing(df, column) if pattern is None else equals(df, column, pattern)
+    if hit is None:
+        return df
     return df.withColumn(column, F.when(hit, F.lit(replacement)).otherwise(c))
 
 

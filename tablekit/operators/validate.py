@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..errors import InvalidParameter
 from ..functions.text import check_regex
-from ..plans.columns import INDEX, NUMERIC, missing, ref, require, type_of, value_of
+from ..plans.columns import INDEX, NUMERIC, equals, is_one_of, missing, require, type_of, value_of
 from ..plans.joins import lookup_join
 from ..plans.store import keep
 
@@ -78,16 +78,21 @@ def row_checks(df: DataFrame, column: str, rules: ColumnRules | Mapping[str, Any
                 raise InvalidParameter(name, column, "a numeric column")
     text = c.cast("string")
     spark = df.sparkSession
+
+    def same(v):
+        hit = equals(df, column, v)
+        return F.lit(False) if hit is None else hit
+
     violated = {
-        "equal_to": lambda v: c != F.lit(v),
-        "not_equal_to": lambda v: c == F.lit(v),
+        "equal_to": lambda v: ~same(v),
+        "not_equal_to": lambda v: same(v),
         "greater_than": lambda v: c <= F.lit(v),
         "greater_than_or_equal_to": lambda v: c < F.lit(v),
         "less_than": lambda v: c >= F.lit(v),
         "less_than_or_equal_to": lambda v: c > F.lit(v),
         "in_range": lambda v: _outside(c, v),
-        "isin": lambda v: ~c.isin(list(v)),
-        "notin": lambda v: c.isin(list(v)),
+        "isin": lambda v: ~is_one_of(df, column, v),
+        "notin": lambda v: is_one_of(df, column, v),
         "str_contains": lambda v: ~text.rlike(check_regex(spark, v)),
         "str_endswith": lambda v: ~text.endswith(v),
         "str_startswith": lambda v: ~text.startswith(v),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+import decimal
 import math
 from collections.abc import Iterable, Sequence
 
@@ -87,6 +89,41 @@ def value_of(df: DataFrame, name: str) -> Column:
     return F.nanvl(c, F.lit(None).cast(type_of(df, name))) if isinstance(type_of(df, name), FLOATING) else c
 
 
+def comparison(df: DataFrame, name: str, value: object) -> tuple[Column, Column] | None:
+    """The column and a constant as two sides that compare without an implicit cast of the data.
+
+    Numbers and booleans compare as numbers, dates with dates or their text, text with text. None: different kinds,
+    which are never equal and have no order.
+    """
+    c, dtype = ref(name), type_of(df, name)
+    if isinstance(dtype, TEXT):
+        return (c, F.lit(value)) if isinstance(value, str) else None
+    if isinstance(dtype, DATETIME):
+        if isinstance(value, (datetime.datetime, datetime.date)):
+            return c, F.lit(str(value)).cast(dtype)
+        return (c, F.lit(value).cast(dtype)) if isinstance(value, str) else None
+    if isinstance(value, bool) and isinstance(dtype, T.BooleanType):
+        return c, F.lit(value)
+    if isinstance(value, (bool, int, float, decimal.Decimal)):
+        number = F.lit(int(value) if isinstance(value, bool) else value)
+        if isinstance(dtype, T.BooleanType):
+            return c.cast("int"), number
+        return (c, number) if isinstance(dtype, NUMERIC) else None
+    return None
+
+
+def equals(df: DataFrame, name: str, value: object) -> Column | None:
+    """Equality with a constant; None when the column cannot hold it."""
+    sides = comparison(df, name, value)
+    return sides and sides[0] == sides[1]
+
+
+def is_one_of(df: DataFrame, name: str, values: Iterable) -> Column:
+    """Membership in a list of constants; those of another kind cannot match."""
+    sides = [s for s in (comparison(df, name, v) for v in values if v is not None) if s]
+    return sides[0][0].isin([literal for _, literal in sides]) if sides else F.lit(False)
+
+
 def missing(df: DataFrame, name: str) -> Column:
     c = ref(name)
     return c.isNull() | F.isnan(c) if isinstance(type_of(df, name), FLOATING) else c.isNull()

@@ -117,15 +117,15 @@ def with_row_index(
     return _offset_parts(sorted_parts(df, keys), index, _parts(df) - 1)
 
 
-def sorted_parts(df: DataFrame, keys: Sequence[str | Column], tag: str = PART) -> DataFrame:
+def sorted_parts(df: DataFrame, keys: Sequence[str | Column], fineness: int = 1) -> DataFrame:
     """Globally sorted, written table with the partition number and the position inside the partition.
 
-    Make ``keys`` unique (end with the row index): equal keys always land in one partition.
+    ``fineness`` times the usual number of partitions: a later shuffle by partition number is then more even. Make ``keys`` unique (end with the row index): equal keys always land in one partition.
     """
     keys = [ref(k) if isinstance(k, str) else k for k in keys]
-    rows = df.repartitionByRange(_parts(df), *keys).sortWithinPartitions(*keys)
+    rows = df.repartitionByRange(_parts(df) * fineness, *keys).sortWithinPartitions(*keys)
     local = F.monotonically_increasing_id().bitwiseAND((1 << LOCAL_BITS) - 1)
-    return keep(rows.withColumns({tag: F.spark_partition_id(), POS: local}))
+    return keep(rows.withColumns({PART: F.spark_partition_id(), POS: local}))
 
 
 def _parts(df: DataFrame) -> int:
@@ -151,17 +151,19 @@ def running_sums(
     adds the whole group's sum of a value under another name, ``{name: value}``.
     """
     groups, order = list(groups), list(order)
-    rows = table.withColumns({f"__v__{k}": F.col(v) if isinstance(v, str) else v for k, v in values.items()})
-    rows = sorted_parts(rows, [*groups, *order]).drop(POS)
+    source = {k: v if isinstance(v, str) else f"__v__{k}" for k, v in values.items()}
+    computed = {f"__v__{k}": v for k, v in values.items() if not isinstance(v, str)}
+    rows = table.withColumns(computed) if computed else table
+    rows = sorted_parts(rows, [*groups, *order], fineness=4).drop(POS)
     inside = Window.partitionBy(PART, *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     across = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*(groups or [F.lit(0)]))  # one row per partition that the group touches
-    carried = rows.groupBy(PART, *groups).agg(*[F.sum(f"__v__{k}").alias(f"__t__{k}") for k in values]).select(
+    carried = rows.groupBy(PART, *groups).agg(*[F.sum(v).alias(f"__t__{k}") for k, v in source.items()]).select(
         PART, *groups, *[F.coalesce(F.sum(f"__t__{k}").over(across), F.lit(0)).alias(f"__c__{k}") for k in values],
         *[F.sum(f"__t__{k}").over(whole).alias(name) for name, k in (totals or {}).items()],
     )
     inner = rows.withColumns(
-        {f"__i__{k}": F.coalesce(F.sum(f"__v__{k}").over(inside), F.lit(0)) for k in values}
+        {f"__i__{k}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for k, v in source.items()}
     )
     return inner.join(carried, [PART, *groups]).select(
         *[ref(c) for c in table.columns], *[(F.col(f"__i__{k}") + F.col(f"__c__{k}")).alias(k) for k in values],

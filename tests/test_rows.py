@@ -30,6 +30,22 @@ def test_every_operator(people, condition, expected):
     assert names(tk.filter_rows(people, [condition])) == expected
 
 
+def test_values_of_another_kind(spark):
+    import datetime
+    df = spark.createDataFrame(
+        [(0, "5", 5, True, datetime.datetime(2024, 1, 2)), (1, "x", 1, False, datetime.datetime(2024, 3, 1))],
+        f"{I} long, s string, n long, b boolean, t timestamp_ntz")
+    found = lambda *c: [r[I] for r in tk.filter_rows(df, [c]).orderBy(I).collect()]
+    assert found("s", "=", 5) == [] and found("n", "=", "5") == [] and found("s", "!=", 5) == [0, 1]
+    assert found("n", "=", True) == [1] and found("b", "=", 1) == [0] and found("b", "=", False) == [1] and found("b", "<", 1) == [1]
+    assert found("s", "in", [5, "x"]) == [1] and found("s", "not_in", [5]) == [0, 1] and found("n", "in", ["5"]) == []
+    assert found("t", ">", datetime.datetime(2024, 2, 1)) == [1] and found("t", "=", "2024-01-02") == [0]
+    assert found("t", "<=", datetime.date(2024, 1, 2)) == [0]
+    for wrong in (("s", ">", 3), ("n", "<", "3"), ("t", ">", 4), ("s", "<", None)):
+        with pytest.raises(InvalidParameter):
+            found(*wrong)
+
+
 def test_modes_and_counts(people):
     both = [("age", ">", 27), ("status", "=", "active")]
     assert names(tk.filter_rows(people, both)) == ["Ann", "Cora"]
