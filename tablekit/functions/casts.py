@@ -6,9 +6,17 @@ from pyspark.sql import Column, functions as F, types as T
 
 from ..errors import InvalidParameter
 
+# The spellings of a number.
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+SPECIAL = r"^\s*([+-]?(?i:inf|infinity)|(?i:nan))\s*$"
 TARGETS = ("int", "float", "str", "bool", "datetime")
 
 
+def text_to_double(c: Column) -> Column:
+    """Text as a double, null where it is no number. The pattern comes first: a cast that fails is far slower."""
+    return F.when(c.rlike(NUMBER), c.try_cast("double")).when(c.rlike(SPECIAL), c.try_cast("double"))
+
+
 def cast_column(c: Column, source: T.DataType, target: str, errors: str = "coerce", fmt: str | None = None) -> Column:
     if target not in TARGETS:
         raise InvalidParameter("dtype", target, f"one of {TARGETS}")
@@ -19,7 +27,7 @@ def cast_column(c: Column, source: T.DataType, target: str, errors: str = "coerc
     if target == "str":
         return c.cast("string")
     if target == "float":
-        value = c.try_cast("double") if coerce else c.cast("double")
+        value = c.cast("double") if not coerce else text_to_double(c) if text else c.try_cast("double")
         return F.nanvl(value, F.lit(None).cast("double"))
     if target == "int":
         return _to_int(c, source, coerce)
@@ -40,5 +48,5 @@ def _to_int(c: Column, source: T.DataType, coerce: bool) -> Column:
         return F.coalesce(c.try_cast("long"), c.cast("double").cast("long")) if isinstance(source, T.StringType) \
             else c.cast("long")
     if isinstance(source, T.StringType):
-        return F.coalesce(c.try_cast("long"), c.try_cast("double").try_cast("long"))
+        return F.coalesce(c.try_cast("long"), text_to_double(c).try_cast("long"))
     return c.try_cast("long")

@@ -50,8 +50,8 @@ def sort_data(
 
 # Tables with more rows than this are first searched for repeated key hashes.
 HASH_ROWS = 10_000_000
-# The search pays while at most this share of the rows are copies ...
-FEW_COPIES = 0.1
+# The search pays while at most about this share of the rows are copies ...
+FEW_COPIES = 0.2
 # ... and the repeated hashes fit a broadcast.
 REPEATED_HASHES = 1_000_000
 _HASH = "__hash__"
@@ -66,9 +66,11 @@ def _repeated_hashes(df: DataFrame, keys: Sequence[str], hash_rows: int) -> Data
 
     A sketch without a shuffle estimates the copies; then 8 bytes per row are shuffled instead of the row.
     """
+    rows = df.count()
+    if rows <= hash_rows:
+        return None
     hashes = df.select(_key_hash(df, keys).alias(_HASH))
-    rows, distinct = hashes.agg(F.count(F.lit(1)), F.approx_count_distinct(_HASH, 0.01)).first()
-    if rows <= hash_rows or distinct < rows * (1 - FEW_COPIES):
+    if hashes.agg(F.approx_count_distinct(_HASH)).first()[0] < rows * (1 - FEW_COPIES):
         return None
     repeated = keep_table(hashes.groupBy(_HASH).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(_HASH))
     small = bounded(repeated, REPEATED_HASHES)

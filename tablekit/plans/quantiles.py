@@ -19,7 +19,7 @@ from .columns import as_double, ref
 
 SKETCH_SIZE = 32768      # values per sketch level; its rank error is below REACH
 REACH = 2e-4             # how far the ends of a bracket lie from the wanted rank, as a share of the rows
-SMALL_ROWS = 100_000     # columns with at most this many values use the built-in exact percentile
+SMALL_ROWS = 200_000     # columns with at most this many values use the built-in exact percentile
 LIST_LIMIT = 100_000     # a bracket with at most this many values is listed
 COLUMNS_PER_JOB = 20     # keeps the generated code of one aggregate small
 

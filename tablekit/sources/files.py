@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..errors import EmptyInput, InvalidParameter
+from ..functions.casts import NUMBER, SPECIAL
 from ..plans.columns import INDEX, ref
 from ..plans.store import keep
 
@@ -81,11 +82,11 @@ def infer_column_types(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Cast text columns to boolean, long or double where every value fits, decided by one aggregate."""
     def fits(c, kind):
         v = F.trim(ref(c))
-        good = v.isin(list(BOOLEANS)) if kind == "boolean" else v.try_cast(kind).isNotNull()
-        if kind == "bigint":
-            good = v.rlike(r"^[+-]?\d+$") & good
-        if kind == "double":
-            good = good & ~v.rlike(r"[dDfF]$")
+        good = {
+            "boolean": lambda: v.isin(list(BOOLEANS)),
+            "bigint": lambda: F.when(v.rlike(r"^[+-]?\d+$"), v.try_cast("bigint").isNotNull()).otherwise(F.lit(False)),
+            "double": lambda: v.rlike(NUMBER) | v.rlike(SPECIAL),
+        }[kind]()
         return F.bool_and(v.isNull() | good)
 
     kinds = ("boolean", "bigint", "double")

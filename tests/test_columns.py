@@ -49,7 +49,8 @@ def one(spark, value, kind, expression):
 @pytest.mark.parametrize("value,kind,target,expected", [
     ("12", "string", "int", 12), ("3.7", "string", "int", 3), ("-3.7", "string", "int", -3), ("x", "string", "int", None),
     ("9007199254740993", "string", "int", 9007199254740993), (2.9, "double", "int", 2), (True, "boolean", "int", 1),
-    ("1e3", "string", "float", 1000.0), ("x", "string", "float", None), (5, "long", "float", 5.0), (5, "long", "str", "5"),
+    (" 7 ", "string", "int", 7), ("-inf", "string", "float", -math.inf), ("nan", "string", "float", None), ("1d", "string", "float", None),
+    (".5", "string", "float", 0.5), ("1e3", "string", "int", 1000), ("1e3", "string", "float", 1000.0), ("x", "string", "float", None), (5, "long", "float", 5.0), (5, "long", "str", "5"),
     (None, "long", "str", None), ("true", "string", "bool", True), ("false", "string", "bool", False), ("x", "string", "bool", None),
     (0, "long", "bool", False), (2.5, "double", "bool", True), (None, "string", "bool", None),
 ])

