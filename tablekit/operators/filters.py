@@ -6,7 +6,6 @@ predicates are left bare, because a filter drops null like false; that way Catal
 
 from __future__ import annotations
 
-import functools
 import operator as op
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
@@ -16,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..errors import InvalidParameter
 from ..functions.text import check_regex
-from ..plans.columns import FLOATING, comparison, equals, is_one_of, missing, ref, require, type_of
+from ..plans.columns import FLOATING, combined, comparison, equals, is_one_of, missing, ref, require, type_of
 
 OPERATORS = (
     "=", "==", "!=", "not_equals", ">", "<", ">=", "<=", "contains", "not_contains", "starts_with", "ends_with",
@@ -84,7 +83,7 @@ def predicate(df: DataFrame, conditions: Iterable[Condition | dict | tuple], mod
     parts = [_condition(df, _as_condition(c)) for c in conditions]
     if not parts:
         return F.lit(mode == "and")
-    return functools.reduce(op.and_ if mode == "and" else op.or_, parts)
+    return combined(op.and_ if mode == "and" else op.or_, parts)
 
 
 def filter_rows(df: DataFrame, conditions: Sequence[Condition | dict | tuple], mode: str = "and") -> DataFrame:

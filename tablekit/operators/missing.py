@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import operator as op
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..errors import InvalidParameter
-from ..plans.columns import INDEX, as_double, data_columns, missing, numeric_columns, ref, require, type_of, value_of
+from ..plans.columns import (
+    INDEX, as_double, combined, data_columns, missing, numeric_columns, ref, require, type_of, value_of,
+)
 from ..plans.metrics import most_frequent, value_histogram
 from ..plans.order import BLOCK, BLOCK_BITS, block_of, index_span, last_before
 from ..plans.quantiles import quantiles
@@ -39,10 +42,7 @@ def fill_missing_values(
 
 
 def _drop(df, targets):
-    bad = None
-    for c in targets:
-        bad = missing(df, c) if bad is None else bad | missing(df, c)
-    return df.filter(~bad) if targets else df
+    return df.filter(~combined(op.or_, [missing(df, c) for c in targets])) if targets else df
 
 
 def _constant(df, targets, value):
@@ -125,10 +125,7 @@ def values_filled(df: DataFrame, after: DataFrame, columns: Sequence[str] | None
     targets = data_columns(df, columns, index)
 
     def cells(frame):
-        total = F.lit(0).cast("long")
-        for c in targets:
-            total = total + F.count_if(missing(frame, c))
-        return total
+        return combined(op.add, [F.lit(0).cast("long"), *[F.count_if(missing(frame, c)) for c in targets]])
 
     before = df.agg(cells(df).alias("n")).scalar()
     return after.agg(F.count(F.lit(1)).alias("rows_affected"), cells(after).alias("__left__")).select(

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import operator as op
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..errors import InvalidParameter
-from ..plans.columns import INDEX, as_double, beyond, numeric_columns, require
+from ..plans.columns import INDEX, as_double, beyond, combined, numeric_columns, require
 from ..plans.metrics import moments, per_column
 from ..plans.quantiles import quantiles, scaled_bounds
 
@@ -60,9 +61,7 @@ def detect_outliers(
     ]
     if not hits:
         return df.sparkSession.createDataFrame([], f"column string, `{index}` bigint, value double, score double")
-    any_hit = None
-    for candidate, _, _ in rules.values():
-        any_hit = candidate if any_hit is None else any_hit | candidate
+    any_hit = combined(op.or_, [candidate for candidate, _, _ in rules.values()])
     found = (
         df.filter(any_hit)
         .select(F.col(index), F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("x"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import operator as op
 from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.columns import (
-    INDEX, boolean_columns, data_columns, datetime_columns, missing, numeric_columns, ref, text_columns, type_label,
+    INDEX, boolean_columns, combined, data_columns, datetime_columns, missing, numeric_columns, ref, text_columns, type_label,
     type_of, value_of,
 )
 from ..plans.metrics import is_null_slot, most_frequent, per_column, value_histogram
@@ -74,9 +76,7 @@ def get_data_summary(df: DataFrame, exact: bool = True, index: str = INDEX) -> D
 def get_table_summary(df: DataFrame, index: str = INDEX) -> DataFrame:
     """One row: shape, missing cells, and how many columns of each kind there are."""
     names = data_columns(df, None, index)
-    holes = F.lit(0).cast("long")
-    for c in names:
-        holes = holes + F.count_if(missing(df, c))
+    holes = combined(op.add, [F.lit(0).cast("long"), *[F.count_if(missing(df, c)) for c in names]])
     cells = F.col("rows") * F.lit(len(names))
     return df.agg(F.count(F.lit(1)).alias("rows"), holes.alias("total_missing")).select(
         "rows", F.lit(len(names)).cast("long").alias("columns"), "total_missing",
@@ -116,6 +116,19 @@ def value_forms(df: DataFrame, columns: Sequence[str] | None = None, index: str
     )
 
 
+def _date_columns(df: DataFrame, text: Sequence[str]) -> set[str]:
+    """The columns whose first 100 values all parse as dates; local limits and one small aggregate in one job."""
+    if not text:
+        return set()
+    first = [
+        df.select(F.lit(i).alias("i"), ref(c).alias("v")).filter("v IS NOT NULL").limit(100) for i, c in enumerate(text)
+    ]
+    good = functools.reduce(DataFrame.unionAll, first).groupBy("i").agg(
+        F.bool_and(F.col("v").try_cast("timestamp_ntz").isNotNull()).alias("dates")
+    )
+    return {text[r["i"]] for r in good.filter("dates").collect()}
+
+
 def validate_dataframe(df: DataFrame, index: str = INDEX, thresholds: Thresholds = DEFAULTS) -> DataFrame:
     """(severity, issue, column) of common problems.
 
@@ -129,12 +142,7 @@ def validate_dataframe(df: DataFrame, index: str = INDEX, thresholds: Thresholds
         return spark.createDataFrame([("error", "duplicate_column_name", c) for c in repeated], schema)
     names = data_columns(df, None, index)
     text = text_columns(df, None, index)
-    # the first values of a column: a limit per column, planned as local limits, not a sort
-    dates = {
-        c: df.select(ref(c).alias("v")).filter("v IS NOT NULL").limit(100)
-        .agg(F.count(F.lit(1)) > 0, F.count_if(F.col("v").try_cast("timestamp_ntz").isNull()) == 0).first()
-        for c in text
-    }
+    dates = _date_columns(df, text)
     seen = {c: F.collect_set(value_form(ref(c))) for c in text}  # at most five forms
     row = df.agg(
         F.count(F.lit(1)).alias("rows"),
@@ -149,5 +157,5 @@ def validate_dataframe(df: DataFrame, index: str = INDEX, thresholds: Thresholds
         uniques = value_histogram(df, text).groupBy("c").agg(F.count_if(~is_null_slot()).alias("u")).collect()
         found += [("info", "high_cardinality", text[r["c"]]) for r in uniques
                   if r["u"] / row["rows"] > thresholds.numeric_text_share]
-    found += [("info", "potential_datetime", c) for c in text if dates[c][0] and dates[c][1]]
+    found += [("info", "potential_datetime", c) for c in text if c in dates]
     return spark.createDataFrame(found, schema)

@@ -83,6 +83,14 @@ def type_label(dtype: T.DataType) -> str:
     return "object"
 
 
+def combined(op, parts: Sequence[Column]) -> Column:
+    """``parts`` joined by a binary operator as a balanced tree, which stays shallow on very wide tables."""
+    parts = list(parts)
+    while len(parts) > 1:
+        parts = [op(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0]
+
+
 def value_of(df: DataFrame, name: str) -> Column:
     """The column with NaN read as null."""
     c = ref(name)

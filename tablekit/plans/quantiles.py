@@ -10,12 +10,13 @@ sketch's error.
 from __future__ import annotations
 
 import math
+import operator as op
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .columns import as_double, ref
+from .columns import as_double, combined, ref
 
 SKETCH_SIZE = 32768      # values per sketch level; its rank error is below REACH
 REACH = 2e-4             # how far the ends of a bracket lie from the wanted rank, as a share of the rows
@@ -134,10 +135,7 @@ def _resolve(vals: DataFrame, targets: list[_Target], listed: int) -> None:
 
 
 def _any_within(targets: list[_Target]) -> Column:
-    wanted = targets[0].within()
-    for t in targets[1:]:
-        wanted = wanted | t.within()
-    return wanted
+    return combined(op.or_, [t.within() for t in targets])
 
 
 def _narrow(vals: DataFrame, targets: list[_Target]) -> None:

@@ -190,3 +190,10 @@ def test_values_filled(people):
     after = tk.fill_missing_values(people, "forward")
     assert tuple(tk.values_filled(people, after).first()) == (6, 5)
     assert tuple(tk.values_filled(people, tk.fill_missing_values(people, "drop")).first()) == (2, 6)
+
+
+def test_a_wide_table(spark):
+    wide = spark.range(20).select(F.col("id").alias(I), *[(F.col("id") * i % 7).cast("double").alias(f"c{i}") for i in range(120)])
+    assert tk.get_statistics(wide).count() == 120 and tk.outlier_counts(wide).count() == 120
+    assert tuple(tk.get_table_summary(wide).first())[:3] == (20, 120, 0)
+    assert tk.fill_missing_values(wide, "drop").count() == 20
