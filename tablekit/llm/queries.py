@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate
+from . import decontaminate, quality, toxicity
 
 QUERIES, SQL = {}, {}
 
@@ -21,3 +21,18 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 @query
 def op10_decontamination(spark, d):
     return decontaminate.contamination_report(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query
+def op1_toxicity(spark, d):
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    return toxicity.score(docs, toxicity.fit(docs, labels, grade="toxic", binary=True))
+
+
+@query
+def op3_quality(spark, d):
+    docs = table(spark, d, "documents")
+    model = quality.fit(docs, table(spark, d, "labels"), allowed=~quality.held_out(F.col("id")))
+    scored = quality.score(docs, model)
+    apart = F.coalesce(quality.held_out(F.col("doc_id")), F.lit(False))
+    return scored.select("doc_id", apart.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
