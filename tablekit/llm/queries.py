@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, quality, toxicity
+from . import decontaminate, packing, pieces, quality, toxicity
 
 QUERIES, SQL = {}, {}
 
@@ -36,3 +37,31 @@ def op3_quality(spark, d):
     scored = quality.score(docs, model)
     apart = F.coalesce(quality.held_out(F.col("doc_id")), F.lit(False))
     return scored.select("doc_id", apart.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def _vocabulary(name: str) -> bytes:
+    with open(public_tokenizers.path(name), "rb") as file:
+        return file.read()
+
+
+def piece_model() -> bytes:
+    return _vocabulary("piece_bpe_32k.model")
+
+
+def rank_file() -> bytes:
+    return _vocabulary("byte_bpe_50k.tiktoken")
+
+
+@query
+def op7_sentencepiece(spark, d):
+    rows = pieces.decode(pieces.encode(table(spark, d, "documents"), piece_model()), piece_model())
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op9_packing(spark, d):
+    return packing.pack(table(spark, d, "documents"), rank_file())
