@@ -140,12 +140,17 @@ class Pieces(dict):
     def _cut(self) -> re.Pattern:
         """Where texts, with plain blanks, may be cut: between characters that no piece holds side by side."""
         pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
-        letter = lambda c: bool(re.match(r"[^\W\d_]", c))
         if any(b == BLANK and a != BLANK for a, b in pairs):
             return re.compile(".+", re.DOTALL)
-        if any(letter(a) and not letter(b) for a, b in pairs):
+        letter = re.compile(r"[^\W\d_]")
+        # Raised digits and the like count as letters here; those that stand before other characters don't.
+        odd = {a for a, b in pairs if letter.match(a) and not letter.match(b) and not a.isalpha()}
+        known = lambda c: bool(letter.match(c)) and c not in odd
+        if any(known(a) and not known(b) for a, b in pairs):
             return re.compile(" *[^ ]+| +")
-        return re.compile(r" *(?:[^\w ]|[\d_])*[^\W\d_]+| *(?:[^\w ]|[\d_])+| +")
+        odd = re.escape("".join(sorted(odd)))
+        letters, others = rf"[^\W\d_{odd}]", rf"(?:[^\w ]|[\d_{odd}])"
+        return re.compile(f" *{others}*{letters}+| *{others}+| +")
 
     def parts(self, text: str) -> list[str]:
         if not text:
