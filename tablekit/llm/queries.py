@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, packing, pieces, quality, toxicity
+from ..plans.store import checkpoint_root
+from . import decontaminate, packing, pieces, quality, toxicity, warc
 
 QUERIES, SQL = {}, {}
 
@@ -65,3 +68,14 @@ def op7_sentencepiece(spark, d):
 @query
 def op9_packing(spark, d):
     return packing.pack(table(spark, d, "documents"), rank_file())
+
+
+@query
+def op8_warc(spark, d):
+    path = f"{checkpoint_root(spark)}/tablekit/warc/{uuid.uuid4().hex}"
+    pages = table(spark, d, "pages")
+    warc.write(pages, path)
+    kind = dict(pages.dtypes)["page_id"]
+    return warc.read(spark, path).select(
+        F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")
+    )
