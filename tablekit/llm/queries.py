@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.store import checkpoint_root
-from . import decontaminate, packing, pieces, quality, toxicity, warc
+from . import decontaminate, layout, packing, pieces, quality, toxicity, warc
 
 QUERIES, SQL = {}, {}
 
@@ -79,3 +79,8 @@ def op8_warc(spark, d):
     return warc.read(spark, path).select(
         F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")
     )
+
+
+@query
+def op5_html(spark, d):
+    return layout.extract(table(spark, d, "pages"))
