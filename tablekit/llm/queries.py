@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.store import checkpoint_root
-from . import decontaminate, layout, packing, pieces, quality, toxicity, warc
+from . import decontaminate, layout, packing, pieces, quality, toxicity, vectors, warc
 
 QUERIES, SQL = {}, {}
 
@@ -84,3 +84,8 @@ def op8_warc(spark, d):
 @query
 def op5_html(spark, d):
     return layout.extract(table(spark, d, "pages"))
+
+
+@query
+def op4_vectors(spark, d):
+    return vectors.near_duplicates(table(spark, d, "embeddings"))
