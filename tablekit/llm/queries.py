@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.store import checkpoint_root
-from . import decontaminate, layout, packing, pieces, quality, toxicity, vectors, warc
+from . import decontaminate, jaccard, layout, packing, pieces, quality, toxicity, vectors, warc
 
 QUERIES, SQL = {}, {}
 
@@ -89,3 +89,8 @@ def op5_html(spark, d):
 @query
 def op4_vectors(spark, d):
     return vectors.near_duplicates(table(spark, d, "embeddings"))
+
+
+@query
+def op6_jaccard(spark, d):
+    return jaccard.similarity_join(table(spark, d, "documents"), size=3, threshold=0.9).drop("key")

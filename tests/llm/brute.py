@@ -32,3 +32,34 @@ def contamination(docs, items, window=10):
         digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         out.append((doc, len(w), len(hit), len(found), digest, bool(hit)))
     return out
+
+
+def shingles(text, size):
+    w = BLANK.findall(fold(text))
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def similar(docs, size, threshold):
+    """Set size and component by document, from all pairs that share a shingle."""
+    sets = [shingles(t, size) for _, t in docs]
+    by, parent = {}, list(range(len(docs)))
+
+    def find(k):
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    for k, s in enumerate(sets):
+        counts = {}
+        for x in s:
+            for j in by.setdefault(x, []):
+                counts[j] = counts.get(j, 0) + 1
+            by[x].append(k)
+        for j, shared in counts.items():
+            if 1000 * shared >= round(1000 * threshold) * (len(s) + len(sets[j]) - shared):
+                parent[find(k)] = find(j)
+    least = {}
+    for k, (doc, _) in enumerate(docs):
+        least[find(k)] = min(least.get(find(k), doc), doc, key=lambda x: (x is None, x))
+    return {doc: (len(sets[k]), least[find(k)]) for k, (doc, _) in enumerate(docs)}
