@@ -1,7 +1,88 @@
-"""The corpus pipeline: stages over the documents, each written and read again."""
+"""The corpus pipeline: stages over the documents, each written as Parquet and read again.
 
-STAGES = []
+A stage takes the session, the documents that its predecessor kept, and the folder of the tables. All but the last return the
+columns of ``documents``; ``n_chars`` follows the text where a stage changes it.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tablekit.llm import decontaminate, jaccard, pieces, quality, secrets
+from tablekit.llm.queries import piece_model, secret_forest, table
+from tablekit.plans.store import keep
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document of which a greater share of words is found in the benchmark goes; others lose those words.
+LEAKED_SHARE = 0.5
+
+
+def _recounted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on them and the labels, doesn't reject."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), allowed=~quality.held_out(F.col("id")))
+    scored = quality.score(docs, model, extra=COLUMNS[1:])
+    return scored.where(F.col("score") >= quality.THRESHOLD).select(*COLUMNS)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by a similarity of 0.8 on runs of five words, the one with the smallest id.
+
+    Documents are told apart by id and text. Of rows equal in both, one stays; rows without id stay.
+    """
+    found = jaccard.similarity_join(docs, size=5, threshold=0.8).where("doc_id is not null")
+    groups = keep(found.groupBy("doc_id", "key", "component_id").count().where("count > 1 or doc_id <> component_id"))
+    # Two texts of one id in one group: the one with the smaller hash stays.
+    first = F.struct("doc_id", "key")
+    shared = found.where("doc_id = component_id").groupBy("component_id").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first <> last")
+    gone = groups.where("doc_id <> component_id").select(first.alias("it")).union(
+        found.where("doc_id = component_id").join(shared, "component_id").where("key <> first").select(first)
+    ).distinct()
+    held = docs.select(*COLUMNS).withColumn("it", F.struct("doc_id", F.xxhash64("text").alias("key")))
+    kept = held.join(gone, "it", "left_anti")
+    # Rows equal in id and text are few; only they are grouped.
+    again = groups.where("count > 1 and doc_id = component_id").select(first.alias("it")).distinct()
+    once = kept.join(again, "it", "left_anti")
+    more = kept.join(again, "it", "left_semi").dropDuplicates(["it"])
+    return once.unionByName(more).select(*COLUMNS)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words that occur in windows of the benchmark; those mostly made of them go."""
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), extra=COLUMNS[2:])
+    kept = decontaminate.remove_documents(found, LEAKED_SHARE)
+    return _recounted(decontaminate.remove_spans(kept))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets masked."""
+    return _recounted(secrets.redacted(docs.select(*COLUMNS), secret_forest(docs), path="source"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per document its ids with the end id, their number, and digests of the ids and of the text that they decode to."""
+    rows = pieces.decode(pieces.encode(docs, piece_model()), piece_model())
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+STAGES = [
+    ("quality classifier", good_quality), ("n-gram Jaccard join", without_near_duplicates), ("benchmark decontamination", without_benchmark),
+    ("secret scans", without_secrets), ("SentencePiece encoding and decoding", token_ids),
+]
+
+#: Training and tokenization can't be said in SQL; the stages are tested against plain versions instead.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another over ``documents``; each result is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = keep(stage(spark, docs, sf_dir))
+    return docs

@@ -98,9 +98,9 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-    item_text: str = "text", window: int = WINDOW, slice_bytes: int = SLICE_BYTES,
+    item_text: str = "text", window: int = WINDOW, slice_bytes: int = SLICE_BYTES, extra: list[str] = (),
 ) -> DataFrame:
-    """One row per row of ``docs``: id, text, ``n_words``, ``hit`` (spans of word positions) and ``items`` (ids as strings).
+    """One row per row of ``docs``: id, text, ``extra`` columns, ``n_words``, ``hit`` (spans of word positions) and ``items`` (ids as strings).
 
     Words are runs of digits, a-z (A-Z are folded) and non-ASCII characters. A window is ``window`` consecutive words of an
     item, or all words of a shorter one. Null and empty texts have no words and no hits; items without words or id are
@@ -111,7 +111,7 @@ def find_contamination(
     ).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // slice_bytes))
-    held = F.struct(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
+    held = F.struct(F.col(id).alias("id"), F.col(text).cast("string").alias("text"), *[F.col(c).alias(f"x{k}") for k, c in enumerate(extra)])
     out = docs.select(
         held.alias("row"), F.lit(0).cast("long").alias("n_words"),
         F.lit(None).cast("array<struct<start:int, stop:int>>").alias("hit"), F.lit(None).cast("array<string>").alias("items"),
@@ -122,7 +122,7 @@ def find_contamination(
         out = out.mapInArrow(_scan(windows), out.schema)
         if n > 1:
             out = keep(out)  # so that only one slice of the windows is in memory
-    return out.select(F.col("row.id").alias(id), F.col("row.text").alias(text), "n_words", "hit", "items")
+    return out.select(F.col("row.id").alias(id), F.col("row.text").alias(text), *[F.col(f"row.x{k}").alias(c) for k, c in enumerate(extra)], "n_words", "hit", "items")
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", **options) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.store import checkpoint_root
-from . import decontaminate, jaccard, layout, packing, pieces, quality, toxicity, vectors, warc
+from . import decontaminate, jaccard, layout, packing, pieces, quality, secrets, toxicity, vectors, warc
 
 QUERIES, SQL = {}, {}
 
@@ -94,3 +94,15 @@ def op4_vectors(spark, d):
 @query
 def op6_jaccard(spark, d):
     return jaccard.similarity_join(table(spark, d, "documents"), size=3, threshold=0.9).drop("key")
+
+
+def secret_forest(docs: DataFrame) -> secrets.Forest:
+    """The tables hold no labelled findings: strict formats label those of ``documents``."""
+    return secrets.fit(secrets.findings(docs, path="source").withColumn("label", secrets.strict_label()))
+
+
+@query
+def op2_secrets(spark, d):
+    docs = table(spark, d, "documents")
+    found = secrets.scan(docs, secret_forest(docs), path="source")
+    return found.select("doc_id", "start", "length", F.sha2(F.col("secret").cast("binary"), 256).alias("secret_sha256"), "score", "is_secret")
