@@ -4,10 +4,11 @@ Documents with equal sets are one class. Two classes that are similar enough sha
 common order, and their sizes are close; so classes meet in buckets of shingle and size range. The order puts the most
 frequent shingles last. Candidates are verified on the whole sets. That happens twice:
 
-* Of each bucket only its first class is a partner first, where many buckets agree. What that links is one component, so that a
-  large group of near copies costs a star, not all its pairs.
-* Buckets whose classes aren't in one component then become signature trees: a node holds the OR of its classes' token
-  bitmaps and their range of sizes, and a dual traversal drops pairs of nodes whose largest possible overlap is too small.
+* Of each bucket only its first class, the hub, is a partner first, where many buckets agree. What that links is one component, so
+  that a large group of near copies costs a star, not all its pairs.
+* Buckets with the same hub are one group. Groups whose classes aren't in one component become signature trees: a node holds the
+  OR of its classes' token bitmaps and their range of sizes, and a dual traversal drops pairs of nodes whose largest possible
+  overlap is too small.
 
 Only links matter to the result, which is a component for each document; no document, shingle or pair is left out.
 """
@@ -26,7 +27,7 @@ from .words import BLANK_SEPARATED, mix, runs, slices, words
 
 #: Frequent shingles that are put last, at most; they are broadcast.
 FREQUENT = 200_000
-#: Classes of a bucket in one block.
+#: Classes of a group in one block.
 BLOCK = 1024
 #: Of the shingles that a class has in buckets, the share that must agree on a partner in the first part.
 AGREEING = 0.3
@@ -115,8 +116,8 @@ def _described(size: int, threshold: float, frequent):
 
 
 def _bitmap(hashes: np.ndarray) -> np.ndarray:
-    """As many bits as shingles, up to the next power of two and 64 at least."""
-    bits = max(64, 1 << (len(hashes) - 1).bit_length())
+    """Four bits a shingle, up to the next power of two and 64 at least."""
+    bits = max(64, 4 << (len(hashes) - 1).bit_length())
     at = (hashes >> np.uint64(20)) & np.uint64(bits - 1)
     out = np.zeros(bits, np.uint8)
     out[at.astype(np.int64)] = 1
@@ -226,7 +227,7 @@ def _candidates(threshold: float):
         a, b = rows["node"][one[u]], rows["node"][two[v]]
         return np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
 
-    names = ["bucket", "i", "j", "block", "node", "root", "n"]
+    names = ["hub", "i", "j", "block", "node", "root", "n"]
 
     def candidates(batches):
         held = None
@@ -237,7 +238,7 @@ def _candidates(threshold: float):
             if table is None or not table.num_rows:
                 continue
             rows = {n: table.column(n).to_numpy() for n in names}
-            edge = np.flatnonzero((np.diff(rows["bucket"]) != 0) | (np.diff(rows["i"]) != 0) | (np.diff(rows["j"]) != 0)) + 1
+            edge = np.flatnonzero((np.diff(rows["hub"]) != 0) | (np.diff(rows["i"]) != 0) | (np.diff(rows["j"]) != 0)) + 1
             stops = [0, *edge.tolist(), table.num_rows]
             last = len(stops) - 1 if batch is None else len(stops) - 2  # the last group may go on in the next batch
             bitmaps = table.column("bitmap").slice(0, stops[last]).to_pylist()
@@ -287,7 +288,7 @@ class _Join:
         self.classes = filled.groupBy("name").agg(F.min("id").alias("least"), F.min(F.struct("id", "key")).alias("shown"), F.count("*").alias("copies"))
 
     def members(self) -> DataFrame:
-        """``bucket``, ``node``, ``n`` and ``hub``, the smallest node, of all buckets with two classes or more."""
+        """``hub`` and ``node`` with its ``n`` and the number of buckets in which it meets the hub, the smallest node there."""
         one = self.sets.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min_by("first", "key").alias("first"))
         rows = keep(one).select("node", "n", F.explode("first").alias("token"))
         shared = rows.groupBy("token").count().where("count > 1").select("token")
@@ -295,7 +296,7 @@ class _Join:
         ranged = rows.join(shared, "token").withColumn("level", F.explode(F.array(level, level + 1)))
         keyed = keep(ranged.select(F.xxhash64("token", "level").alias("bucket"), "node", "n"))
         full = keyed.groupBy("bucket").agg(F.count("*").alias("many"), F.min("node").alias("hub")).where("many > 1")
-        return keep(keyed.join(full, "bucket"))
+        return keep(keyed.join(full, "bucket").groupBy("hub", "node", "n").count())
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Names ``a`` and ``b`` of the pairs ``x``, ``y`` of nodes whose sets are similar."""
@@ -312,29 +313,30 @@ class _Join:
     def stars(self, members: DataFrame) -> DataFrame:
         """Each class with the partner on which most of its buckets agree."""
         first = F.col("n") - F.ceil(F.col("n") * self.threshold - 1e-9) + 1
-        agreed = members.where("node <> hub").groupBy("node", "hub", "n").count().where(F.col("count") >= AGREEING * first)
-        return agreed.select(F.col("hub").alias("x"), F.col("node").alias("y")).distinct()
+        agreed = members.where("node <> hub").where(F.col("count") >= AGREEING * first)
+        return agreed.select(F.col("hub").alias("x"), F.col("node").alias("y"))
 
     def rest(self, members: DataFrame, roots: DataFrame) -> DataFrame:
-        """Candidates from the buckets that hold several components."""
+        """Candidates from the groups that hold several components."""
         named = self.sets.where("n > 0").select("name", "node").distinct().join(roots, F.col("name") == roots["node_name"], "inner")
         labelled = members.join(named.groupBy("node").agg(F.min(F.xxhash64("root")).alias("root")), "node", "left")
-        labelled = keep(labelled.select("bucket", "node", "n", "many", F.coalesce("root", F.xxhash64("node")).alias("root")))
-        mixed = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-        open_ = labelled.join(mixed, "bucket").withColumn("blocks", F.ceil(F.col("many") / self.block).cast("int"))
-        block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        blocked = open_.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        blocked = blocked.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "n")
+        labelled = keep(labelled.select("hub", "node", "n", F.coalesce("root", F.xxhash64("node")).alias("root")))
+        groups = labelled.groupBy("hub").agg(F.count("*").alias("many"), F.min("root").alias("low"), F.max("root").alias("high"))
+        mixed = groups.where("low <> high").select("hub", F.ceil(F.col("many") / self.block).cast("int").alias("blocks"))
+        block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
+        blocked = labelled.join(mixed, "hub").select("*", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        blocked = blocked.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "n")
         bitmaps = self.sets.where("n > 0").groupBy("node").agg(F.min_by("bitmap", "key").alias("bitmap"))
-        ready = blocked.join(bitmaps, "node").select("bucket", "i", "j", "block", "node", "root", "n", "bitmap")
-        ready = ready.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        ready = blocked.join(bitmaps, "node").select("hub", "i", "j", "block", "node", "root", "n", "bitmap")
+        ready = ready.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
         return ready.mapInArrow(_candidates(self.threshold), "x long, y long").distinct()
 
 
 def similarity_join(
     docs: DataFrame, *, id: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8, block: int = BLOCK, frequent: int = FREQUENT,
 ) -> DataFrame:
-    """One row per row of ``docs``: id, ``n_shingles``, ``component_id`` and ``key``, the 64-bit hash of the text.
+    """One row per row of ``docs``: id, ``n_shingles``, ``component_id``, ``key``, the 64-bit hash of the text, and
+    ``group``, a name that the documents of one component and no others have.
 
     Words are what blanks separate, with A-Z folded; a set holds the distinct runs of ``size`` words, or all words of a
     shorter text as one. Two documents link when their sets' Jaccard similarity is ``threshold`` or more, and ``component_id`` is the
@@ -353,8 +355,8 @@ def similarity_join(
     notable = join.classes.join(roots, F.col("name") == F.col("node"), "left").where("copies > 1 or root is not null")
     notable = keep(notable.select("name", "least", F.coalesce("root", "name").alias("root")))
     smallest = notable.groupBy("root").agg(F.min("least").alias("component_id"))
-    answers = notable.join(smallest, "root").select("name", "component_id")
+    answers = notable.join(smallest, "root").select("name", "component_id", "root")
     spread = join.sets.select("id", "key", "n", F.coalesce("name", F.xxhash64("id").cast("string")).alias("name"))
     return spread.join(answers, "name", "left").select(
-        F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "key"
+        F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "key", F.coalesce("root", "name").alias("group")
     )

@@ -93,7 +93,7 @@ def test_groups_that_span_batches():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(1, 1 << 62, 100).astype(np.uint64)) for _ in range(4)]
     rows = [(bucket, 0, 0, 0, 10 * k + c, 10 * k + c, 100, jaccard._bitmap(sets[k]).tobytes()) for bucket in range(5) for k in range(4) for c in range(2)]
-    table = pa.table(dict(zip(["bucket", "i", "j", "block", "node", "root", "n", "bitmap"], map(list, zip(*rows)))))
+    table = pa.table(dict(zip(["hub", "i", "j", "block", "node", "root", "n", "bitmap"], map(list, zip(*rows)))))
     whole = [x for b in jaccard._candidates(0.9)(table.to_batches()) for x in zip(*(c.to_pylist() for c in b.columns))]
     cut = [x for b in jaccard._candidates(0.9)(table.to_batches(max_chunksize=3)) for x in zip(*(c.to_pylist() for c in b.columns))]
     assert sorted(whole) == sorted(cut) == sorted((10 * k, 10 * k + 1) for _ in range(5) for k in range(4))
