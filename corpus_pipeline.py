@@ -31,22 +31,19 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by a similarity of 0.8 on runs of five words, the one with the smallest id.
 
-    Documents are told apart by id and text. Of rows equal in both, one stays; rows without id stay.
+    Documents are told apart by id and text. Of a group's texts with the same smallest id, that with the smallest hash stays, and
+    of rows equal in both, one. A row without id goes if a document with an id is in its group.
     """
-    found = jaccard.similarity_join(docs, size=5, threshold=0.8).where("doc_id is not null")
-    groups = keep(found.groupBy("doc_id", "key", "component_id").count().where("count > 1 or doc_id <> component_id"))
-    # Two texts of one id in one group: the one with the smaller hash stays.
-    first = F.struct("doc_id", "key")
-    shared = found.where("doc_id = component_id").groupBy("component_id").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first <> last")
-    gone = groups.where("doc_id <> component_id").select(first.alias("it")).union(
-        found.where("doc_id = component_id").join(shared, "component_id").where("key <> first").select(first)
-    ).distinct()
-    held = docs.select(*COLUMNS).withColumn("it", F.struct("doc_id", F.xxhash64("text").alias("key")))
-    kept = held.join(gone, "it", "left_anti")
+    found = keep(jaccard.similarity_join(docs, size=5, threshold=0.8).where("component_id is not null"))
+    it = F.struct("doc_id", "key").alias("it")
+    first = found.where("doc_id = component_id")
+    several = first.groupBy("group").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high")
+    gone = found.where("doc_id is null or doc_id <> component_id").select(it).union(first.join(several, "group").where("key <> low").select(it))
+    held = docs.select(*COLUMNS, F.struct("doc_id", F.xxhash64("text").alias("key")).alias("it"))
+    kept = held.join(gone.distinct(), "it", "left_anti")
     # Rows equal in id and text are few; only they are grouped.
-    again = groups.where("count > 1 and doc_id = component_id").select(first.alias("it")).distinct()
-    once = kept.join(again, "it", "left_anti")
-    more = kept.join(again, "it", "left_semi").dropDuplicates(["it"])
+    again = first.groupBy("doc_id", "key").count().where("count > 1").select(it)
+    once, more = kept.join(again, "it", "left_anti"), kept.join(again, "it", "left_semi").dropDuplicates(["it"])
     return once.unionByName(more).select(*COLUMNS)
 
 
