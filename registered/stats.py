@@ -55,11 +55,9 @@ def _describe(column, source):
 
 
 @query("statistics", " UNION ALL ".join(
-    _describe(c, "lineitem") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber")))
+    _describe(c, "lineitem") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber")))
 def statistics(spark, d):
-    items = table(spark, d, "lineitem").select(
-        "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_returnflag")
-    return rounded(tk.get_statistics(items))
+    return rounded(tk.get_statistics(table(spark, d, "lineitem")))
 
 
 @query("statistics_with_nulls", " UNION ALL ".join(_describe(c, HOLED) for c in ("event_id", "user_id", "value")))
@@ -224,9 +222,10 @@ def profile(spark, d):
 
 @query("profile_customer", " UNION ALL ".join([
     _profile("c_custkey", "customer", "int64"), _profile("c_name", "customer", "object"),
-    _profile("c_nationkey", "customer", "int64"), _profile("c_mktsegment", "customer", "object")]))
+    _profile("c_nationkey", "customer", "int64"), _profile("c_mktsegment", "customer", "object"),
+    _profile("c_acctbal", "customer", "float64")]))
 def profile_customer(spark, d):
-    return tk.profile_data(table(spark, d, "customer").drop("c_acctbal"))
+    return tk.profile_data(table(spark, d, "customer"))
 
 
 def _summary(c, dtype, kind):

@@ -9,8 +9,8 @@ from pyspark.sql import Column, SparkSession, functions as F
 
 from ..errors import InvalidParameter
 
-# The characters that stripping removes by default.
-WHITESPACE = " \t\n\r\f\v"
+# The characters that stripping removes by default, all that Unicode calls white space and four separators.
+WHITESPACE = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _text(c: Column | str) -> Column:
@@ -51,10 +51,12 @@ def text_length(c) -> Column:
 
 
 def java_regex(pattern: str) -> str:
-    """A Python-style pattern as Spark's regex functions read it: named groups and the end-of-text anchor."""
+    """A Python-style pattern as Spark's regex functions read it: named groups, the end-of-text anchor, and classes and
+    case folding (``\\w``, ``\\d``, ``\\s``, ``\\b``, ``(?i)``) by Unicode."""
     pattern = re.sub(r"\(\?P<(\w+)>", r"(?<\1>", pattern)
     pattern = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern)
-    return re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", pattern)
+    pattern = re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", pattern)
+    return pattern if pattern.startswith("(?U)") else "(?U)" + pattern
 
 
 def java_replacement(replacement: str) -> str:

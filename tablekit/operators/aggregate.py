@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..errors import InvalidParameter
-from ..plans.columns import INDEX, as_double, missing, numeric_columns, ref, require, value_of
+from ..plans.columns import INDEX, INTEGRAL, as_double, missing, numeric_columns, ref, require, type_of, value_of
 from ..plans.order import running_sums
 
 FUNCTIONS = ("count", "mean", "median", "sum", "min", "max", "std", "var", "first", "last", "nunique")
@@ -23,7 +23,8 @@ def _aggregate(df: DataFrame, name: str, function: str, index: str) -> Column:
         at = F.when(c.isNotNull(), ref(index))
         return F.min_by(c, at) if function == "first" else F.max_by(c, at)
     if function == "sum":
-        return F.coalesce(F.sum(c), F.lit(0).cast("double"))
+        total = F.sum(c)  # keeps the kind of its column: whole numbers, decimals or doubles
+        return F.coalesce(total, F.lit(0).cast(_sum_type(type_of(df, name))))
     plain = {
         "count": F.count, "mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_samp, "var": F.var_samp,
         "nunique": F.count_distinct, "median": lambda x: F.percentile(x.cast("double"), 0.5),
@@ -31,6 +32,12 @@ def _aggregate(df: DataFrame, name: str, function: str, index: str) -> Column:
     return plain[function](c)
 
 
+def _sum_type(dtype: T.DataType) -> T.DataType:
+    if isinstance(dtype, T.DecimalType):
+        return T.DecimalType(min(38, dtype.precision + 10), dtype.scale)
+    return T.LongType() if isinstance(dtype, INTEGRAL) else T.DoubleType()
+
+
 def group_by_aggregate(
     df: DataFrame, group_by: Sequence[str], aggregations: Mapping[str, str | Sequence[str]], index: str = INDEX,
     distinct_limit: int = GROUP_DISTINCT_LIMIT,

@@ -113,6 +113,12 @@ def lookup_rows(df: DataFrame, rows: Iterable[int] | DataFrame, columns: Sequenc
 def column_slice(df: DataFrame, column: str, start: int = 0, end: int | None = None, index: str = INDEX) -> DataFrame:
     """The values of one column for ``start <= row < end``."""
     require(df, [index, column])
+    if start < 0:
+        raise InvalidParameter("start", start, "0 or more")
+    if end is not None and end <= start:
+        raise InvalidParameter("end", end, f"more than the start, {start}")
+    if start and df.filter(F.col(index) >= start).isEmpty():
+        raise InvalidParameter("start", start, "a row of the table")
     wanted = F.col(index) >= start
     if end is not None:
         wanted = wanted & (F.col(index) < end)
@@ -194,14 +200,21 @@ def rows_from_json(json_rows: DataFrame, like: DataFrame, index: str = INDEX) ->
 def delete_rows(df: DataFrame, rows: Iterable[int] | DataFrame, index: str = INDEX) -> DataFrame:
     """Remove rows by position and close the gaps.
 
-    A list shifts the later rows by a literal count, without a shuffle; a DataFrame of positions is anti-joined.
+    A list shifts the later rows by a literal count, without a shuffle; a DataFrame of positions is anti-joined. Positions
+    outside the table raise.
     """
     require(df, [index])
+    size = df.agg(F.coalesce(F.max(index) + 1, F.lit(0))).first()[0]
     if isinstance(rows, DataFrame):
+        low, high = rows.agg(F.min(index), F.max(index)).first()
+        if low is not None and not 0 <= low <= high < size:
+            raise InvalidParameter("rows", low if low < 0 else high, f"0 to {size - 1}")
         return renumber(df.join(bounded(rows.select(index)), index, "left_anti"), by=index, index=index)
     gone = sorted(set(rows))
     if not gone:
         return df
+    if gone[0] < 0 or gone[-1] >= size:
+        raise InvalidParameter("rows", gone[0] if gone[0] < 0 else gone[-1], f"0 to {size - 1}")
     before = F.size(F.filter(F.array(*[F.lit(r).cast("long") for r in gone]), lambda r: r < F.col(index)))
     return df.filter(~F.col(index).isin(gone)).withColumn(index, (F.col(index) - before).cast("long"))
 

@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..errors import InvalidParameter
 from ..functions.text import check_regex
-from ..plans.columns import FLOATING, combined, comparison, equals, is_one_of, missing, ref, require, type_of
+from ..plans.columns import FLOATING, combined, comparison, equals, is_one_of, missing, ref, require, type_of, value_of
 
+# The names of the operators.
 OPERATORS = (
     "=", "==", "!=", "not_equals", ">", "<", ">=", "<=", "contains", "not_contains", "starts_with", "ends_with",
     "in", "not_in", "is_null", "is_not_null",
@@ -43,7 +44,7 @@ def _condition(df: DataFrame, cond: Condition) -> Column:
     (name,) = require(df, [cond.column])
     c, v, o = ref(name), cond.value, cond.operator
     floating = isinstance(type_of(df, name), FLOATING)
-    text = c.cast("string")
+    text = value_of(df, name).cast("string")
     if o not in OPERATORS:
         raise InvalidParameter("operator", o, f"one of {OPERATORS}")
     same = None if v is None or o in LISTS else equals(df, name, v)

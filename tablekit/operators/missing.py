@@ -82,7 +82,7 @@ def _mode(df, targets):
     for i, c in enumerate(targets):
         if i in best:
             v = best[i]
-            found = v["l"] if v["l"] is not None else v["d"] if v["d"] is not None else v["s"]
+            found = next((v[k] for k in ("l", "s", "d") if v[k] is not None), None)
             updates[c] = _filled(df, c, F.lit(found))
     return df.withColumns(updates)
 

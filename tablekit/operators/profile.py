@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import operator as op
 from collections import Counter
 from collections.abc import Sequence
@@ -41,7 +40,7 @@ def profile_data(df: DataFrame, columns: Sequence[str] | None = None, exact: boo
         )
         # one row per column on both sides
         stats = _labels(df, names).join(stats, "c", "left")
-        top = F.coalesce(F.col("top.l").cast("string"), F.col("top.d").cast("string"), F.col("top.s"))
+        top = F.coalesce(F.col("top.l").cast("string"), F.col("top.s"), F.col("top.d").cast("string"))
         frequency = F.col("top.n")
     else:
         metrics = per_column(df, names, lambda c: {
@@ -116,24 +115,11 @@ def value_forms(df: DataFrame, columns: Sequence[str] | None = None, index: str
     )
 
 
-def _date_columns(df: DataFrame, text: Sequence[str]) -> set[str]:
-    """The columns whose first 100 values all parse as dates; local limits and one small aggregate in one job."""
-    if not text:
-        return set()
-    first = [
-        df.select(F.lit(i).alias("i"), ref(c).alias("v")).filter("v IS NOT NULL").limit(100) for i, c in enumerate(text)
-    ]
-    good = functools.reduce(DataFrame.unionAll, first).groupBy("i").agg(
-        F.bool_and(F.col("v").try_cast("timestamp_ntz").isNotNull()).alias("dates")
-    )
-    return {text[r["i"]] for r in good.filter("dates").collect()}
-
-
 def validate_dataframe(df: DataFrame, index: str = INDEX, thresholds: Thresholds = DEFAULTS) -> DataFrame:
     """(severity, issue, column) of common problems.
 
     Empty table; repeated column names; columns without any value; text columns whose values take several forms; text
-    columns with mostly distinct values; text columns whose first 100 values all parse as dates.
+    columns with mostly distinct values; text columns whose values all parse as dates.
     """
     schema = "severity string, issue string, column string"
     spark = df.sparkSession
@@ -142,12 +128,12 @@ def validate_dataframe(df: DataFrame, index: str = INDEX, thresholds: Thresholds
         return spark.createDataFrame([("error", "duplicate_column_name", c) for c in repeated], schema)
     names = data_columns(df, None, index)
     text = text_columns(df, None, index)
-    dates = _date_columns(df, text)
     seen = {c: F.collect_set(value_form(ref(c))) for c in text}  # at most five forms
     row = df.agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.count_if(missing(df, c)).alias(f"n{i}") for i, c in enumerate(names)],
         *[v.alias(f"f{i}") for i, v in enumerate(seen.values())],
+        *[F.bool_and(ref(c).try_cast("timestamp_ntz").isNotNull() | ref(c).isNull()).alias(f"d{i}") for i, c in enumerate(text)],
     ).first()
     if row["rows"] == 0:
         return spark.createDataFrame([("error", "empty_table", None)], schema)
@@ -157,5 +143,6 @@ def validate_dataframe(df: DataFrame, index: str = INDEX, thresholds: Thresholds
         uniques = value_histogram(df, text).groupBy("c").agg(F.count_if(~is_null_slot()).alias("u")).collect()
         found += [("info", "high_cardinality", text[r["c"]]) for r in uniques
                   if r["u"] / row["rows"] > thresholds.numeric_text_share]
-    found += [("info", "potential_datetime", c) for c in text if c in dates]
+    found += [("info", "potential_datetime", c) for i, c in enumerate(text)
+              if row[f"d{i}"] and row[f"n{names.index(c)}"] < row["rows"]]
     return spark.createDataFrame(found, schema)

@@ -44,11 +44,13 @@ def add_column_values(df: DataFrame, name: str, values: DataFrame, index: str =
     require(values, [index, "value"])
     if name in df.columns:
         raise InvalidParameter("name", name, "a column that does not exist yet")
-    matched = df.select(index).join(values.select(index, F.lit(1).alias("__hit__")), index, "full").agg(
-        F.count(F.lit(1)).alias("pairs"), F.count("__hit__").alias("given"), F.countDistinct(index).alias("rows")
+    # Every row number must come once from either side; one aggregate of numbers alone checks it.
+    sides = df.select(index, F.lit(1).alias("__mine__")).unionByName(values.select(index, F.lit(0).alias("__mine__")))
+    counted = sides.groupBy(index).agg(F.sum("__mine__").alias("mine"), F.count(F.lit(1)).alias("n")).agg(
+        F.count_if(F.expr("mine <> 1 or n <> 2")).alias("unmatched")
     ).first()
-    if not matched["pairs"] == matched["given"] == matched["rows"] == df.count():
-        raise InvalidParameter("values", matched["given"], "exactly one value for every row")
+    if counted["unmatched"]:
+        raise InvalidParameter("values", f"{counted['unmatched']} rows without exactly one value", "exactly one value for every row")
     return df.join(values.select(index, F.col("value").alias(name)), index, "left")
 
 

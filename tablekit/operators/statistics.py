@@ -80,7 +80,7 @@ def get_column_statistics(
         "c int, column string, data_type string, is_numeric boolean",
     )
     text = F.when(~F.col("is_numeric"), F.coalesce(
-        F.col("top.l").cast("string"), F.col("top.d").cast("string"), F.col("top.s")
+        F.col("top.l").cast("string"), F.col("top.s"), F.col("top.d").cast("string")
     ))
     return (
         # labels and numbers hold one row per column, known at most one

@@ -12,6 +12,7 @@ from ..plans.joins import BROADCAST_ROWS, bounded, lookup_join
 from ..plans.store import keep
 from .project import literal_fits
 
+#: Entries of a dictionary that go into the plan as a literal; a larger one becomes a table.
 MAX_INLINE_MAPPING = 1000
 
 
@@ -27,20 +28,27 @@ def replace_values(df: DataFrame, column: str, pattern: object, replacement: obj
 def map_values(df: DataFrame, column: str, mapping: Mapping | DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Look every cell up; a value that is not mapped becomes null.
 
-    A dictionary becomes one map literal. A larger mapping comes as a DataFrame with columns ``key`` (unique) and
-    ``value``: broadcast up to ``broadcast_rows`` rows (counted), above that joined with hot values spread.
+    A dictionary becomes one map literal, or a table if it is large; an empty one maps everything to null. A mapping may
+    also come as a DataFrame with columns ``key`` (unique) and ``value``: broadcast up to ``broadcast_rows`` rows
+    (counted), above that joined with hot values spread.
     """
     c = ref(*require(df, [column]))
+    if not isinstance(mapping, DataFrame):
+        if not mapping:
+            return df.withColumn(column, F.lit(None).cast(type_of(df, column)))
+        if len(mapping) > MAX_INLINE_MAPPING:
+            mapping = df.sparkSession.createDataFrame(list(mapping.items()), ["key", "value"])
     if isinstance(mapping, DataFrame):
         require(mapping, ["key", "value"])
         table = mapping.select(F.col("key").alias("__key__"), F.col("value").alias("__value__"))
+        once = table.agg(F.count("__key__").alias("keys"), F.count_distinct("__key__").alias("different")).first()
+        if once["keys"] != once["different"]:
+            raise InvalidParameter("mapping", f"{once['keys'] - once['different']} repeated keys", "every key once")
         if (small := bounded(table, broadcast_rows)) is not table:
             joined = df.join(small, c == F.col("__key__"), "left")
         else:
             joined = _map_by_shuffle(df.withColumn("__key__", c), table)
         return joined.withColumn(column, F.col("__value__")).select(*[ref(x) for x in df.columns])
-    if not mapping or len(mapping) > MAX_INLINE_MAPPING:
-        raise InvalidParameter("mapping", f"{len(mapping)} entries", f"1 to {MAX_INLINE_MAPPING}, or a DataFrame")
     literal = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
     return df.withColumn(column, F.try_element_at(literal, c))
 

@@ -128,7 +128,8 @@ def schema_violations(
     """(column, check_name, row index, failure_case) of every violation.
 
     One scan evaluates all row checks. A ``unique`` rule adds an aggregate and a join on the repeated values only,
-    balanced for hot values. A schema column that the table lacks gives one ``column_missing`` row.
+    balanced for hot values. A schema column that the table lacks gives one ``column_missing`` row. ``max_errors`` keeps the
+    first violations by column, check and row.
     """
     require(df, [index])
     present = _present(df, schema)
@@ -154,7 +155,7 @@ def schema_violations(
                 F.lit(c).alias("column"), F.lit("unique").alias("check_name"), index,
                 F.col("__v__").cast("string").alias("failure_case"),
             ))
-    return out.limit(max_errors) if max_errors else out
+    return out.orderBy("column", "check_name", index, "failure_case").limit(max_errors) if max_errors else out
 
 
 def schema_checks(df: DataFrame, schema: Schema, index: str = INDEX) -> DataFrame:

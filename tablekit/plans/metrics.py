@@ -12,13 +12,18 @@ COLUMNS_PER_SLICE = 50   # keeps the generated code of one aggregate small on wi
 
 
 def value_slots(df: DataFrame, name: str) -> list[Column]:
-    """A value as (long, double, text), one of them set: equality and order are those of the column's own type."""
+    """A value as (long, double, text): equality and order are those of the column's own type.
+
+    One of them is set, or both double and text for decimals: the first orders them, the second is exact.
+    """
     c, dtype = value_of(df, name), type_of(df, name)
     slots = {"l": F.lit(None).cast("long"), "d": F.lit(None).cast("double"), "s": F.lit(None).cast("string")}
     if isinstance(dtype, INTEGRAL):
         slots["l"] = c.cast("long")
     elif isinstance(dtype, FLOATING):
         slots["d"] = c.cast("double") + F.lit(0.0)
+    elif isinstance(dtype, T.DecimalType):
+        slots["d"], slots["s"] = c.cast("double"), c.cast("string")
     elif isinstance(dtype, (T.ArrayType, T.StructType, T.MapType, T.VariantType)):
         slots["s"] = F.when(c.isNotNull(), F.to_json(c))
     elif isinstance(dtype, T.BinaryType):
@@ -29,7 +34,7 @@ def value_slots(df: DataFrame, name: str) -> list[Column]:
 
 
 def slot_text() -> Column:
-    return F.coalesce(F.col("l").cast("string"), F.col("d").cast("string"), F.col("s"))
+    return F.coalesce(F.col("l").cast("string"), F.col("s"), F.col("d").cast("string"))
 
 
 def value_histogram(df: DataFrame, columns: Sequence[str]) -> DataFrame:

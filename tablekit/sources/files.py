@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -18,6 +19,8 @@ NA_TOKENS = (
 )
 # The spellings of booleans; a column is boolean when it holds nothing else.
 BOOLEANS = ("true", "false", "True", "False", "TRUE", "FALSE")
+# What a record has beyond the columns.
+SURPLUS = "__surplus__"
 # File offsets are broadcast up to this many files; above, they are joined like any other table.
 BROADCAST_FILES = 100_000
 
@@ -28,23 +31,25 @@ def read_csv(
 ) -> DataFrame:
     """Delimited text as a typed table.
 
-    ``header``: ``auto`` (first line names the columns), ``none`` (``Column_0``, ``Column_1``, ...) or ``row`` (line
-    ``header_row`` names them and the lines before it are skipped, in every file). All values are read as text, the
-    usual spellings of "missing" become null, and one aggregate decides boolean, integer, double or text per column.
+    ``header``: ``auto`` (first line names the columns), ``none`` (``Column_0``, ``Column_1``, ...) or ``row`` (record
+    ``header_row`` names them and those before it are skipped, in every file). The header, or the first record, also gives the
+    number of columns, whatever stands above it: a record with fewer fields is filled up with nulls, one with more raises.
+    Names that repeat get ``.1``, ``.2``, ... All values are read as text, the usual spellings of "missing" become null, and
+    one aggregate decides boolean, integer, double or text per column.
+
+    Line breaks inside quotes are looked for first. Where there are any, each file is read by one task; files are split otherwise.
     """
     if header not in ("auto", "none", "row"):
         raise InvalidParameter("header", header, "auto, none or row")
     if header_row < 0:
         raise InvalidParameter("header_row", header_row, "0 or more")
     paths = [path] if isinstance(path, str) else list(path)
-    reader = spark.read.options(
-        sep=delimiter, header=header == "auto", inferSchema=False, encoding=encoding, quote='"', escape='"',
-        mode="PERMISSIVE",
-    )
-    raw = reader.csv(paths)
-    if not raw.columns:
-        raise EmptyInput(f"no columns in {paths}")
-    names = raw.columns
+    multiline = _breaks_in_quotes(spark, paths, delimiter)
+    first = _record(spark, paths, delimiter, encoding, header_row if header == "row" else 0)
+    names = [f"__c{i}__" for i in range(len(first))]
+    raw = spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in [*names, SURPLUS]])).options(
+        sep=delimiter, header=header == "auto", encoding=encoding, quote='"', escape='"', mode="PERMISSIVE", multiLine=multiline, nullValue="\0",
+    ).csv(paths)
     numbered = row_index or header == "row"
     if numbered:
         # splits depend on the cluster's size, so the position is fixed by writing it; text is parsed only once
@@ -56,17 +61,14 @@ def read_csv(
         raw = _positions(raw)
     if header == "none":
         renamed = [f"Column_{i}" for i in range(len(names))]
-    elif header == "row":
-        line = raw.filter((F.col("__in_file__") == header_row) & (F.col("__file_no__") == 0)).first()
-        if line is None:
-            raise EmptyInput(f"no line {header_row} in {paths}")
-        renamed = [line[c] if line[c] is not None else f"Column_{i}" for i, c in enumerate(names)]
+    else:
+        renamed = _distinct([n or f"Column_{i}" for i, n in enumerate(first)])
+    if header == "row":
         raw = raw.filter(F.col("__in_file__") > header_row)
         raw = raw.withColumn(INDEX, F.col(INDEX) - (F.col("__file_no__") + 1) * (header_row + 1))
-    else:
-        renamed = names
-    if len(set(renamed)) < len(renamed):
-        raise InvalidParameter("header", renamed, "unique column names")
+    long = raw.filter(F.col(SURPLUS).isNotNull()).count()
+    if long:
+        raise InvalidParameter("path", paths, f"at most {len(names)} fields in a record; {long} records have more")
     text = raw.select(
         *([F.col(INDEX)] if numbered and row_index else []),
         *[F.when(~F.trim(ref(old)).isin(list(NA_TOKENS)), ref(old)).alias(new) for old, new in zip(names, renamed)],
@@ -78,6 +80,41 @@ def read_csv(
     return infer_column_types(text, renamed) if infer_types else text
 
 
+def _breaks_in_quotes(spark: SparkSession, paths: Sequence[str], delimiter: str) -> bool:
+    """Whether a line ends inside a field that a quote opened."""
+    d = "\\" + delimiter if delimiter not in "\t" else delimiter
+    field = rf'(?:"(?:[^"]|"")*+"[^{d}]*+|[^"{d}][^{d}]*+)?'
+    return not spark.read.text(list(paths)).filter(F.col("value").rlike(rf'^(?:{field}{d})*+"(?:[^"]|"")*+$')).isEmpty()
+
+
+def _record(spark: SparkSession, paths: Sequence[str], delimiter: str, encoding: str, number: int) -> list[str]:
+    """The fields of a record of the first file by path. Lines without any character don't count."""
+    scan = spark.read.options(encoding=encoding, sep="\1", quote="", nullValue="\0").schema("value string").csv
+    files = sorted(scan(list(paths)).inputFiles())
+    many = number + 100
+    while files:
+        lines = [r["value"] or "" for r in scan(files[0]).limit(many).collect()]
+        found = [r for r in csv.reader([x + "\n" for x in lines], delimiter=delimiter) if r]
+        # The last record may go on in lines that weren't read.
+        if len(found) > number + (len(lines) == many):
+            return [found[number][0].removeprefix("\ufeff"), *found[number][1:]]
+        if len(lines) < many:
+            break
+        many *= 2
+    raise EmptyInput(f"no line {number} in {paths}")
+
+
+def _distinct(names: Sequence[str]) -> list[str]:
+    out: list[str] = []
+    for name in names:
+        new, k = name, 0
+        while new in out or (k and new in names):
+            k += 1
+            new = f"{name}.{k}"
+        out.append(new)
+    return out
+
+
 def infer_column_types(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Cast text columns to boolean, long or double where every value fits, decided by one aggregate."""
     def fits(c, kind):

@@ -190,3 +190,21 @@ def test_map_by_a_table(spark, limit):
 
 def test_rows_changed(people):
     assert tk.rows_changed(people, F.col("status"), F.upper("status")).first()[0] == 5
+
+
+def test_mappings_of_any_size(spark, people):
+    assert [r["age"] for r in tk.map_values(people, "age", {}).collect()] == [None] * 6
+    large = tk.map_values(people, "age", {k: f"n{k}" for k in range(1001)})
+    assert rows(large, I, "age")[:4] == [(0, "n31"), (1, "n27"), (2, "n45"), (3, None)]
+    with pytest.raises(InvalidParameter):
+        tk.map_values(people, "age", spark.createDataFrame([(27, "a"), (27, "b")], "key long, value string"))
+
+
+def test_unicode_and_nan_in_text_conditions(spark):
+    df = spark.createDataFrame([(0, "Grüße an", float("nan")), (1, "\xa0été\u2003", 1.5)], f"{I} long, t string, v double")
+    assert tk.replace_in_column(df, "t", r"\W+", "_").orderBy(I).first()["t"] == "Grüße_an"
+    assert rows(tk.find_cells_with_value(df, "ÉTÉ", exact_match=False), I, "column") == [(1, "t")]
+    assert tk.strip_column(df, "t").orderBy(F.desc(I)).first()["t"] == "été"
+    for operator in ("contains", "starts_with", "ends_with"):
+        assert tk.filter_rows(df, [("v", operator, "N")]).count() == 0
+    assert tk.filter_rows(df, [("v", "not_contains", "a")]).count() == 2

@@ -135,6 +135,9 @@ def test_lookups(people):
     assert tk.lookup_rows(people, addresses.select(I)).count() == 3
     assert rows(tk.column_slice(people, "age", 1, 3), I, "age") == [(1, 27), (2, 45)]
     assert tk.column_slice(people, "age", 4).count() == 2
+    for start, end in ((-3, 2), (2, 2), (3, 1), (6, None)):
+        with pytest.raises(InvalidParameter):
+            tk.column_slice(people, "age", start, end)
 
 
 def test_column_numbers_are_addresses_too(people):
@@ -177,10 +180,14 @@ def test_insert_errors_and_json(people):
 
 
 def test_delete(people):
-    for gone in ([1, 3, 99], people.sparkSession.createDataFrame([(1,), (3,), (99,)], f"{I} long")):
+    for gone in ([1, 3], people.sparkSession.createDataFrame([(1,), (3,)], f"{I} long")):
         got = tk.delete_rows(people, gone).orderBy(I).collect()
         assert [(r[I], r["name"]) for r in got] == [(0, "Ann"), (1, "Cora"), (2, "Eve"), (3, "Ann")]
     assert tk.delete_rows(people, []).count() == 6
+    for wrong in (-1, 6):
+        for gone in ([1, wrong], people.sparkSession.createDataFrame([(1,), (wrong,)], f"{I} long")):
+            with pytest.raises(InvalidParameter):
+                tk.delete_rows(people, gone)
 
 
 def test_find_cells(spark, people):
@@ -222,6 +229,23 @@ def test_csv_types_tokens_and_headers(spark, tmp_path):
     assert later.columns[:3] == [I, "1", "Ann, A"] and rows(later, I, "1") == [(0, 2), (1, 3)]
 
 
+def test_csv_loses_nothing(spark, tmp_path):
+    def read(text, **options):
+        (tmp_path / "x.csv").write_text(text)
+        return tk.read_csv(spark, str(tmp_path / "x.csv"), **options)
+
+    ragged = read("report of may\nid,name,city\n1,ann,oslo\n2,bob\n", header="row", header_row=1)
+    assert rows(ragged, I, "id", "name", "city") == [(0, 1, "ann", "oslo"), (1, 2, "bob", None)]
+    assert rows(read('id,note\n1,"two\n\nlines"\n2,5" pipe\n3,"a ""b"""\n'), "id", "note") == [(1, "two\n\nlines"), (2, '5" pipe'), (3, 'a "b"')]
+    for text in ("id,name\n1,ann\n2,bob,SURPLUS\n", 'id,name\n1,"a\nb",c\n'):
+        with pytest.raises(InvalidParameter):
+            read(text)
+    assert read("id,id,id.1\n1,2,3\n").columns == [I, "id", "id.2", "id.1"]
+    assert rows(read('"a\nb";c\n1;2\n', delimiter=";"), "a\nb", "c") == [(1, 2)]
+    assert rows(read("a\tb\n1\tx y\n", delimiter="\t"), "a", "b") == [(1, "x y")]
+    assert rows(read("a|b\n1|x,y\n", delimiter="|"), "a", "b") == [(1, "x,y")]
+
+
 def test_csv_of_many_files_keeps_file_order(spark, tmp_path):
     for f in range(3):
         (tmp_path / f"part-{f}.csv").write_text("comment;\nk;v\n" + "".join(f"{f * 100 + i};{i * 'x'}\n" for i in range(3 + f * 20)))

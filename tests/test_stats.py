@@ -132,7 +132,8 @@ def test_outlier_errors(readings, spark):
     with pytest.raises(ColumnNotFound):
         tk.detect_outliers(readings, ["nope"])
     with pytest.raises(InvalidParameter):
-        tk.detect_outliers(readings, per_column_cap=10**6)
+        tk.detect_outliers(readings, per_column_cap=-1)
+    assert tk.detect_outliers(readings, per_column_cap=10**6).count() == tk.detect_outliers(readings).count()
 
 
 def test_profile(staff, spark):
