@@ -132,3 +132,15 @@ def group_spread(spark, d):
     items = table(spark, d, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice", F.col("l_discount").alias("l disc"))
     got = tk.group_by_aggregate(items, ["l_returnflag"], {"l_quantity": "sum", "l_extendedprice": "min", "l disc": "var"})
     return got.select("l_returnflag", "l_quantity_sum", "l_extendedprice_min", F.round(F.col("l disc_var"), 8).alias("l discount"))
+
+
+@query("quality_mixed_types", """SELECT 'data_type_consistency' AS rule_type, 'mixed' AS "column",
+    count(DISTINCT CASE WHEN event_id % 2 = 0 THEN 'integer' ELSE 'text' END) = 1 AS passed,
+    CASE WHEN count(DISTINCT CASE WHEN event_id % 2 = 0 THEN 'integer' ELSE 'text' END) = 1 THEN 100.0 ELSE 50.0 END::DOUBLE AS score FROM events
+  UNION ALL SELECT 'data_type_consistency', 'kind', count(DISTINCT regexp_matches(event_type, '^[0-9]+$')) = 1,
+    CASE WHEN count(DISTINCT regexp_matches(event_type, '^[0-9]+$')) = 1 THEN 100.0 ELSE 50.0 END::DOUBLE FROM events""")
+def quality_mixed_types(spark, d):
+    """Texts that look like different types fail, by their forms."""
+    mixed = F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")).otherwise(F.col("event_type"))
+    events = table(spark, d, "events").select(mixed.alias("mixed"), F.col("event_type").alias("kind"))
+    return tk.check_data_quality(events, [tk.DataTypes(by_form=True)]).rules.select("rule_type", "column", "passed", "score")

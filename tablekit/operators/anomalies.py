@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..errors import InvalidParameter
 from ..plans.columns import INDEX, as_double, beyond, data_columns, missing, numeric_columns, ref, require, text_columns
+from ..plans.joins import bounded
 from ..plans.metrics import null_counts, value_histogram
 from ..plans.order import BLOCK_BITS
 from ..plans.quantiles import quantiles_and, scaled_bounds
@@ -122,7 +123,7 @@ def _pattern(df, names, sensitivity, index, thresholds):
     rows = rows.filter("s IS NOT NULL")
     common = hist.filter(~rare & F.col("c").isin(watched)).select("c", "s", F.lit(True).alias("common"))
     if len(watched) / ((1 - sensitivity) * 0.01) <= BROADCAST_VALUES:
-        common = F.broadcast(common)
+        common = bounded(common, BROADCAST_VALUES)
     odd_case = F.lit(False)
     for c, (_, case) in facts.items():
         if case:

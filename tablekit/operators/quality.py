@@ -14,6 +14,7 @@ from ..plans.metrics import COLUMNS_PER_SLICE, is_null_slot, value_histogram
 from ..plans.quantiles import quantiles, scaled_bounds
 from ..settings import DEFAULTS, Thresholds
 from .arrange import duplicate_count
+from .profile import value_form
 
 
 @dataclass(frozen=True)
@@ -36,7 +37,9 @@ class Uniqueness:
 
 @dataclass(frozen=True)
 class DataTypes:
-    pass
+    """A Spark column holds one type. With ``by_form`` a text column fails, with 50, if its values take several forms."""
+
+    by_form: bool = False
 
 
 @dataclass(frozen=True)
@@ -85,6 +88,8 @@ def _facts(df: DataFrame, rules: Sequence[Rule], index: str) -> dict:
         elif isinstance(rule, DataTypes):
             wanted |= {("nulls", c): F.count_if(missing(df, c)) for c in names}
             wanted |= {("numeric_text", c): F.count_if(ref(c).rlike(NUMERIC_TEXT)) for c in text_columns(df, None, index)}
+            if rule.by_form:  # at most five forms
+                wanted |= {("forms", c): F.size(F.collect_set(value_form(ref(c)))) for c in text_columns(df, None, index)}
         elif isinstance(rule, Outliers):
             for c, q in quantiles(df, numeric, (0.25, 0.75)).items():
                 bounds = scaled_bounds(q, OUTLIER_FACTOR)
@@ -146,9 +151,10 @@ def check_data_quality(
             for c in names:
                 known = n - facts["nulls", c]
                 if known > 0:
-                    # a Spark column holds one type, so the rule passes; numbers stored as text are reported
+                    one = not rule.by_form or facts.get(("forms", c), 1) <= 1
+                    # numbers stored as text are reported
                     as_text = facts.get(("numeric_text", c), 0) / known > thresholds.numeric_text_share
-                    add("data_type_consistency", c, True, 100.0,
+                    add("data_type_consistency", c, one, 100.0 if one else 50.0, severity="medium",
                         advice=f"column {c} holds numbers as text; convert it with change_column_type" if as_text else None)
         elif isinstance(rule, Outliers):
             for c in numeric_columns(df, None, index):

@@ -4,20 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-# A key is hot when it holds at least this share of the rows, so there are at most 1/share hot keys.
+# A key is hot when it holds at least this share of the rows, or half of what a shuffle partition gets on the average
+# if that is less. So there are at most 1/share hot keys, or two for each partition.
 HOT_SHARE = 1 / 1000
 _COPIES, _SALT = "__copies__", "__salt__"
 
 
-# A side of at most this many rows, counted beforehand, is broadcast.
-BROADCAST_ROWS = 200_000
+# A side of at most this many rows and bytes, counted beforehand, is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a join side for broadcast when it is counted to be small; the count stops at the bound."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _bytes(df: DataFrame) -> Column:
+    """About how much a row holds: texts by their length, nested values by that of their JSON, others 16 bytes."""
+    size = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        c = F.col("`" + f.name.replace("`", "``") + "`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        size = size + 16
+    return size
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a join side for broadcast when its rows and bytes are counted to be few; the count stops at the bound."""
+    counted = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.sum(_bytes(df)).alias("bytes")).first()
+    return F.broadcast(df) if counted["rows"] <= rows and (counted["bytes"] or 0) <= size else df
 
 
 def lookup_join(
@@ -26,15 +41,15 @@ def lookup_join(
     """Join ``big`` to ``small`` (unique on ``on``), where ``weight`` counts the rows of ``big`` per key.
 
     A hot key gets as many salts as its share of the shuffle partitions; its rows in ``big`` are spread over them and
-    its row in ``small`` is copied to each, so all copies together stay below partitions + 1/HOT_SHARE. Other keys
-    keep salt 0. The hot keys reach ``big`` by a broadcast join, bounded by 1/HOT_SHARE rows whatever the data.
+    its row in ``small`` is copied to each, so all copies together stay below three times the partitions + 1/HOT_SHARE. Other keys
+    keep salt 0. The hot keys reach ``big`` by a broadcast join, bounded by 1/HOT_SHARE rows or two for each partition.
     Rows of ``big`` must differ (aggregate them, or carry the row index): the salt is a hash of the row, so that a
     task that runs twice gives the same result. ``how`` is ``inner`` or ``left_semi``; keys must not be null.
     """
     on = list(on)
     total = float(small.agg(F.sum(weight)).first()[0] or 0)
     partitions = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = F.col(weight) >= F.lit(total * HOT_SHARE)
+    hot = F.col(weight) >= F.lit(total * min(HOT_SHARE, 0.5 / partitions))
     copies = F.greatest(F.lit(1), F.ceil(F.col(weight) * F.lit(partitions) / F.lit(total or 1.0))).cast("int")
     hot_keys = small.filter(hot).select(*on, copies.alias(_COPIES))
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in big.columns])
