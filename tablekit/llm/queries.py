@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.store import checkpoint_root
 from . import decontaminate, jaccard, layout, packing, pieces, quality, secrets, toxicity, vectors, warc
+from .oracles import SQL
 
-QUERIES, SQL = {}, {}
+__all__ = ["QUERIES", "SQL"]
+
+QUERIES = {}
 
 
 def query(fn):
