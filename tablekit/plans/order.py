@@ -128,8 +128,15 @@ def sorted_parts(df: DataFrame, keys: Sequence[str | Column], fineness: int = 1)
     return keep(rows.withColumns({PART: F.spark_partition_id(), POS: local}))
 
 
+#: Bytes of input for one range partition, and an estimate beyond which the planner is taken not to know the size.
+PART_BYTES, UNKNOWN_BYTES = 256 << 20, 1 << 57
+
+
 def _parts(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """As many partitions as shuffles have, or more if the planner's estimate of the input asks for them."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return least if size > UNKNOWN_BYTES else max(least, -(-size // PART_BYTES))
 
 
 def _offset_parts(rows: DataFrame, index: str, last_part: int = (1 << 31) - 1) -> DataFrame:
