@@ -20,7 +20,7 @@ from .words import slices
 
 BLANK = "▁"
 #: Parts of texts that a worker remembers, in each of two generations.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 17
 
 
 def _fields(data: bytes):

@@ -180,12 +180,18 @@ def score(docs: DataFrame, model: QualityModel, *, id: str = "doc_id", text: str
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    row = F.struct(F.col(id).alias("id"), *[F.col(c).alias(f"x{k}") for k, c in enumerate(extra)])
+    named = docs.select(row.alias("row"), F.col(text).cast("string").alias("text"))
+    within = 1 + list(extra).index(text) if text in extra and dict(docs.dtypes)[text] == "string" else None
+    if within:  # the text isn't sent twice
+        named = named.select("row")
+
     def scored(batches):
+        if within:
+            batches = (pa.RecordBatch.from_arrays([b.column("row"), b.column("row").field(within)], ["row", "text"]) for b in batches)
         for batch in slices(batches, "text", _SLICE):
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(held.value.scores(pool(batch.column("text"), held.value.vectors)))], ["row", "score"])
 
-    row = F.struct(F.col(id).alias("id"), *[F.col(c).alias(f"x{k}") for k, c in enumerate(extra)])
-    named = docs.select(row.alias("row"), F.col(text).cast("string").alias("text"))
     out = named.mapInArrow(scored, f"row {named.schema['row'].dataType.simpleString()}, score double")
     return out.select(F.col("row.id").alias(id), *[F.col(f"row.x{k}").alias(c) for k, c in enumerate(extra)], "score")
 
