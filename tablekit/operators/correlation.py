@@ -73,16 +73,47 @@ def _pearson(values: DataFrame, k: int) -> dict:
 
 
 def _spearman(values: DataFrame, k: int) -> dict:
-    """Columns without nulls are ranked once together; a pair that has nulls is ranked on its complete rows."""
+    """Columns without nulls are ranked once together; all pairs that have nulls are ranked in one pass, on their complete rows."""
     _, nulls = null_counts(values, values.columns)
     full = [i for i in range(k) if nulls[f"v{i}"] == 0]
     out = _rank_correlations(values.select(*[f"v{i}" for i in full]), full) if len(full) > 1 else {}
-    for i, j in _all_pairs(k):
-        if (i, j) not in out:
-            out[i, j] = _rank_correlations(values.select(f"v{i}", f"v{j}").dropna(), [i, j])[i, j]
+    rest = [pair for pair in _all_pairs(k) if pair not in out]
+    for at in range(0, len(rest), PAIRS_PER_JOB):
+        out |= _paired_rank_correlations(values, rest[at : at + PAIRS_PER_JOB])
     return out
 
 
+def _cells(values: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
+    """(pair number p, x, y, count w) of the complete rows of every pair, written; equal rows are merged."""
+    both = [
+        F.when(F.col(f"v{i}").isNotNull() & F.col(f"v{j}").isNotNull(), F.struct(F.lit(p).alias("p"), F.col(f"v{i}").alias("x"), F.col(f"v{j}").alias("y")))
+        for p, (i, j) in enumerate(pairs)
+    ]
+    rows = values.select(F.explode(F.filter(F.array(*both), lambda c: c.isNotNull())).alias("c")).select("c.*")
+    return keep(rows.groupBy("p", "x", "y").agg(F.count(F.lit(1)).alias("w")))
+
+
+def _paired_rank_correlations(values: DataFrame, pairs: list[tuple[int, int]]) -> dict:
+    """As ``_rank_correlations``, with every step keyed by the number of the pair."""
+    cells = _cells(values, pairs)
+    sides = F.array(*[F.struct(F.lit(s).alias("s"), F.col(s).alias("v")) for s in ("x", "y")])
+    hist = (
+        cells.select("p", "w", F.explode(sides).alias("c")).groupBy("p", "c.s", "c.v")
+        .agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("rows"))
+    )
+    ranks = keep(
+        running_sums(hist, ["p", "s"], ["v"], {"before": "n"}, {"total": "before"})
+        .select("p", "s", "v", "rows", (F.col("before") + F.col("n") / F.lit(2.0) - F.col("total") / F.lit(2.0)).alias("dev"))
+    )
+    ranked = cells
+    for s in ("x", "y"):
+        mine = ranks.filter(F.col("s") == s).select("p", F.col("v").alias(s), F.col("dev").alias(f"d{s}"), F.col("rows").alias("__rows__"))
+        ranked = lookup_join(ranked, mine, ["p", s], "__rows__").drop("__rows__")
+    sums = ranked.groupBy("p").agg(*[F.sum(F.col(f"d{a}") * F.col(f"d{b}") * F.col("w")).alias(a + b) for a, b in ("xy", "xx", "yy")])
+    found = {r["p"]: _ratio(r["xy"], math.sqrt(r["xx"]), math.sqrt(r["yy"])) for r in sums.collect()}  # one row per pair
+    return {pair: found.get(p, 0.0) for p, pair in enumerate(pairs)}
+
+
 def _rank_correlations(complete: DataFrame, numbers: list[int]) -> dict:
     """Pearson on average ranks.
 
@@ -129,62 +160,67 @@ def _rank_correlations(complete: DataFrame, numbers: list[int]) -> dict:
 
 
 def _kendall(values: DataFrame, k: int) -> dict:
-    out = {}
-    for i, j in _all_pairs(k):
-        pair = values.select(F.col(f"v{i}").alias("x"), F.col(f"v{j}").alias("y")).dropna()
-        out[i, j] = _tau_b(pair)
+    out, pairs = {}, _all_pairs(k)
+    for at in range(0, len(pairs), PAIRS_PER_JOB):
+        out |= _tau_b(values, pairs[at : at + PAIRS_PER_JOB])
     return out
 
 
-def _tau_b(pair: DataFrame) -> float:
-    """tau-b in O(n log n) rows, without pairing rows.
+def _tau_b(values: DataFrame, pairs: list[tuple[int, int]]) -> dict:
+    """tau-b of all pairs in O(n log n) rows for each, without pairing rows; every step is keyed by the number of the pair.
 
     Written in base 8, two dense ranks of y differ first at one digit. For every digit, the rows that share the higher
     digits form a group; inside it a concordant pair is a row and a row with a smaller digit at a smaller x. Running
     counts over x, one per digit value and spread over range partitions, count them. Discordant pairs follow from the
     ties. The column with fewer distinct values takes the part of y, which keeps the number of digits low.
     """
-    cells = keep(pair.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")))
+    cells = _cells(values, pairs)
     ties = lambda c: F.sum(_product(F.col(c), F.col(c) - 1))
-    both, n = cells.agg(ties("n"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    if n < 2:
-        return 0.0
-    values = {
-        c: cells.groupBy(c).agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("rows")) for c in ("x", "y")
+    rows = cells.groupBy("p").agg(ties("w").alias("both"), F.sum("w").alias("n"))
+    sides = {
+        c: cells.groupBy("p", c).agg(F.sum("w").alias("t"), F.count(F.lit(1)).alias("rows")).groupBy("p")
+        .agg(ties("t").alias(f"by_{c}"), F.count(F.lit(1)).alias(f"distinct_{c}")) for c in ("x", "y")
     }
-    (by_x, x_distinct), (by_y, y_distinct) = (
-        values[c].agg(ties("t"), F.count(F.lit(1))).first() for c in ("x", "y")
-    )
-    all_pairs, by_x, by_y, both = n * (n - 1), int(by_x), int(by_y), int(both)  # each counted twice
-    if all_pairs == by_x or all_pairs == by_y:
-        return 0.0
-    along, ranked = ("x", "y") if y_distinct <= x_distinct else ("y", "x")
-    concordant = 2 * _concordant(cells, values[ranked], along, ranked, min(x_distinct, y_distinct))
-    discordant = all_pairs - by_x - by_y + both - concordant
-    return (concordant - discordant) / math.sqrt((all_pairs - by_x) * (all_pairs - by_y))
+    facts = {r["p"]: r for r in rows.join(sides["x"], "p").join(sides["y"], "p").collect()}  # one row per pair
+    turned = [p for p, r in facts.items() if r["distinct_x"] < r["distinct_y"]]
+    swap = F.col("p").isin(turned) if turned else F.lit(False)
+    cells = cells.select("p", F.when(swap, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("y"), "w")
+    most = max([min(r["distinct_x"], r["distinct_y"]) for r in facts.values()], default=0)
+    counted = _concordant(cells, most) if most else {}
+    out = {}
+    for p, pair in enumerate(pairs):
+        out[pair] = 0.0
+        if p in facts:
+            n, by_x, by_y, both = (int(facts[p][c]) for c in ("n", "by_x", "by_y", "both"))
+            every = n * (n - 1)  # each counted twice, like the ties
+            if every not in (by_x, by_y):
+                concordant = 2 * counted.get(p, 0)
+                discordant = every - by_x - by_y + both - concordant
+                out[pair] = (concordant - discordant) / math.sqrt((every - by_x) * (every - by_y))
+    return out
 
 
-def _concordant(cells: DataFrame, values: DataFrame, along: str, ranked: str, distinct: int) -> int:
-    ranks = keep(running_sums(values, [], [ranked], {"rank": F.lit(1)}).select(ranked, "rank", "rows"))
+def _concordant(cells: DataFrame, distinct: int) -> dict[int, int]:
+    """Concordant pairs of rows by the number of the pair of columns; no y has more than ``distinct`` values."""
+    values = cells.groupBy("p", "y").agg(F.count(F.lit(1)).alias("rows"))
+    ranks = keep(running_sums(values, ["p"], ["y"], {"rank": F.lit(1)}).select("p", "y", "rank", "rows"))
     digits = max(1, math.ceil((distinct - 1).bit_length() / DIGIT_BITS))
     base = 1 << DIGIT_BITS
-    if distinct <= BROADCAST_RANKS:
-        placed = cells.join(F.broadcast(ranks), ranked)
-    else:
-        placed = lookup_join(cells, ranks, [ranked], "rows")
+    placed = lookup_join(cells, ranks, ["p", "y"], "rows")
     digit = F.expr(f"shiftright(rank, level * {DIGIT_BITS}) % {base}")
     levels = (
-        placed.select(along, "n", "rank", F.explode(F.sequence(F.lit(0), F.lit(digits - 1))).alias("level"))
-        .select(along, "level", F.expr(f"shiftright(rank, (level + 1) * {DIGIT_BITS})").alias("prefix"), digit.alias("digit"), "n")
-        .groupBy("level", "prefix", along)
-        .agg(*[F.sum(F.when(F.col("digit") == d, F.col("n")).otherwise(0)).alias(f"n{d}") for d in range(base)])
+        placed.select("p", "x", "w", "rank", F.explode(F.sequence(F.lit(0), F.lit(digits - 1))).alias("level"))
+        .select("p", "x", "level", F.expr(f"shiftright(rank, (level + 1) * {DIGIT_BITS})").alias("prefix"), digit.alias("digit"), "w")
+        .groupBy("p", "level", "prefix", "x")
+        .agg(*[F.sum(F.when(F.col("digit") == d, F.col("w")).otherwise(0)).alias(f"n{d}") for d in range(base)])
     )
-    counted = running_sums(levels, ["level", "prefix"], [along], {f"before{d}": f"n{d}" for d in range(base - 1)})
+    counted = running_sums(levels, ["p", "level", "prefix"], ["x"], {f"before{d}": f"n{d}" for d in range(base - 1)})
     smaller, pairs = F.lit(0).cast("long"), F.lit(0).cast("decimal(38,0)")
     for d in range(1, base):
         smaller = smaller + F.col(f"before{d - 1}")
         pairs = pairs + _product(F.col(f"n{d}"), smaller)
-    return int(counted.agg(F.sum(pairs.cast("decimal(38,0)"))).first()[0] or 0)
+    sums = counted.groupBy("p").agg(F.sum(pairs.cast("decimal(38,0)")).alias("pairs")).collect()
+    return {r["p"]: int(r["pairs"] or 0) for r in sums}
 
 
 def _product(a, b):

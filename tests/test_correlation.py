@@ -85,3 +85,18 @@ def test_errors(spark, people):
         tk.get_correlation_matrix(people, columns=["age", "name"])
     with pytest.raises(ColumnNotFound):
         tk.get_correlation_matrix(people, columns=["nope"])
+
+
+@pytest.mark.parametrize("method", ["spearman", "kendall"])
+def test_jobs_do_not_grow_with_the_pairs(spark, method):
+    """Columns with different nulls, two and five of them: as many jobs."""
+    def jobs(k):
+        rows = [tuple(None if (i + c) % 7 == 0 else float((i * (c + 3)) % 11) for c in range(k)) for i in range(60)]
+        df = spark.createDataFrame(rows, ", ".join(f"c{c} double" for c in range(k)))
+        group = f"{method} {k}"
+        spark.sparkContext.setJobGroup(group, group)
+        tk.get_correlation_matrix(df, method)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert 0 < jobs(5) <= jobs(2) + 2
