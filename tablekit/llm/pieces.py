@@ -235,6 +235,7 @@ def encode(docs: DataFrame, model: bytes, *, id: str = "doc_id", text: str = "te
             cut = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = np.concatenate([*ids, np.zeros(0, "<i4")]).astype("<i4")
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(cut, pa.array(flat))], ["id", "ids"])
+        table.older = {}  # other work may follow in this worker
 
     named = _row(docs, id, F.col(text).cast("string").alias("text"))
     return named.mapInArrow(run, f"id {dict(named.dtypes)['id']}, ids array<int>").withColumnRenamed("id", id)

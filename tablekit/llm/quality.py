@@ -88,8 +88,8 @@ def pool(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
     counts = np.diff(offsets)
     full = np.flatnonzero(counts)
     # A long text is pooled in pieces of a bounded number of words.
-    for a in range(0, len(slot), 1 << 16):
-        b = min(len(slot), a + (1 << 16))
+    for a in range(0, len(slot), 1 << 14):
+        b = min(len(slot), a + (1 << 14))
         first, last = np.searchsorted(offsets, a, "right") - 1, np.searchsorted(offsets, b, "left")
         rows = np.arange(first, last)
         cut = np.clip(offsets[rows], a, b) - a

@@ -95,7 +95,7 @@ class Words:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
 
-def slices(batches, column: str, limit: int = 1 << 22):
+def slices(batches, column: str, limit: int = 1 << 20):
     """The batches cut into pieces of whole rows with about ``limit`` bytes of text, which bounds a worker's memory."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
