@@ -61,7 +61,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document its ids with the end id, their number, and digests of the ids and of the text that they decode to."""
-    rows = pieces.decode(pieces.encode(docs, piece_model()), piece_model())
+    rows = pieces.encode(docs, piece_model(), decoded=True)
     return rows.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),

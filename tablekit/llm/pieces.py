@@ -220,8 +220,9 @@ def _row(df: DataFrame, id: str, *columns):
     return df.select(F.col(id).alias("id"), *columns)
 
 
-def encode(docs: DataFrame, model: bytes, *, id: str = "doc_id", text: str = "text", end: bool = True, check: bool = True) -> DataFrame:
-    """One row per row of ``docs``: id and ``ids``, the whole text's ids, with the end id last if ``end``.
+def encode(docs: DataFrame, model: bytes, *, id: str = "doc_id", text: str = "text", end: bool = True, check: bool = True, decoded: bool = False) -> DataFrame:
+    """One row per row of ``docs``: id and ``ids``, the whole text's ids, with the end id last if ``end``. With ``decoded`` also
+    ``text``, what the ids stand for, as ``decode`` gives it but from the same worker.
 
     ``model`` is the content of a vocabulary file. Null and empty texts have no ids of their own. Repeated rows give repeated
     rows. Other columns are not read. ``check`` compares with the library and raises where it differs.
@@ -234,11 +235,17 @@ def encode(docs: DataFrame, model: bytes, *, id: str = "doc_id", text: str = "te
             ids = encoded(batch, table, end, check)
             cut = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = np.concatenate([*ids, np.zeros(0, "<i4")]).astype("<i4")
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(cut, pa.array(flat))], ["id", "ids"])
-        table.older = {}  # other work may follow in this worker
+            columns = [batch.column("id"), pa.ListArray.from_arrays(cut, pa.array(flat))]
+            if decoded:
+                columns.append(pa.array([table.decode(x) for x in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "text"][: len(columns)])
+        # Other work may follow in this worker.
+        table.older = {}
+        pa.default_memory_pool().release_unused()
 
     named = _row(docs, id, F.col(text).cast("string").alias("text"))
-    return named.mapInArrow(run, f"id {dict(named.dtypes)['id']}, ids array<int>").withColumnRenamed("id", id)
+    schema = f"id {dict(named.dtypes)['id']}, ids array<int>" + ", text string" * decoded
+    return named.mapInArrow(run, schema).withColumnRenamed("id", id)
 
 
 def decode(rows: DataFrame, model: bytes, *, id: str = "doc_id", ids: str = "ids") -> DataFrame:

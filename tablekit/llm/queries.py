@@ -60,7 +60,7 @@ def rank_file() -> bytes:
 
 @query
 def op7_sentencepiece(spark, d):
-    rows = pieces.decode(pieces.encode(table(spark, d, "documents"), piece_model()), piece_model())
+    rows = pieces.encode(table(spark, d, "documents"), piece_model(), decoded=True)
     return rows.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
