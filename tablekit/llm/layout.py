@@ -4,6 +4,9 @@ A tree builder turns tags into opened and closed elements, with the start and en
 renderer follows it: hidden elements are silent, blocks begin lines, paragraphs and headings are set off by blank lines,
 lists get markers and indents, and table cells are padded into columns. Both keep only the open elements, so that depth
 costs nothing but memory for the path.
+
+Formulas (MathML) and drawings (SVG) are read by the rules of foreign elements: tags may close themselves, tags of HTML's
+blocks end them, and in a drawing only ``text`` and ``foreignObject`` show text.
 """
 
 from __future__ import annotations
@@ -21,7 +24,10 @@ from .words import slices
 # Fixed values of the format.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-SILENT = frozenset("script style title template noscript iframe noembed noframes datalist audio video canvas object svg math".split())
+SILENT = frozenset("script style title template noscript iframe noembed noframes datalist audio video canvas object".split()) | frozenset(
+    "/annotation /annotation-xml /clippath /defs /desc /filter /lineargradient /marker /mask /metadata /mphantom /pattern /radialgradient /script "
+    "/style /symbol /title".split()  # foreign elements have a stroke before their names
+)
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure fieldset xmp".split())
 BLOCK = SPACED | frozenset(
     "address article aside body caption center dd details dialog dir div dt figcaption footer form header hgroup hr html legend li "
@@ -43,12 +49,25 @@ ENDS = {
 #: Elements that end tags of others do not reach through.
 WALLS = frozenset("table td th caption".split())
 LISTS = frozenset("ul ol menu dir".split())
+#: What text an open element shows: any, that of a formula (no blanks between its elements), none (a drawing), that of a drawing.
+HTML, FORMULA, DRAWING, LETTERING = range(4)
+#: Foreign elements that hold HTML again, by what their parent shows.
+HOLDERS = {FORMULA: frozenset("mi mo mn ms mtext".split()), **{k: frozenset("foreignobject desc title".split()) for k in (DRAWING, LETTERING)}}
+#: HTML elements whose start tags end foreign elements.
+BREAKING = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span "
+    "strong strike sub sup table tt u ul var".split()
+)
+#: Foreign elements on lines of their own, and parts of formulas that do not stand side by side.
+LINES = frozenset("/text /foreignobject /mtr /mlabeledtr".split())
+APART = frozenset("mfrac mroot msubsup munderover mmultiscripts mtr mlabeledtr".split())
 
 _TOKEN = re.compile(
     r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<rest>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|<[!?/][^>]*(?:>|\Z)", re.DOTALL
 )
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _BLANKS = re.compile(r"[ \t\n\f\r]+")
+_UNQUOTED_STROKE = re.compile(r"=\s*[^\s\"']*/$")
 _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.IGNORECASE)
 #: Widest padding of a table column; longer cells are not cut, but nothing is aligned to them.
 WIDEST = 80
@@ -65,19 +84,29 @@ def _hidden(tag: str, attributes: dict[str, str]) -> bool:
     return (
         tag in SILENT or "hidden" in attributes or bool(_HIDING.search(attributes.get("style", "")))
         or tag == "dialog" and "open" not in attributes
+        or tag[0] == "/" and (attributes.get("display") == "none" or attributes.get("visibility") in ("hidden", "collapse"))
     )
 
 
 def events(page: str):
-    """``("open", tag, attributes)``, ``("close", tag, None)`` and ``("text", text, None)``, each open element closed."""
+    """``("open", tag, attributes)``, ``("close", tag, None)`` and ``("text", text, None)``, each open element closed; foreign tags as ``/tag``."""
     path: list[str] = []
+    names: list[str] = []
+    modes = [HTML]
     count: Counter = Counter()
 
     def close(to: int):
         while len(path) > to:
             tag = path.pop()
             count[tag] -= 1
-            yield "close", tag, None
+            modes.pop()
+            yield "close", names.pop(), None
+            if modes[-1] == FORMULA and path[-1] in APART:
+                yield "text", " ", None
+
+    def shown(text):
+        if modes[-1] in (HTML, LETTERING) or modes[-1] == FORMULA and text.strip():
+            yield "text", text, None
 
     def ending(targets, walls):
         """Close the outermost target that no wall shuts off."""
@@ -94,17 +123,31 @@ def events(page: str):
     def opening(tag, attributes):
         path.append(tag)
         count[tag] += 1
-        return "open", tag, attributes
+        mode = modes[-1]
+        names.append(tag if mode == HTML else f"/{tag}")
+        if tag in ("svg", "math"):
+            mode = DRAWING if tag == "svg" else FORMULA
+        elif mode and (tag in HOLDERS[mode] or tag == "annotation-xml" and attributes.get("encoding", "").lower() in ("text/html", "application/xhtml+xml")):
+            mode = HTML
+        elif mode == DRAWING and tag == "text":
+            mode = LETTERING
+        modes.append(mode)
+        return "open", names[-1], attributes
 
     at = 0
     while at < len(page):
         found = _TOKEN.search(page, at)
         if not found:
-            yield "text", html.unescape(page[at:]), None
+            yield from shown(html.unescape(page[at:]))
             break
         if found.start() > at:
-            yield "text", html.unescape(page[at : found.start()]), None
+            yield from shown(html.unescape(page[at : found.start()]))
         at = found.end()
+        if names and (modes[-1] or names[-1][0] == "/") and page.startswith("<![CDATA[", found.start()):
+            stop = page.find("]]>", found.start() + 9)
+            yield from shown(page[found.start() + 9 : stop if stop >= 0 else len(page)])
+            at = stop + 3 if stop >= 0 else len(page)
+            continue
         if not found["tag"]:
             continue
         tag = found["tag"].lower()
@@ -132,6 +175,18 @@ def events(page: str):
                     yield from close(k)
             continue
         attributes = _attributes(found["rest"]) if found["rest"].strip(" /\n\t") else {}
+        while modes[-1] and (tag in BREAKING or tag == "font" and attributes.keys() & {"color", "face", "size"}):
+            yield from close(len(path) - 1)
+        if modes[-1] or tag in ("svg", "math"):
+            closes = found["rest"].endswith("/") and not _UNQUOTED_STROKE.search(found["rest"])
+            plain = not closes and modes[-1] and tag in ("script", "style")
+            yield opening(tag, attributes)
+            if closes:
+                yield from close(len(path) - 1)
+            elif plain:
+                stop = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(page, at)
+                at = stop.start() if stop else len(page)
+            continue
         if tag in ("html", "body", "head") and count[tag]:
             continue
         if tag in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption") and not count["table"]:
@@ -290,6 +345,10 @@ def render(page: str | None) -> str:
                     lists[-1][2].append(flow.indent)
                 flow.marker = flow.indent + marker if not flow.marker else flow.marker + marker
                 flow.indent += " " * len(marker)
+            elif tag in LINES:
+                flow.block(0)
+            elif tag == "/tspan" and attributes.keys() & {"x", "y", "dy"}:
+                flow.put(" ", False)
             elif tag in BLOCK:
                 flow.block(1 if tag in SPACED and not (tag in LISTS and lists) else 0)
                 if tag == "table":
@@ -334,6 +393,8 @@ def render(page: str | None) -> str:
                 flow.indent = lists[-1][2].pop()
             elif not lists:
                 flow.indent = flow.indent[:-2]
+        elif tag in LINES:
+            flow.block(0)
         elif tag in BLOCK and tag not in ("tr", "tbody", "thead", "tfoot"):
             flow.block(1 if tag in SPACED and not (tag in LISTS and len(lists) > 1) else 0)
             if tag in LISTS and lists:
@@ -349,7 +410,8 @@ def extract(pages: DataFrame, *, id: str = "page_id", html: str = "html") -> Dat
 
     Null and empty pages have an empty text. Repeated rows give repeated rows. Other columns are not read. Silent are
     scripts, styles, titles, templates, elements with ``hidden`` or an inline style that hides them, dialogs and details that aren't
-    open (but for their summaries), and what stands in for media or scripting.
+    open (but for their summaries), what stands in for media or scripting, and the parts of drawings and formulas that browsers never
+    show (definitions, descriptions, annotations). Text of drawings stands on lines of its own.
     """
 
     def run(batches):

@@ -39,6 +39,33 @@ def test_layout(page, text):
     assert render(page) == text
 
 
+FOREIGN = [
+    ("<p>So <math><mi>x</mi> <mo>=</mo> <mn>1</mn></math> holds", "So x=1 holds"),
+    ("<math><semantics><mfrac><mi>a</mi><mi>b</mi></mfrac><annotation encoding=x>no</annotation><annotation-xml encoding=text/html><p>no</annotation-xml></semantics></math>c", "a b c"),
+    ("<math><mtable><mtr><mtd><mn>1</mn></mtd><mtd><mn>2</mn></mtd></mtr><mtr><mtd><mtext>a b</mtext></mtable></math>", "1 2\na b"),
+    ("a<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><metadata>no</metadata> no <g><text x=1>Jan</text><text>Feb</text></g></svg>b", "a\nJan\nFeb\nb"),
+    ("<svg><text>one<tspan x='0' dy='1em'>two</tspan><![CDATA[ 1<2]]></text></svg>", "one two 1<2"),
+    ("<svg><defs/><title/><style/><path d='M0'/><text>yes</text></svg> on", "yes\non"),
+    ("<svg><foreignObject><div>in <b>it</b></div></foreignObject></svg>", "in it"),
+    ("x<svg width=1><path><p>out</p>on", "x\n\nout\n\non"),
+    ("<svg><text display='none'>no</text><text visibility=hidden>no</text><style>text{}</style><text hidden>no</text><text>a</text></svg>", "a"),
+    ("<svg/>a<desc>b</desc><text>c</text>", "abc"), ("<p>q<svg> <path/> </svg>r", "qr"), ("<svg><symbol><text>no</text></symbol></svg><math><mphantom><mi>no</mi></mphantom></math>", ""),
+]
+
+
+@pytest.mark.parametrize("page,text", FOREIGN)
+def test_formulas_and_drawings(page, text):
+    assert render(page) == text
+
+
+def test_deep_drawings_take_linear_time():
+    began = time.time()
+    assert render("<svg>" + "<g>" * 50_000 + "<text>x") == "x"
+    assert render("<math>" + "<mrow>" * 50_000 + "<mi>x") == "x"
+    assert render("<svg><text><p>" * 20_000).strip() == ""
+    assert time.time() - began < 30
+
+
 def test_words_of_random_trees():
     """Trees with known visible words, written with and without the tags that may be left out."""
     draw = random.Random(4)
