@@ -1,4 +1,7 @@
-"""Secrets in texts: candidates by a pattern, false positives removed by a random forest.
+"""Secrets in texts: candidates by patterns, false positives removed by a random forest.
+
+Candidates are whole values assigned to telling names, of any length and characters, keys in issued formats, and longer runs
+with a digit. A value also counts as a secret if a key or run inside it does.
 
 A candidate is described by its length, its changes between kinds of characters, how much of it dictionary words cover, the
 path of its document and its neighbouring words. The forest is fitted by Spark's own learner on a bounded sample of
@@ -22,13 +25,22 @@ SAMPLE_ROWS = 20_000
 CONTEXT = 48
 MASK = "[SECRET]"
 
-# A run of 12 or more of these characters with a digit, from its start to its last letter or digit.
-_RUN = r"A-Za-z0-9+/_.@-"
-CANDIDATE = rf"(?<![{_RUN}])(?=[A-Za-z+/_.@-]*+[0-9])[{_RUN}]{{11,}}[A-Za-z0-9](?![A-Za-z0-9])={{0,2}}"
-#: Formats that some issuers give their keys, and assignments to a name that tells.
-ISSUED = r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})$"
+#: Formats that some issuers give their keys, and names that tell that a secret is assigned to them.
+FORMATS = r"(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})"
+ISSUED = rf"^{FORMATS}$"
 NAMES = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential|auth)"
-ASSIGNED = rf"{NAMES}[\"']?\s*[=:]\s*[\"']?$"
+_LEAD = rf"{NAMES}[\"']?+\s*+[=:]++>?+\s*+"
+ASSIGNED = rf"{_LEAD}[\"']?$"
+# A run of 12 or more of these characters with a digit, from its start to its last letter or digit; an issued format also without a digit.
+_RUN = r"A-Za-z0-9+/_.@-"
+CANDIDATE = rf"(?<![A-Za-z0-9])(?:(?<![+/_.@-])(?=[A-Za-z+/_.@-]*+[0-9])[{_RUN}]{{11,}}[A-Za-z0-9](?![A-Za-z0-9])={{0,2}}|{FORMATS}(?![A-Za-z0-9]))"
+# An assignment to a telling name (1) and the whole value (2): to the quote that closes it in its line, else to a blank or quote. Quotes
+# may be escaped; the expression's stack allows 500 backslashes, beyond which a value ends like one that no quote closes.
+_CLOSED = "|".join(rf"(?<={q})(?!{q})[^{q}\\\r\n]*+(?:\\[^\r\n][^{q}\\\r\n]*+){{0,500}}(?={q})" for q in "\"'")
+ASSIGNMENT = rf"((?i:{_LEAD})[\"']?+)({_CLOSED}|[^\s\"']+)"
+#: What every assignment holds; quickly looked for, so that other texts are spared the expression above.
+_HINT = r"[dtnylhDTNYLH][\"']?+\s*+[=:]"
+_MAIL = r"^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}\W*$"
 #: Words that don't make a secret.
 DICTIONARY = (
     "account admin also and api apple archive article blog body book build change class client code com content copy data date default demo "
@@ -62,18 +74,47 @@ def features(c: Column, left: Column, right: Column, path: Column) -> Column:
     )
 
 
-def _matches(text: Column) -> tuple[Column, Column]:
-    """The candidates of a text, and what lies before, between and behind them."""
-    return F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), F.split(text, CANDIDATE, -1)
+def _telling(text: Column) -> Column:
+    return text.rlike(_HINT) & text.rlike(ASSIGNMENT)
+
+
+def _matched(rows: DataFrame) -> DataFrame:
+    """``rows`` with the candidates of ``text``, ``cands``, and what lies before, between and behind them, ``gaps``.
+
+    Values of assignments come first; the other candidates are looked for in what lies between the values.
+    """
+    text = F.coalesce("text", F.lit(""))
+    leads, values = (F.regexp_extract_all(text, F.lit(ASSIGNMENT), F.lit(k)) for k in (1, 2))
+    between = F.zip_with(F.split(text, ASSIGNMENT, -1), leads, lambda gap, lead: F.concat(gap, F.coalesce(lead, F.lit(""))))
+    cut = rows.withColumn("between", F.when(_telling(text), F.struct(between.alias("texts"), values.alias("values"))))
+    texts, values = F.col("between.texts"), F.col("between.values")
+    found = lambda s: F.regexp_extract_all(s, F.lit(CANDIDATE), F.lit(0))
+    parts = lambda s: F.split(s, CANDIDATE, -1)
+    cands = F.flatten(F.zip_with(texts, values, lambda s, value: F.when(value.isNull(), found(s)).otherwise(F.concat(found(s), F.array(value)))))
+    gaps = F.flatten(F.transform(texts, parts))
+    plain = F.col("between").isNull()
+    return cut.withColumn("gaps", F.when(plain, parts(text)).otherwise(gaps)).withColumn("cands", F.when(plain, found(text)).otherwise(cands)).drop("between")
+
+
+def _inside(c: Column, left: Column, right: Column, path: Column) -> Column:
+    """The features of candidates that a longer value holds, in their own neighbourhood."""
+    found, gaps = F.regexp_extract_all(c, F.lit(CANDIDATE), F.lit(0)), F.split(c, CANDIDATE, -1)
+
+    def one(x: Column, k: Column) -> Column:
+        before = F.when(k == 0, F.concat(left, gaps[0])).otherwise(F.get(gaps, k))
+        behind = F.when(k == F.size(found) - 1, F.concat(F.get(gaps, k + 1), right)).otherwise(F.get(gaps, k + 1))
+        return features(x, F.substring(before, -CONTEXT, CONTEXT), F.substring(behind, 1, CONTEXT), path)
+
+    return F.when(~c.rlike(rf"^(?:{CANDIDATE})$"), F.transform(found, one)).otherwise(F.array().cast("array<array<double>>"))
 
 
 def candidates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """``id``, ``text``, ``gaps`` and ``found`` (``secret``, ``start``, ``left``, ``right``, ``features``); ``found`` is empty without candidates."""
-    named = docs.select(
+    """``id``, ``text``, ``gaps`` and ``found`` (``secret``, ``start``, ``left``, ``right``, ``features``, and ``inside``, those of candidates in a
+    value); ``found`` is empty without candidates."""
+    rows = docs.select(
         F.col(id).alias("id"), F.col(text).cast("string").alias("text"), F.coalesce(F.col(path).cast("string") if path else F.lit(""), F.lit("")).alias("path")
     )
-    cands, gaps = _matches(F.coalesce("text", F.lit("")))
-    split = named.withColumn("gaps", gaps).withColumn("cands", cands)
+    split = _matched(rows)
     n = F.size("cands")
     zipped = F.arrays_zip(F.col("cands").alias("c"), F.slice("gaps", F.lit(1), n).alias("l"), F.slice("gaps", F.lit(2), n).alias("r"))
     empty = F.array().cast("array<struct<secret:string,start:int,left:string,right:string>>")
@@ -85,14 +126,19 @@ def candidates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", path:
         return F.struct((start + F.length(z["c"])).alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
 
     found = F.aggregate(zipped, first, step, lambda s: s["out"])
-    described = lambda f: F.struct(*[f[k].alias(k) for k in ("secret", "start", "left", "right")], features(f["secret"], f["left"], f["right"], F.col("path")).alias("features"))
+    named = ("secret", "left", "right")
+    described = lambda f: F.struct(
+        *[f[k].alias(k) for k in ("secret", "start", "left", "right")],
+        *[kind(*[f[k] for k in named], F.col("path")).alias(name) for kind, name in ((features, "features"), (_inside, "inside"))],
+    )
     listed = split.withColumn("found", F.when(n > 0, found).otherwise(empty))
     return listed.withColumn("found", F.transform("found", described)).select("id", "text", "gaps", "found")
 
 
 def findings(docs: DataFrame, *, id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """One row per candidate: ``id``, ``secret``, ``start``, ``left``, ``right`` and ``features``."""
-    some = docs.where(F.col(text).cast("string").rlike(CANDIDATE))
+    """One row per candidate: ``id``, ``secret``, ``start``, ``left``, ``right``, ``features`` and ``inside``."""
+    whole = F.col(text).cast("string")
+    some = docs.where(whole.rlike(CANDIDATE) | _telling(whole))
     return candidates(some, id=id, text=text, path=path).select("id", F.explode("found").alias("f")).select("id", "f.*")
 
 
@@ -100,7 +146,7 @@ def strict_label() -> Column:
     """1 for ``findings`` in an issued format or assigned to a telling name and hardly made of words, else 0."""
     secret, left = F.col("secret"), F.col("left")
     plain = _share(F.lower(secret), "|".join(w for w in DICTIONARY if len(w) > 3)) > 0.5
-    return (secret.rlike(ISSUED) | (F.lower(left).rlike(ASSIGNED) & ~plain & ~secret.contains("@"))).cast("double")
+    return (secret.rlike(ISSUED) | (F.lower(left).rlike(ASSIGNED) & ~plain & ~secret.rlike(_MAIL))).cast("double")
 
 
 @dataclass(frozen=True)
@@ -118,6 +164,10 @@ class Forest:
 
         return sum((vote(t) for t in self.trees[1:]), vote(self.trees[0])) / len(self.trees)
 
+    def highest(self, found: Column) -> Column:
+        """The score of a candidate, or of the likeliest secret inside it."""
+        return F.array_max(F.transform(F.concat(F.array(found["features"]), found["inside"]), self.score))
+
     def to_json(self) -> str:
         return json.dumps(self.trees)
 
@@ -144,7 +194,7 @@ def fit(labelled: DataFrame, *, rows: int = SAMPLE_ROWS, trees: int = 20, depth:
     It is fitted on ``rows`` findings at most, those with the smallest hashes of all their columns. Findings without label are
     left out. Without a finding nothing counts as a secret; with labels of one kind only, every finding has that label.
     """
-    names = [c for c in labelled.columns if c not in ("features", "label")]
+    names = [c for c in labelled.columns if c not in ("features", "inside", "label")]
     chosen = labelled.where("label is not null").select("features", F.col("label").cast("double").alias("label"), F.xxhash64(*names, "features").alias("at"))
     chosen = chosen.orderBy("at", "label").limit(rows).coalesce(1).sortWithinPartitions("at", "label").select(array_to_vector("features").alias("features"), "label").cache()
     kinds = [r.label for r in chosen.select("label").distinct().collect()]
@@ -163,7 +213,7 @@ def scan(docs: DataFrame, forest: Forest, *, id: str = "doc_id", text: str = "te
     Whole texts are read. Null and empty texts have no candidates; repeated rows give repeated findings; rows without id keep
     their null. Other columns are not read. An empty table gives an empty one.
     """
-    scored = findings(docs, id=id, text=text, path=path).withColumn("score", forest.score(F.col("features")))
+    scored = findings(docs, id=id, text=text, path=path).withColumn("score", forest.highest(F.struct("features", "inside")))
     return scored.select(F.col("id").alias(id), "start", F.length("secret").alias("length"), "secret", "score", (F.col("score") >= threshold).alias("is_secret"))
 
 
@@ -172,7 +222,7 @@ def redacted(docs: DataFrame, forest: Forest, *, text: str = "text", path: str |
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(whole.alias("id"), F.col(f"`{text}`").alias("text"), (F.col(f"`{path}`") if path else F.lit("")).alias("path"))
     listed = candidates(rows, id="id", text="text", path="path")
-    shown = F.transform(listed["found"], lambda f: F.when(forest.score(f["features"]) >= threshold, F.lit(mask)).otherwise(f["secret"]))
+    shown = F.transform(listed["found"], lambda f: F.when(forest.highest(f) >= threshold, F.lit(mask)).otherwise(f["secret"]))
     parts = F.arrays_zip(F.slice("gaps", F.lit(1), F.size("found")).alias("l"), F.col("shown").alias("c"))
     joined = F.concat(F.array_join(F.transform(parts, lambda z: F.concat(z["l"], z["c"])), ""), F.element_at("gaps", -1))
     kept = listed.withColumn("shown", shown).withColumn("new", F.when(F.size("found") > 0, joined).otherwise(F.col("text")))
