@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.store import checkpoint_root
-from . import decontaminate, jaccard, layout, packing, pieces, quality, secrets, toxicity, vectors, warc
+from . import alignment, decontaminate, jaccard, layout, packing, pieces, quality, secrets, toxicity, vectors, warc
 from .oracles import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -109,3 +109,9 @@ def op2_secrets(spark, d):
     docs = table(spark, d, "documents")
     found = secrets.scan(docs, secret_forest(docs), path="source")
     return found.select("doc_id", "start", "length", F.sha2(F.col("secret").cast("binary"), 256).alias("secret_sha256"), "score", "is_secret")
+
+
+@query
+def op13_alignment(spark, d):
+    docs = table(spark, d, "documents").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return alignment.align(docs, _vocabulary("byte_bpe_50k.json"), piece_model())
