@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.store import checkpoint_root
-from . import alignment, decontaminate, jaccard, layout, packing, pieces, quality, secrets, toxicity, vectors, warc
+from . import alignment, decontaminate, jaccard, layout, packing, pieces, quality, secrets, shards, toxicity, vectors, warc
 from .oracles import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -115,3 +115,13 @@ def op2_secrets(spark, d):
 def op13_alignment(spark, d):
     docs = table(spark, d, "documents").withColumn("doc_id", F.col("doc_id").cast("long"))
     return alignment.align(docs, _vocabulary("byte_bpe_50k.json"), piece_model())
+
+
+@query
+def op11_sharding(spark, d):
+    docs = table(spark, d, "documents")
+    dims = {"length": F.log2(F.col("n_chars") + 1.0), "source": F.col("source"), "lang": F.col("lang")}
+    placed = shards.shard(docs, dims, shards=8)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
