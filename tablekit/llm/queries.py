@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.store import checkpoint_root
-from . import alignment, decontaminate, jaccard, layout, packing, pieces, quality, secrets, shards, toxicity, vectors, warc
+from . import alignment, decontaminate, jaccard, layout, packing, pieces, quality, secrets, shards, toxicity, turns, vectors, warc
 from .oracles import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -125,3 +125,13 @@ def op11_sharding(spark, d):
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query
+def op12_conversations(spark, d):
+    rows = table(spark, d, "conversations")
+    report = turns.Repair(turns.damaged(rows)).report()
+    numbers = [c for c, kind in report.dtypes if kind == "bigint" and c != "conv_id"]
+    everyone = rows.select("conv_id").distinct()
+    found = everyone.join(report.withColumnRenamed("conv_id", "id"), F.col("conv_id").eqNullSafe(F.col("id")), "left").drop("id")
+    return found.fillna(0, numbers).fillna({"audit": ""}).withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)))
