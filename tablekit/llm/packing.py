@@ -14,10 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .byte_pairs import PATTERN, ordinary
 from .words import slices
 
-#: The pattern that cuts texts before merging; a fixed value that belongs to the rank files.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 ROW_TOKENS = 2048
 #: Tokens that a task gathers before it packs them.
 GROUP_TOKENS = 1 << 22
@@ -112,7 +111,7 @@ def pack(
     ``n_tokens``; ``doc_ids`` and ``starts``, the document of each sequence and the place of its first token there;
     ``cu_seqlens``, where sequences begin and the last one ends; ``ids``, one row of the matrix as little-endian integers of
     16 bits (32 with larger ids), filled up with the end id; and ``positions`` in the same form, which begin at 0 in each sequence.
-    Null and empty texts have only their end id. Repeated rows are packed as often as they occur, rows without id with a null
+    Null and empty texts have only their end id; texts of any length and with any run of blanks are taken whole. Repeated rows are packed as often as they occur, rows without id with a null
     in ``doc_ids``. Other columns are not read. An empty table gives no rows. Which documents share a row depends on how the
     input is partitioned; that every token occurs once, in order, does not.
     """
@@ -126,7 +125,8 @@ def pack(
         for batch in slices(batches, "text"):
             id_type = batch.column("id").type
             for key, value in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-                ids = np.append(encoder.encode_to_numpy(value) if value else np.zeros(0, np.uint32), np.uint32(end)).astype(kind)
+                found = [] if not value else ordinary(encoder, value) if pattern == PATTERN else encoder.encode_ordinary(value)
+                ids = np.array([*found, end], kind)
                 for start in range(0, len(ids), row_tokens):
                     group.append((key, start, ids[start : start + row_tokens]))
                 size += len(ids)

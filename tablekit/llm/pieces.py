@@ -2,14 +2,16 @@
 
 An agenda of adjacent symbol pairs, ordered by the score of the piece that they form and then by their place, merges a text's
 characters. No piece of such a vocabulary holds the blank sign after another character, so that what stands between blanks is
-merged by itself, and a bounded memory of such parts saves merging the common ones again. The parts new to a task's memory
-are checked against the sentencepiece library, one call per Arrow batch.
+merged by itself, and a bounded memory of such parts saves merging the common ones again. The parts of a batch that the memory lacks are
+merged together, each by its own agenda, one entry of every agenda at a time; long parts have a heap. What is new to a task's
+memory is checked against the sentencepiece library, one call per Arrow batch. Memories end with their task.
 """
 
 from __future__ import annotations
 
 import functools
 import heapq
+import itertools
 import re
 
 import numpy as np
@@ -19,8 +21,12 @@ from pyspark.sql import DataFrame, functions as F
 from .words import slices
 
 BLANK = "▁"
-#: Parts of texts that a worker remembers, in each of two generations.
-REMEMBERED = 1 << 17
+#: Parts of texts that a task remembers, in each of two generations, and the characters of the longest one.
+REMEMBERED, LONGEST = 1 << 18, 64
+
+
+#: The agenda's entry of two symbols that form no piece.
+_NEVER = 1 << 62
 
 
 def _fields(data: bytes):
@@ -78,6 +84,11 @@ class Pieces(dict):
         self.silent = np.array([kind[i] == "control" for i in ids])
         self.many = len(ids) + 1
         self.pairs = self._pairs()
+        self.symbol = np.full(0x110000, len(ids), np.int64)
+        for c, i in self.characters.items():
+            self.symbol[ord(c)] = i
+        self.pair_keys = np.array(sorted(self.pairs), np.int64)
+        self.pair_order, self.pair_becomes = (np.array([self.pairs[k][x] for k in self.pair_keys.tolist()], np.int64) for x in (0, 1))
         self.new: list[tuple[str, bytes]] = []
         self.older: dict[str, bytes] = {}
 
@@ -126,16 +137,78 @@ class Pieces(dict):
                 out.append(s)
         return out
 
-    def __missing__(self, part: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.older = dict(self)
+    def merge_many(self, parts: list[str]) -> list[bytes]:
+        """The ids of many short parts, as bytes. In every round each part's agenda gives its first entry, until all are empty."""
+        length = np.fromiter(map(len, parts), np.int64, len(parts))
+        symbol = self.symbol[np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)]
+        alone = self.many - 1
+        out: list[bytes] = [b""] * len(parts)
+        part = np.repeat(np.arange(len(parts)), length)
+        entry, becomes = self._agenda(symbol[:-1], symbol[1:], part[1:] == part[:-1])
+        while len(symbol):
+            starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            # An entry's place breaks ties; pieces' orders take the high bits.
+            first = np.minimum.reduceat(entry | np.arange(len(entry)), starts)
+            ended = first >= _NEVER
+            if ended.any():
+                sizes = np.diff(np.append(starts, len(symbol)))
+                over = np.repeat(ended, sizes)
+                whole, names = symbol[over].astype("<i4"), part[starts[ended]]
+                cut = np.cumsum(np.append(0, sizes[ended])).tolist()
+                data = whole.tobytes()
+                odd = set((np.searchsorted(cut, np.flatnonzero(whole == alone), "right") - 1).tolist())
+                for k, name in enumerate(names.tolist()):
+                    out[name] = data[4 * cut[k] : 4 * cut[k + 1]] if k not in odd else np.array(self.merge(parts[name]), "<i4").tobytes()
+                symbol, part, entry, becomes = symbol[~over], part[~over], entry[~over], becomes[~over]
+                first = first[~ended] - np.cumsum(over)[starts[~ended]]
+                if not len(symbol):
+                    break
+            at = first & 0xFFFFFFFF
+            symbol[at] = becomes[at]
+            stay = np.ones(len(symbol), bool)
+            stay[at + 1] = False
+            moved = np.cumsum(stay) - 1
+            symbol, part, entry, becomes = symbol[stay], part[stay], entry[stay], becomes[stay]
+            at = moved[at]
+            # The merged symbols have new neighbours on both sides.
+            for place in (at, at[at > 0] - 1):
+                near = np.minimum(place + 1, len(symbol) - 1)
+                entry[place], becomes[place] = self._looked_up(symbol[place], symbol[near], (near > place) & (part[near] == part[place]))
+        return out
+
+    def _agenda(self, left: np.ndarray, right: np.ndarray, together: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        entry, becomes = self._looked_up(left, right, together)
+        return np.append(entry, _NEVER), np.append(becomes, 0)
+
+    def _looked_up(self, left: np.ndarray, right: np.ndarray, together: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order of merging two symbols, or never, and what they become."""
+        keys = left * self.many + right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        found = together & (self.pair_keys[at] == keys)
+        return np.where(found, self.pair_order[at], _NEVER), self.pair_becomes[at]
+
+    def learn(self, parts: set[str]) -> None:
+        """Put the parts into the memory."""
+        wanted = [p for p in parts if p not in self]
+        if len(self) + len(wanted) > REMEMBERED:
+            self.older = {p: x for p, x in self.items() if len(p) <= LONGEST}
             self.clear()
-        if found := self.older.get(part):
-            self[part] = found
-            return found
-        self[part] = found = np.array(self.merge(part), "<i4").tobytes()
-        self.new.append((part, found))
-        return found
+            wanted = list(parts)
+        self.update((p, x) for p in wanted if (x := self.older.get(p)) is not None)
+        wanted = [p for p in wanted if p not in self.older]
+        short = [p for p in wanted if len(p) <= LONGEST]
+        new = [*zip(short, self.merge_many(short)), *((p, np.array(self.merge(p), "<i4").tobytes()) for p in wanted if len(p) > LONGEST)]
+        self.update(new)
+        self.new += new
+
+    def __missing__(self, part: str) -> bytes:
+        self.learn({part})
+        return self[part]
+
+    def forget(self) -> None:
+        """Empty the memory, but not of what is still to be checked."""
+        self.older = {}
+        self.clear()
 
     def _cut(self) -> re.Pattern:
         """Where texts, with plain blanks, may be cut: between characters that no piece holds side by side."""
@@ -210,7 +283,10 @@ def pieces(model: bytes) -> Pieces:
 
 
 def encoded(batch: pa.RecordBatch, held: Pieces, end: bool, check: bool) -> list[np.ndarray]:
-    ids = [held.encode(t, end) for t in batch.column("text").to_pylist()]
+    parts = [held.parts(t or "") for t in batch.column("text").to_pylist()]
+    held.learn(set(itertools.chain.from_iterable(parts)))
+    tail = np.array([held.end], "<i4").tobytes() if end else b""
+    ids = [np.frombuffer(b"".join(map(held.__getitem__, p)) + tail, "<i4") for p in parts]
     held.check() if check else held.new.clear()
     return ids
 
@@ -240,7 +316,7 @@ def encode(docs: DataFrame, model: bytes, *, id: str = "doc_id", text: str = "te
                 columns.append(pa.array([table.decode(x) for x in ids], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "text"][: len(columns)])
         # Other work may follow in this worker.
-        table.older = {}
+        table.forget()
         pa.default_memory_pool().release_unused()
 
     named = _row(docs, id, F.col(text).cast("string").alias("text"))

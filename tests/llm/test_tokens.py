@@ -102,6 +102,23 @@ def test_packing_edge_cases(spark):
     assert packing.pack(weird(spark).limit(0), rank_file()).count() == 0
 
 
+def test_packing_long_blank_runs(spark):
+    encoder, end = packing._encoder(rank_file(), packing.PATTERN)
+    texts = {1: " " * 3_000_000, 2: "a" + " " * 3_000_000 + "b", 3: "\n" * 1_500_000 + "12  "}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for key, held in unpacked(packing.pack(docs, rank_file()).collect()).items():
+        ids = np.concatenate([x for _, x in sorted(held, key=lambda x: x[0])]).tolist()
+        assert ids[-1] == end and encoder.decode(ids[:-1]) == texts[key]
+
+
+def test_many_agendas_equal_single_ones(library):
+    own, draw = pieces.Pieces(piece_model()), random.Random(5)
+    letters = list("ab  the\n\té漢😀▁ingstronation.,1")
+    parts = sorted({"".join(draw.choice(letters) for _ in range(draw.randint(1, 20))) for _ in range(3000)} | {"a" * 64, "\0"})
+    assert own.merge_many(parts) == [np.array(own.merge(p), "<i4").tobytes() for p in parts]
+    assert own.merge_many([]) == []
+
+
 def test_best_fit_equals_a_plain_search():
     draw = random.Random(11)
     for _ in range(300):
