@@ -27,6 +27,15 @@ def read_csv_quoted_newlines(spark, d):
     return tk.read_csv(spark, path, row_index=False)
 
 
+@query("read_csv_utf16", "SELECT doc_id, text, lang, n_chars FROM documents")
+def read_csv_utf16(spark, d):
+    """Two bytes a character, with line breaks in quotes."""
+    path = scratch_path(spark)
+    table(spark, d, "documents").select("doc_id", "text", "lang", "n_chars").write.options(
+        header=True, encoding="UTF-16LE", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return tk.read_csv(spark, path, encoding="UTF-16LE", row_index=False)
+
+
 @query("read_csv_row_index", """SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS __row_index__, s_suppkey, s_name FROM supplier""")
 def read_csv_row_index(spark, d):
     """Four files, in key order."""
