@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..errors import InvalidParameter
 from ..plans.columns import INDEX, as_double, beyond, data_columns, missing, numeric_columns, ref, require, text_columns
 from ..plans.joins import bounded
-from ..plans.metrics import null_counts, value_histogram
+from ..plans.metrics import null_counts, text_key, texts_of, value_histogram
 from ..plans.order import BLOCK_BITS
 from ..plans.quantiles import quantiles_and, scaled_bounds
 from ..plans.store import keep
@@ -74,7 +74,7 @@ def _is_lower(c):
 
 def _text_facts(df: DataFrame, names: Sequence[str], sensitivity: float, thresholds: Thresholds):
     """The histogram of the text columns and, per column with rare values, its total and common letter case."""
-    hist = keep(value_histogram(df, names).filter("s IS NOT NULL").select("c", "s", "n"))
+    hist = keep(value_histogram(df, names, ordered=True).filter("h1 IS NOT NULL").select("c", "h1", "h2", "p", "n"))
     limit = (1 - sensitivity) * 0.01
     totals = hist.groupBy("c").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct"))
     totals = {r["c"]: r for r in totals.collect()}
@@ -86,9 +86,13 @@ def _text_facts(df: DataFrame, names: Sequence[str], sensitivity: float, thresho
         total = F.when(F.col("c") == c, F.lit(r["total"])).otherwise(total)
     rare = (F.col("n") / total) < F.lit(limit)
     rare_count = {r["c"]: r["k"] for r in hist.filter(rare).groupBy("c").agg(F.count(F.lit(1)).alias("k")).collect()}
+    # Texts beyond their first bytes only matter among those that are alike so far.
+    so_far = Window.partitionBy("c").orderBy(F.col("n").desc(), F.col("p").asc())
+    chosen = keep(hist.withColumn("rk", F.rank().over(so_far)).filter(F.col("rk") <= thresholds.top_categories).drop("rk"))
     first = Window.partitionBy("c").orderBy(F.col("n").desc(), F.col("s").asc())
     top = (
-        hist.withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= thresholds.top_categories)
+        chosen.join(texts_of(df, names, chosen.select("c", "h1", "h2")), ["c", "h1", "h2"])
+        .withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= thresholds.top_categories)
         .groupBy("c").agg(F.count_if(_is_upper(F.col("s"))).alias("up"), F.count_if(_is_lower(F.col("s"))).alias("low"))
     )
     case = {}
@@ -120,8 +124,8 @@ def _pattern(df, names, sensitivity, index, thresholds):
     watched = list(facts)
     cells = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(names[c]).alias("column"), ref(names[c]).alias("s")) for c in watched])
     rows = df.select(F.col(index).cast("long").alias(index), F.explode(cells).alias("x")).select(index, "x.*")
-    rows = rows.filter("s IS NOT NULL")
-    common = hist.filter(~rare & F.col("c").isin(watched)).select("c", "s", F.lit(True).alias("common"))
+    rows = rows.filter("s IS NOT NULL").withColumns({"h1": text_key(F.col("s"))[0], "h2": text_key(F.col("s"))[1]})
+    common = hist.filter(~rare & F.col("c").isin(watched)).select("c", "h1", "h2", F.lit(True).alias("common"))
     if len(watched) / ((1 - sensitivity) * 0.01) <= BROADCAST_VALUES:
         common = bounded(common, BROADCAST_VALUES)
     odd_case = F.lit(False)
@@ -129,7 +133,7 @@ def _pattern(df, names, sensitivity, index, thresholds):
         if case:
             fits = _is_upper(F.col("s")) if case == "uppercase" else _is_lower(F.col("s"))
             odd_case = odd_case | ((F.col("c") == c) & ~fits)
-    found = rows.join(common, ["c", "s"], "left").filter(F.col("common").isNull() | odd_case)
+    found = rows.join(common, ["c", "h1", "h2"], "left").filter(F.col("common").isNull() | odd_case)
     return found.select("column", index, F.col("s").alias("value")), {names[c]: f for c, f in facts.items()}
 
 

@@ -11,7 +11,7 @@ from ..errors import InvalidParameter
 from ..plans.columns import (
     INDEX, as_double, combined, data_columns, missing, numeric_columns, ref, require, type_of, value_of,
 )
-from ..plans.metrics import most_frequent, value_histogram
+from ..plans.metrics import column_tops
 from ..plans.order import BLOCK, BLOCK_BITS, block_of, index_span, last_before
 from ..plans.quantiles import quantiles
 from ..plans.store import keep
@@ -76,8 +76,7 @@ def _median(df, targets):
 
 def _mode(df, targets):
     """The most frequent value of every column from one histogram; ties go to the smallest value."""
-    hist = value_histogram(df, targets).filter("l IS NOT NULL OR d IS NOT NULL OR s IS NOT NULL")
-    best = {r["c"]: r["v"] for r in hist.groupBy("c").agg(most_frequent().alias("v")).collect()}
+    best = column_tops(df, targets, nulls=False) if targets else {}
     updates = {}
     for i, c in enumerate(targets):
         if i in best:

@@ -12,7 +12,7 @@ from ..plans.columns import (
     INDEX, boolean_columns, combined, data_columns, datetime_columns, missing, numeric_columns, ref, text_columns, type_label,
     type_of, value_of,
 )
-from ..plans.metrics import is_null_slot, most_frequent, per_column, value_histogram
+from ..plans.metrics import NO_TOP, column_tops, is_null_slot, per_column, slot_text, sliced_row, value_histogram, value_slots
 from ..settings import DEFAULTS, Thresholds
 
 
@@ -26,29 +26,52 @@ def _labels(df, names):
     )
 
 
+_NOTHING = {"rows": 0, "nulls": 0, "uniques": 0, **NO_TOP}
+#: Items that a sketch of frequent values tracks.
+SKETCHED = 10_000
+
+
+def _sketched_tops(df, names):
+    """As ``column_tops``, from sketches. The frequent ones are hashes, so that no sketch holds texts; another scan reads the values."""
+    key = {c: F.xxhash64(*value_slots(df, c)) for c in names}
+    metrics = [
+        F.struct(
+            F.count(F.lit(1)).alias("rows"), F.count_if(missing(df, c)).alias("nulls"), F.approx_count_distinct(value_of(df, c)).alias("uniques"),
+            F.call_function("approx_top_k", key[c], F.lit(1), F.lit(SKETCHED)).alias("top"),
+        ).alias(f"m{i}") for i, c in enumerate(names)
+    ]
+    row = sliced_row(df, metrics)
+    tops = {i: row[f"m{i}"]["top"][0] for i in range(len(names)) if row[f"m{i}"]["top"]}
+    texts = {"l_text": lambda s: s[0].cast("string"), "s": lambda s: s[2], "d_text": lambda s: s[1].cast("string")}
+    reads = [
+        F.struct(*[F.min(F.when(key[names[i]] == t["item"], read(value_slots(df, names[i])))).alias(k) for k, read in texts.items()]).alias(f"m{i}")
+        for i, t in tops.items()
+    ]
+    values = sliced_row(df, reads)
+    return {
+        i: {**row[f"m{i}"].asDict(), "n": tops[i]["count"], **values[f"m{i}"].asDict()} if i in tops else {**_NOTHING, **row[f"m{i}"].asDict()}
+        for i in range(len(names))
+    }
+
+
 def profile_data(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True, index: str = INDEX) -> DataFrame:
     """Per column: type, nulls, distinct values, and the most frequent value (null included) with its frequency.
 
-    Exact: one histogram over all columns, whose shuffle carries each distinct value once per task. ``exact=False``:
-    one scan with a distinct-count sketch and no shuffle of values; the most frequent value is then left null.
+    Exact: one histogram over all columns, whose shuffle carries each distinct number, or hash of a text, once per task. ``exact=False``:
+    one scan with a distinct-count sketch and a sketch of frequent hashes, no shuffle of values; a frequency is then an estimate, at most
+    rows / ``SKETCHED`` too high or too low, and the value is the most frequent one up to that error.
     """
     names = data_columns(df, columns, index)
-    if exact:
-        stats = value_histogram(df, names).groupBy("c").agg(
-            F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(is_null_slot(), F.col("n"))), F.lit(0)).alias("nulls"),
-            F.count_if(~is_null_slot()).alias("uniques"), most_frequent().alias("top"),
-        )
-        # one row per column on both sides
-        stats = _labels(df, names).join(stats, "c", "left")
-        top = F.coalesce(F.col("top.l").cast("string"), F.col("top.s"), F.col("top.d").cast("string"))
-        frequency = F.col("top.n")
-    else:
-        metrics = per_column(df, names, lambda c: {
-            "rows": F.count(F.lit(1)), "nulls": F.count_if(missing(df, c)),
-            "uniques": F.approx_count_distinct(value_of(df, c)),
-        })
-        stats = _labels(df, names).join(metrics, "column", "left")
-        top, frequency = F.lit(None).cast("string"), F.lit(None).cast("long")
+    spark = df.sparkSession
+    found = column_tops(df, names) if exact and names else {}
+    if not exact:
+        found = _sketched_tops(df, names)
+    stats = spark.createDataFrame(
+        [(i, c, type_label(type_of(df, c)), x["rows"], x["nulls"], x["uniques"], slot_text(x), x["n"])
+         for i, c in enumerate(names) for x in [found.get(i, _NOTHING)]],
+        "c int, column string, data_type string, rows long, nulls long, uniques long, top string, top_n long",
+    )
+    top, frequency = F.col("top"), F.col("top_n")
     rows, nulls, uniques = (F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("rows", "nulls", "uniques"))
     return stats.select(
         "column", "data_type", nulls.alias("null_count"), _percent(nulls, rows).alias("null_percentage"),

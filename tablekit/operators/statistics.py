@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..plans.columns import (
     INDEX, as_double, data_columns, numeric_columns, scalar_columns, type_label, type_of,
 )
-from ..plans.metrics import is_null_slot, most_frequent, per_column, value_histogram
+from ..plans.metrics import NO_TOP, column_tops, per_column, slot_text
 from ..plans.quantiles import quantiles_and
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -69,28 +69,16 @@ def get_column_statistics(
     """
     names = scalar_columns(df, data_columns(df, columns, index), index)
     numeric = numeric_columns(df, names, index) if names else []
-    hist = value_histogram(df, names)
-    known = (
-        hist.filter(~is_null_slot()).groupBy("c")
-        .agg(F.count(F.lit(1)).alias("unique"), F.sum("n").alias("known"), most_frequent().alias("top"))
-    )
+    tops = column_tops(df, names, nulls=False) if names else {}
     numbers = _numeric_rows(df, numeric, exact, None).withColumnRenamed("column", "name")
     labels = df.sparkSession.createDataFrame(
-        [(i, c, type_label(type_of(df, c)), c in numeric) for i, c in enumerate(names)],
-        "c int, column string, data_type string, is_numeric boolean",
+        [
+            (c, type_label(type_of(df, c)), x["rows"], x["uniques"], *((None, None) if c in numeric else (slot_text(x), x["n"])))
+            for i, c in enumerate(names) for x in [tops.get(i, {**NO_TOP, "rows": 0, "uniques": 0})]
+        ],
+        "column string, data_type string, known long, unique long, top string, freq long",
     )
-    text = F.when(~F.col("is_numeric"), F.coalesce(
-        F.col("top.l").cast("string"), F.col("top.s"), F.col("top.d").cast("string")
-    ))
-    return (
-        # labels and numbers hold one row per column, known at most one
-        labels.join(known, "c", "left").join(numbers, F.col("column") == F.col("name"), "left")
-        .select(
-            "column", "data_type", F.coalesce("known", F.lit(0)).cast("long").alias("count"),
-            F.coalesce("unique", F.lit(0)).cast("long").alias("unique"),
-            "mean", "std", "min", "p25", "p50", "p75", "max",
-            text.alias("top"), F.when(~F.col("is_numeric"), F.col("top.n")).alias("freq"),
-        )
+    # both hold one row per column
+    return labels.join(numbers, F.col("column") == F.col("name"), "left").select(
+        "column", "data_type", F.col("known").alias("count"), "unique", "mean", "std", "min", "p25", "p50", "p75", "max", "top", "freq"
     )
-
-

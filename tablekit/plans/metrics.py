@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import operator as op
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .columns import FLOATING, INTEGRAL, as_double, missing, type_of, value_of
+from .columns import FLOATING, INTEGRAL, as_double, combined, missing, type_of, value_of
+from .joins import bounded
 
 COLUMNS_PER_SLICE = 50   # keeps the generated code of one aggregate small on wide tables
 
@@ -33,30 +35,88 @@ def value_slots(df: DataFrame, name: str) -> list[Column]:
     return [v.alias(k) for k, v in slots.items()]
 
 
-def slot_text() -> Column:
-    return F.coalesce(F.col("l").cast("string"), F.col("s"), F.col("d").cast("string"))
+#: Bytes of a text that take part in its order inside a histogram.
+PREFIX = 24
 
 
-def value_histogram(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column number c, value slots l / d / s, count n) for all columns from one scan.
+def text_key(text: Column) -> list[Column]:
+    """A text's 128-bit hash, null for null."""
+    known = lambda h: F.when(text.isNotNull(), h)
+    return [known(F.xxhash64(text)).alias("h1"), known(F.xxhash64(F.lit(1), text)).alias("h2")]
 
-    Counts are combined before the shuffle, so a value that fills a third of the rows costs one row per task.
+
+def value_histogram(df: DataFrame, columns: Sequence[str], ordered: bool = False) -> DataFrame:
+    """(column number c, value slots l / d, hash of the text slot h1 / h2, count n) for all columns from one scan.
+
+    Texts are counted by their hashes, so that none is shuffled. ``ordered`` adds ``p``, their first bytes, and ``whole``, whether that is
+    all. Counts are combined before the shuffle, so a value that fills a third of the rows costs one row per task.
     """
-    cells = F.array(*[F.struct(F.lit(i).alias("c"), *value_slots(df, name)) for i, name in enumerate(columns)])
-    return (
-        df.select(F.explode(cells).alias("x")).select("x.*")
-        .groupBy("c", "l", "d", "s").agg(F.count(F.lit(1)).alias("n"))
-    )
+    def cell(i, name):
+        l, d, s = value_slots(df, name)
+        text = F.substring(s.cast("binary"), 1, PREFIX).alias("p"), (F.octet_length(s) <= PREFIX).alias("whole")
+        return F.struct(F.lit(i).alias("c"), l, d, *text_key(s), *(text if ordered else ()))
+
+    rows = df.select(F.explode(F.array(*[cell(i, name) for i, name in enumerate(columns)])).alias("x")).select("x.*")
+    more = [F.min("p").alias("p"), F.bool_and("whole").alias("whole")] if ordered else []
+    return rows.groupBy("c", "l", "d", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), *more)
 
 
 def is_null_slot() -> Column:
-    return F.col("l").isNull() & F.col("d").isNull() & F.col("s").isNull()
+    return F.col("l").isNull() & F.col("d").isNull() & F.col("h1").isNull()
+
+
+def texts_of(df: DataFrame, columns: Sequence[str], wanted: DataFrame) -> DataFrame:
+    """``wanted`` (c, h1, h2) with the text ``s`` of each hash, from one scan. A few of them are broadcast, so that the texts aren't shuffled."""
+    numbers = [r["c"] for r in wanted.select("c").distinct().collect()]
+    if not numbers:
+        return wanted.select("c", "h1", "h2", F.lit(None).cast("string").alias("s"))
 
+    def cell(i):
+        s = value_slots(df, columns[i])[2]
+        return F.struct(F.lit(i).alias("c"), *text_key(s), s)
 
-def most_frequent() -> Column:
-    """Aggregate over a histogram: the slots of the most frequent value; ties go to the smallest, null last."""
-    value = F.struct("l", "d", "s", "n")
-    return F.min_by(value, F.struct(-F.col("n"), is_null_slot(), F.col("l"), F.col("d"), F.col("s")))
+    cells = df.select(F.explode(F.array(*[cell(i) for i in numbers])).alias("x")).select("x.*")
+    return cells.join(bounded(wanted), ["c", "h1", "h2"]).groupBy("c", "h1", "h2").agg(F.min("s").alias("s"))
+
+
+def column_tops(df: DataFrame, columns: Sequence[str], nulls: bool = True) -> dict[int, dict]:
+    """By column number: rows, nulls, distinct values (``uniques``), and the most frequent value's slots ``l``, ``d``, ``s`` and count ``n``.
+
+    Ties go to the smallest value, null last; without ``nulls`` null is no value. Only a row per column reaches the driver. Texts longer than
+    ``PREFIX`` bytes are found by another scan.
+    """
+    hist = value_histogram(df, columns, ordered=True)
+    if not nulls:
+        hist = hist.filter(~is_null_slot())
+    best = F.min_by(F.struct("l", "d", "h1", "p", "whole", "n", F.col("l").cast("string").alias("l_text"), F.col("d").cast("string").alias("d_text")), F.struct(-F.col("n"), is_null_slot(), F.col("l"), F.col("d"), F.col("p")))
+    rows = hist.groupBy("c").agg(
+        F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(is_null_slot(), F.col("n"))), F.lit(0)).alias("nulls"),
+        F.count_if(~is_null_slot()).alias("uniques"), best.alias("top"),
+    ).collect()
+    out = {r["c"]: {"rows": r["rows"], "nulls": r["nulls"], "uniques": r["uniques"], **r["top"].asDict()} for r in rows}
+    for x in out.values():
+        x["s"] = bytes(x["p"]).decode(errors="replace") if x["p"] is not None and x["whole"] else None
+    long = {c: x for c, x in out.items() if x["p"] is not None and not x["whole"]}
+    once = {c: x for c, x in long.items() if x["n"] == 1}
+    if once:  # every value is among the most frequent ones
+        row = df.agg(*[F.min(value_slots(df, columns[c])[2]).alias(f"m{c}") for c in once]).first()
+        for c in once:
+            out[c]["s"] = row[f"m{c}"]
+    if more := {c: x for c, x in long.items() if x["n"] > 1}:
+        tied = combined(op.or_, [(F.col("c") == c) & (F.col("n") == x["n"]) & (F.col("p") == F.lit(bytes(x["p"]))) for c, x in more.items()])
+        found = texts_of(df, columns, hist.filter(tied).select("c", "h1", "h2"))
+        for r in found.groupBy("c").agg(F.min("s").alias("s")).collect():
+            out[r["c"]]["s"] = r["s"]
+    return out
+
+
+#: Of a column without values.
+NO_TOP = {"n": None, "l_text": None, "d_text": None, "s": None}
+
+
+def slot_text(top: dict | None) -> str | None:
+    """A value's slots as text, decimals exactly."""
+    return None if top is None else next((x for x in (top["l_text"], top["s"], top["d_text"]) if x is not None), None)
 
 
 def column_names(columns: Sequence[str]) -> Column:
@@ -79,6 +139,14 @@ def per_column(df: DataFrame, columns: Sequence[str], metrics) -> DataFrame:
     return out
 
 
+def sliced_row(df: DataFrame, metrics: Sequence[Column]) -> dict:
+    """One row of named aggregates on the driver, computed in slices."""
+    out: dict = {}
+    for at in range(0, len(metrics), COLUMNS_PER_SLICE):
+        out |= df.agg(*metrics[at : at + COLUMNS_PER_SLICE]).first().asDict()
+    return out
+
+
 def null_counts(df: DataFrame, columns: Sequence[str]) -> tuple[int, dict[str, int]]:
     """(rows, nulls per column) on the driver, from one aggregate."""
     row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(missing(df, c)).alias(f"c{i}")

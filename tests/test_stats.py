@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import tablekit as tk
 from conftest import rows
 from tablekit.errors import ColumnNotFound, InvalidParameter
+from tablekit.plans.metrics import value_histogram
 
 I = tk.INDEX
 STAFF = [
@@ -142,13 +143,34 @@ def test_profile(staff, spark):
     assert tuple(got["dept"])[1:] == ("object", 1, 14.29, 3, 42.86, "Eng", 3)
     assert tuple(got["pay"])[1:] == ("int64", 0, 0.0, 6, 85.71, "50", 2)
     quick = {r["column"]: r for r in tk.profile_data(staff, exact=False).collect()}
-    assert quick["years"]["null_count"] == 3 and quick["pay"]["unique_count"] == 6 and quick["pay"]["most_frequent"] is None
+    assert quick["years"]["null_count"] == 3 and quick["pay"]["unique_count"] == 6
+    assert {c: (r["most_frequent"], r["frequency"]) for c, r in quick.items() if c != "name"} == {"years": (None, 3), "dept": ("Eng", 3), "pay": ("50", 2)}
     empty = tk.profile_data(staff.limit(0)).collect()
     assert len(empty) == 4 and {r["null_percentage"] for r in empty} == {0.0}
     nested = spark.createDataFrame([([1, 2], True), ([1, 2], None)], "a array<int>, b boolean")
     assert {r["column"]: r["unique_count"] for r in tk.profile_data(nested).collect()} == {"a": 1, "b": 1}
 
 
+def test_most_frequent_long_texts(spark):
+    """Texts that begin alike are told apart, and no text is shuffled whole."""
+    same = "https://www.example.com/the/same/beginning/"
+    texts = [same + x for x in ["c", "b", "b", "a", "a"]]
+    df = spark.createDataFrame([(t, same + str(k), None, f"{k % 2}.50") for k, t in enumerate(texts)], "often string, once string, never string, short string")
+    df = df.withColumn("short", F.col("short").cast("decimal(30,2)"))
+    got = {r["column"]: (r["unique_count"], r["most_frequent"], r["frequency"]) for r in tk.profile_data(df).collect()}
+    assert got == {"often": (3, same + "a", 2), "once": (5, same + "0", 1), "never": (0, None, 5), "short": (2, "0.50", 3)}
+    filled = tk.fill_missing_values(df.unionByName(df.limit(1).select(*[F.lit(None).cast(t).alias(c) for c, t in df.dtypes])), "mode", ["often", "short"])
+    assert filled.filter(F.col("often") == same + "a").count() == 3
+    plan = value_histogram(df, df.columns, ordered=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(c" in plan and all("often" not in line for line in plan.splitlines() if "Exchange" in line)
+
+
+def test_sketched_most_frequent_stays_in_its_error(spark):
+    rows = spark.range(200_000).select(F.when(F.col("id") % 10 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("v"))
+    got = tk.profile_data(rows, exact=False).first()
+    assert got["most_frequent"] == "hot" and abs(got["frequency"] - 20_000) <= 200_000 / 10_000 * 4
+
+
 def test_summaries(staff):
     got = {r["column"]: tuple(r)[1:] for r in tk.get_data_summary(staff).collect()}
     assert got["dept"] == ("object", "text", True, 3, 1) and got["pay"] == ("int64", "numeric", False, 6, 0)
