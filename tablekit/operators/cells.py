@@ -14,6 +14,7 @@ from ..errors import ColumnNotFound, InvalidParameter
 from ..functions.text import check_regex
 from ..plans.columns import INDEX, data_columns, equals, missing, ref, require, type_of, value_of
 from ..plans.joins import bounded
+from ..plans.positions import rows_between, rows_known, runs_of
 from ..plans.order import renumber
 
 CellValue = str | int | float | bool | None
@@ -64,7 +65,7 @@ def _column_window(df: DataFrame, column: str | int, radius: int, index: str) ->
 def inspect_data_around(df: DataFrame, row: int, column: str | int, radius: int = 2, index: str = INDEX) -> DataFrame:
     """The rows ``row - radius .. row + radius`` and the columns around ``column``; pushed into the scan."""
     names = _column_window(df, column, radius, index)
-    return df.filter(F.col(index).between(row - radius, row + radius)).select(index, *[ref(c) for c in names])
+    return rows_between(df, [(row - radius, row + radius)], index).select(index, *[ref(c) for c in names])
 
 
 def inspect_data_around_many(
@@ -104,10 +105,9 @@ def lookup_cells(df: DataFrame, addresses: DataFrame, index: str = INDEX) -> Dat
 
 def lookup_rows(df: DataFrame, rows: Iterable[int] | DataFrame, columns: Sequence[str] | None = None, index: str = INDEX) -> DataFrame:
     names = data_columns(df, columns, index)
-    picked = df.select(index, *[ref(c) for c in names])
     if isinstance(rows, DataFrame):
-        return picked.join(bounded(rows.select(index)), index, "left_semi")
-    return picked.filter(F.col(index).isin(list(rows)))
+        return df.select(index, *[ref(c) for c in names]).join(bounded(rows.select(index)), index, "left_semi")
+    return rows_between(df, runs_of(list(rows)), index).select(index, *[ref(c) for c in names])
 
 
 def column_slice(df: DataFrame, column: str, start: int = 0, end: int | None = None, index: str = INDEX) -> DataFrame:
@@ -117,12 +117,10 @@ def column_slice(df: DataFrame, column: str, start: int = 0, end: int | None = N
         raise InvalidParameter("start", start, "0 or more")
     if end is not None and end <= start:
         raise InvalidParameter("end", end, f"more than the start, {start}")
-    if start and df.filter(F.col(index) >= start).isEmpty():
+    known = rows_known(df, index)
+    if start and (start >= known if known is not None else df.filter(F.col(index) >= start).isEmpty()):
         raise InvalidParameter("start", start, "a row of the table")
-    wanted = F.col(index) >= start
-    if end is not None:
-        wanted = wanted & (F.col(index) < end)
-    return df.filter(wanted).select(index, ref(column))
+    return rows_between(df, [(start, (1 << 62) if end is None else end - 1)], index).select(index, ref(column))
 
 
 def patch_cells(df: DataFrame, patches: DataFrame, index: str = INDEX) -> DataFrame:

@@ -114,7 +114,8 @@ def with_row_index(
     if isinstance(order_by, str) and isinstance(type_of(df, *require(df, [order_by])), INTEGRAL):
         return renumber(df, by=order_by, index=index, bits=bits)
     keys = [order_by] if isinstance(order_by, (str, Column)) else list(order_by)
-    return _offset_parts(sorted_parts(df, keys), index, _parts(df) - 1)
+    df, parts = _sized(df)
+    return _offset_parts(sorted_parts(df, keys), index, parts - 1)
 
 
 def sorted_parts(df: DataFrame, keys: Sequence[str | Column], fineness: int = 1) -> DataFrame:
@@ -123,20 +124,35 @@ def sorted_parts(df: DataFrame, keys: Sequence[str | Column], fineness: int = 1)
     ``fineness`` times the usual number of partitions: a later shuffle by partition number is then more even. Make ``keys`` unique (end with the row index): equal keys always land in one partition.
     """
     keys = [ref(k) if isinstance(k, str) else k for k in keys]
-    rows = df.repartitionByRange(_parts(df) * fineness, *keys).sortWithinPartitions(*keys)
+    df, parts = _sized(df)
+    rows = df.repartitionByRange(parts * fineness, *keys).sortWithinPartitions(*keys)
     local = F.monotonically_increasing_id().bitwiseAND((1 << LOCAL_BITS) - 1)
     return keep(rows.withColumns({PART: F.spark_partition_id(), POS: local}))
 
 
 #: Bytes of input for one range partition, and an estimate beyond which the planner is taken not to know the size.
 PART_BYTES, UNKNOWN_BYTES = 256 << 20, 1 << 57
+#: Operators behind which the planner's size is a guess, such as the product of a join's sides.
+_GUESSED = ("Join", "Generate", "Expand", "Aggregate", "Window")
 
 
-def _parts(df: DataFrame) -> int:
-    """As many partitions as shuffles have, or more if the planner's estimate of the input asks for them."""
+def _sized(df: DataFrame) -> tuple[DataFrame, int]:
+    """The table, and as many partitions as shuffles have, or more if its size asks for them.
+
+    Sizes of files and of what is selected from them are measured. Where the planner guesses that more partitions are needed than there are, the
+    table is written, and the size of what was written counts.
+    """
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return least if size > UNKNOWN_BYTES else max(least, -(-size // PART_BYTES))
+    size, plan = _planned(df)
+    if size > least * PART_BYTES and (size > UNKNOWN_BYTES or any(name in plan for name in _GUESSED)):
+        df = keep(df)
+        size, _ = _planned(df)
+    return df, max(least, -(-size // PART_BYTES))
+
+
+def _planned(df: DataFrame) -> tuple[int, str]:
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return int(str(plan.stats().sizeInBytes())), plan.toString()
 
 
 def _offset_parts(rows: DataFrame, index: str, last_part: int = (1 << 31) - 1) -> DataFrame:

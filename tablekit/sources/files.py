@@ -12,6 +12,7 @@ from ..errors import EmptyInput, InvalidParameter
 from ..functions.casts import NUMBER, SPECIAL
 from ..plans.columns import INDEX, ref
 from ..plans.joins import bounded
+from ..plans.positions import Layout, remember, rows_between, rows_known
 from ..plans.store import keep
 
 # The texts that are read as null.
@@ -292,24 +293,27 @@ def read_parquet(spark: SparkSession, path: str | Sequence[str], row_index: bool
         return scan
     in_file = F.col("_metadata.row_index")
     counts = scan.groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count(F.lit(1)).alias("n")).collect()
-    if len(counts) <= 1:
-        return scan.select(in_file.alias(index), *[ref(c) for c in scan.columns])
-    offsets, total = [], 0
+    offsets, files, total = [], [], 0
     for r in sorted(counts, key=lambda r: r["f"]):
         offsets.append((r["f"], total))
+        files.append((r["f"], total, r["n"]))
         total += r["n"]
+    layout = Layout(scan, files, index)
+    if len(counts) <= 1:
+        return remember(scan.select(in_file.alias(index), *[ref(c) for c in scan.columns]), layout)
     table = spark.createDataFrame(offsets, "__file__ string, __offset__ bigint")
     rows = scan.select(F.col("_metadata.file_path").alias("__file__"), in_file.alias("__row__"), *[ref(c) for c in scan.columns])
     joined = rows.join(_bounded(table, len(offsets)), "__file__")
-    return joined.select((F.col("__row__") + F.col("__offset__")).alias(index), *[ref(c) for c in scan.columns])
+    return remember(joined.select((F.col("__row__") + F.col("__offset__")).alias(index), *[ref(c) for c in scan.columns]), layout)
 
 
 def preview(df: DataFrame, rows: int = 5, index: str = INDEX) -> DataFrame:
     """The first rows by position, with the table's shape and whether there is more. Values stay typed."""
     if rows < 0:
         raise InvalidParameter("rows", rows, "0 or more")
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return df.filter(F.col(index) < rows).withColumns({
+    known = rows_known(df, index)
+    total = df.agg(F.count(F.lit(1)).alias("n")).scalar() if known is None else F.lit(known).cast("long")
+    return rows_between(df, [(0, rows - 1)], index).withColumns({
         "total_rows": total, "total_columns": F.lit(len(df.columns) - 1).cast("long"), "truncated": total > F.lit(rows),
     })
 
