@@ -138,6 +138,19 @@ def derive_whole_column(spark, d):
     )
 
 
+@query("derive_whole_column_sums", f"""SELECT event_id, round(value / (SELECT sum(value) FROM {HOLED}), 9) AS of_sum,
+  round(value - (SELECT min(value) FROM {HOLED}), 6) AS above_min, round(value * value / (SELECT var_pop(value) FROM {HOLED}), 6) AS by_var,
+  round(value * 2 + 1, 6) AS "twice the value" FROM {HOLED}""")
+def derive_whole_column_sums(spark, d):
+    """``sum``, ``min`` and ``var`` of a whole column, and a name with blanks in an expression."""
+    e = holed_events(spark, d).select("event_id", F.col("value").alias("the value"))
+    v, whole = F.col("the value"), {f: m.whole_column(e, "the value", f) for f in ("sum", "min", "var")}
+    return tk.add_column(e, "twice the value", formula="round(`the value` * 2 + 1, 6)").select(
+        "event_id", F.round(v / whole["sum"], 9).alias("of_sum"), F.round(v - whole["min"], 6).alias("above_min"),
+        F.round(v * v / whole["var"], 6).alias("by_var"), "twice the value",
+    )
+
+
 @query("cast_coerce", """SELECT event_id, trunc(TRY_CAST(t AS DOUBLE))::BIGINT AS as_int, TRY_CAST(t AS DOUBLE) AS as_float,
   user_id::VARCHAR AS as_text, user_id <> 0 AS as_bool, strftime(TRY_CAST(w AS TIMESTAMP), '%Y-%m-%d') AS as_day FROM (
   SELECT event_id, user_id, CASE WHEN event_id % 6 = 0 THEN event_type ELSE value::VARCHAR END AS t,

@@ -48,11 +48,14 @@ def validate_checks(spark, d):
     return tk.schema_checks(holed_events(spark, d), _SCHEMA)
 
 
-@query("validate_summary", f"""SELECT false AS valid, 4::BIGINT AS total_columns, 0::BIGINT AS valid_columns,
-  4::BIGINT AS invalid_columns, 'country' AS missing_columns, 'event_id' AS extra_columns,
-  (SELECT sum(violations) FROM ({" UNION ALL ".join(
-    [_check(*x) for x in _EVENT_CHECKS] + [_check("value", "in_range", "value IS NULL OR value < 1 OR value > 200")])}))::BIGINT + 1
-  AS violations""")
+_ALL_CHECKS = " UNION ALL ".join(
+    [_check(*x) for x in _EVENT_CHECKS] + [_check("value", "in_range", "value IS NULL OR value < 1 OR value > 200")]
+    + ["SELECT 'country', 'column_missing', 1 FROM region WHERE r_regionkey = 0"])
+
+
+@query("validate_summary", f"""SELECT bool_and(v = 0) AS valid, count(*)::BIGINT AS total_columns, count(*) FILTER (WHERE v = 0)::BIGINT AS valid_columns,
+  count(*) FILTER (WHERE v > 0)::BIGINT AS invalid_columns, 'country' AS missing_columns, 'event_id' AS extra_columns, sum(v)::BIGINT AS violations
+  FROM (SELECT "column", sum(violations) AS v FROM ({_ALL_CHECKS}) GROUP BY 1)""")
 def validate_summary(spark, d):
     return tk.schema_summary(holed_events(spark, d), _SCHEMA)
 
@@ -222,6 +225,12 @@ def anomalies_summary(spark, d):
     return tk.find_anomalies(events, ["user_id", "value"], methods=["statistical"]).summary
 
 
+@query("anomalies_by_column", f"""SELECT 'statistical' AS method, "column", count(*)::BIGINT AS anomaly_count FROM ({_STATISTICAL}) GROUP BY 2""")
+def anomalies_by_column(spark, d):
+    events = holed_events(spark, d).select(I, "user_id", "value")
+    return tk.find_anomalies(events, ["user_id", "value"], methods=["statistical"]).by_column.select("method", "column", "anomaly_count")
+
+
 @query("anomalies_by_method", f"""SELECT 'statistical' AS method, 'value' AS "column", count(*)::BIGINT AS anomaly_count
   FROM ({_STATISTICAL}) WHERE "column" = 'value'
   UNION ALL SELECT 'missing', 'value', (count(*) - count(value))::BIGINT FROM {HOLED}""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import tablekit as tk
+from tablekit.plans.quantiles import quantiles
 
 from .base import HOLED, I, holed_events, indexed, query, scratch_path, table
 
@@ -153,3 +154,15 @@ def quality_mixed_types(spark, d):
     mixed = F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")).otherwise(F.col("event_type"))
     events = table(spark, d, "events").select(mixed.alias("mixed"), F.col("event_type").alias("kind"))
     return tk.check_data_quality(events, [tk.DataTypes(by_form=True)]).rules.select("rule_type", "column", "passed", "score")
+
+
+_SEARCHED = ["l_extendedprice", "l_quantity", "l_partkey"]
+
+
+@query("quantiles_searched", " UNION ALL ".join(f"""SELECT '{c}' AS "column", round(quantile_cont({c}::DOUBLE, 0.1), 6) AS p10,
+  round(quantile_cont({c}::DOUBLE, 0.5), 6) AS p50, round(quantile_cont({c}::DOUBLE, 0.99), 6) AS p99 FROM lineitem""" for c in _SEARCHED))
+def quantiles_searched(spark, d):
+    """The way that large columns take: brackets from sketches, searched until their values can be counted in tasks."""
+    found = quantiles(table(spark, d, "lineitem"), _SEARCHED, [0.1, 0.5, 0.99], small=0, listed=20)
+    rows = [(c, *[round(q[p], 6) for p in (0.1, 0.5, 0.99)]) for c, q in found.items()]
+    return spark.createDataFrame(rows, '"column" string, p10 double, p50 double, p99 double'.replace('"', "`"))

@@ -2,7 +2,7 @@
 
 ``percentile`` keeps every distinct value of a column in one buffer, which a large column does not survive. Here a
 bounded sketch brackets each wanted rank, a second pass counts the rows below and on the ends of the bracket, and the
-search goes on inside until a bracket holds few enough values to list. Each round shrinks a bracket more than a
+search goes on inside until a bracket holds few enough values to count one by one, in tasks. Each round shrinks a bracket more than a
 thousandfold, so 10**12 rows need about seven scans of the column; the counts make the answer exact whatever the
 sketch's error.
 """
@@ -14,14 +14,14 @@ import operator as op
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .columns import as_double, combined, ref
 
 SKETCH_SIZE = 32768      # values per sketch level; its rank error is below REACH
 REACH = 2e-4             # how far the ends of a bracket lie from the wanted rank, as a share of the rows
 SMALL_ROWS = 200_000     # columns with at most this many values use the built-in exact percentile
-LIST_LIMIT = 100_000     # a bracket with at most this many values is listed
+LIST_LIMIT = 100_000     # a bracket with at most this many values is counted value by value
 COLUMNS_PER_JOB = 20     # keeps the generated code of one aggregate small
 
 
@@ -52,17 +52,24 @@ class _Target:
         return cond
 
 
-def quantiles(df: DataFrame, columns: Sequence[str], ps: Sequence[float]) -> dict[str, dict[float, float | None]]:
-    """Exact quantiles on the driver (schema-sized): ``{column: {p: value}}``; None for an all-null column."""
-    return quantiles_and(df, columns, ps, {})[0]
+def quantiles(
+    df: DataFrame, columns: Sequence[str], ps: Sequence[float], small: int | None = None, listed: int | None = None,
+) -> dict[str, dict[float, float | None]]:
+    """Exact quantiles on the driver (schema-sized): ``{column: {p: value}}``; None for an all-null column.
 
+    ``small`` and ``listed`` stand in for ``SMALL_ROWS`` and ``LIST_LIMIT``.
+    """
+    return quantiles_and(df, columns, ps, {}, small, listed)[0]
 
-def quantiles_and(df: DataFrame, columns: Sequence[str], ps: Sequence[float], extras: dict[object, Column]) -> tuple[dict, dict]:
+
+def quantiles_and(
+    df: DataFrame, columns: Sequence[str], ps: Sequence[float], extras: dict[object, Column], small: int | None = None, listed: int | None = None,
+) -> tuple[dict, dict]:
     """The quantiles, and other aggregates of ``df`` from the same first scan."""
     found, more, columns = {}, {}, list(columns)
     for at in range(0, max(len(columns), 1), COLUMNS_PER_JOB):
         part = columns[at : at + COLUMNS_PER_JOB]
-        q, x = _quantiles(df, part, list(ps), extras if at == 0 else {})
+        q, x = _quantiles(df, part, list(ps), extras if at == 0 else {}, small, listed)
         found, more = found | q, more | x
     return found, more
 
@@ -166,7 +173,7 @@ def _narrow(vals: DataFrame, targets: list[_Target]) -> None:
 
 
 def _list(vals: DataFrame, targets: list[_Target]) -> None:
-    """Read off the ranks from the values of the brackets; every bracket holds at most ``LIST_LIMIT`` rows."""
+    """Read off the ranks from running counts over the brackets' values; each bracket holds at most ``LIST_LIMIT`` rows. A row per rank is collected."""
     if not targets:
         return
     brackets = list(dict.fromkeys(t.bracket for t in targets))
@@ -174,23 +181,19 @@ def _list(vals: DataFrame, targets: list[_Target]) -> None:
     tagged = F.array(*[
         F.when(of[b].within(), F.struct(F.lit(i).alias("i"), ref(of[b].column).alias("v"))) for i, b in enumerate(brackets)
     ])
-    rows = (
+    counted = (
         vals.filter(_any_within(list(of.values())))
         .select(F.explode(F.filter(tagged, lambda x: x.isNotNull())).alias("x"))
-        .groupBy("x.i", "x.v").agg(F.count(F.lit(1)).alias("n")).collect()
+        .groupBy("x.i", "x.v").agg(F.count(F.lit(1)).alias("n"))
     )
-    values: dict[int, list] = {}
-    for i, v, n in rows:
-        values.setdefault(i, []).append((v, n))
-    for listed in values.values():
-        listed.sort()
-    for t in targets:
-        left = t.rank - t.below
-        for v, n in values[brackets.index(t.bracket)]:
-            if left < n:
-                t.found = v
-                break
-            left -= n
+    before = Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    wanted = F.array(*[
+        F.when((F.col("i") == brackets.index(t.bracket)) & (F.col("before") <= t.rank - t.below) & (F.col("before") + F.col("n") > t.rank - t.below), F.lit(k))
+        for k, t in enumerate(targets)
+    ])
+    for k, v in placed.select(F.explode(F.array_compact(wanted)).alias("k"), "v").collect():
+        targets[k].found = v
 
 
 def scaled_bounds(q: dict[float, float | None], factor: float) -> tuple[float, float, float] | None:
