@@ -144,6 +144,14 @@ def dedupe_rows(spark, d):
     return tk.remove_duplicates(table(spark, d, "orders").select("o_orderstatus", "o_orderpriority", "o_custkey"))
 
 
+@query("dedupe_hashed", """SELECT o_orderkey AS __row_index__, o_custkey, o_orderpriority, o_totalprice FROM orders
+  QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) = 1""")
+def dedupe_hashed(spark, d):
+    """The way of many repeated keys: a bitmap lets rows with unique hashes pass, the others meet in a salted join."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias(I), "o_custkey", "o_orderpriority", "o_totalprice")
+    return tk.remove_duplicates(orders, ["o_custkey", "o_orderpriority"], broadcast_rows=0)
+
+
 @query("duplicate_count", """SELECT count(*)::BIGINT AS rows,
   (count(*) - count(DISTINCT (l_orderkey, l_linenumber)))::BIGINT AS duplicates FROM lineitem""")
 def duplicate_count(spark, d):

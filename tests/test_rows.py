@@ -99,15 +99,15 @@ def test_duplicates_by_hash_equal_the_direct_way(spark, keep):
     data = [(i, float(i), f"s{i}") for i in range(400)] + [(1, 1.0, "s1")] * 15 + [(7, 7.0, "s7"), (None, 2.0, "a"), (2, None, "a"), (None, 2.0, "a")]
     want = pd.DataFrame(data).drop_duplicates(keep=False if keep == "none" else keep).index.tolist()
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(data)], f"{I} long, a long, b double, c string").repartition(4)
-    got = tk.remove_duplicates(df, None, keep, hash_rows=0)
+    got = tk.remove_duplicates(df, None, keep, broadcast_rows=0)
     check_kept(got, data, want)
-    check_kept(tk.remove_duplicates(df, ["a", "b"], keep, hash_rows=0), data, want)
-    assert tuple(tk.duplicate_count(df, hash_rows=0).first()) == (419, 17)
+    check_kept(tk.remove_duplicates(df, ["a", "b"], keep, broadcast_rows=0), data, want)
+    assert tuple(tk.duplicate_count(df).first()) == (419, 17)
 
 
 def test_many_copies_take_the_direct_way(spark):
     df = spark.range(300).select(F.col("id").alias(I), (F.col("id") % 3 * F.col("id") % 5).alias("a"))
-    assert tk.remove_duplicates(df, hash_rows=0).count() == df.select("a").distinct().count()
+    assert tk.remove_duplicates(df, broadcast_rows=0).count() == df.select("a").distinct().count()
 
 
 def test_duplicates_need_an_order_only_when_rows_differ(people):
