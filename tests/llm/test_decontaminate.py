@@ -1,5 +1,8 @@
+import pickle
+
 import brute
 import duckdb
+from pyspark.sql import functions as F
 
 from tablekit.llm import decontaminate as d
 from tablekit.llm.queries import QUERIES
@@ -46,3 +49,22 @@ def test_removal(spark):
     texts = {(r.doc_id, r.text) for r in d.remove_spans(found).collect()}
     assert (1, "x  y") in texts and (4, "!") in texts and (None, " beta ") in texts and (2, None) in texts
     assert {r.doc_id for r in d.remove_documents(found).collect()} == {1, 2, 3, 5}
+    for slice_bytes in (d.SLICE_BYTES, 20):
+        cut = d.find_contamination(docs, items, cut=True, slice_bytes=slice_bytes, extra=["hit"])
+        assert {(r.doc_id, r.text) for r in cut.collect()} == texts
+
+
+def test_windows_stay_near_their_counted_bytes(spark):
+    items = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(200))) for k in range(200)], "id string, text string")
+    each = items.mapInArrow(d._of_items(10), "length int, hash long, words binary, item string")
+    rows = each.groupBy("length", "hash", "words").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    held = d._Windows(rows.toArrow())
+    assert len(held.hashes) == 200 * 191
+    counted = len(held.data) + 32 * len(held.hashes) + 6 * len(held.item_at)
+    assert len(pickle.dumps(held)) < 1.2 * counted
+
+
+def test_texts_stay_in_their_rows(spark):
+    docs, items = tables(spark)
+    plan = d.find_contamination(docs, items, cut=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "MapInArrow" not in plan
