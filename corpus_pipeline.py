@@ -49,9 +49,8 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words that occur in windows of the benchmark; those mostly made of them go."""
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), extra=COLUMNS[2:])
-    kept = decontaminate.remove_documents(found, LEAKED_SHARE)
-    return _recounted(decontaminate.remove_spans(kept))
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), extra=COLUMNS[2:], cut=True)
+    return _recounted(decontaminate.remove_documents(found, LEAKED_SHARE))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
