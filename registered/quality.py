@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import tablekit as tk
+from tablekit.streaming.watch import stream_checks as checks_of, stream_metrics as merged, watch
 
-from .base import HOLED, I, holed_events, indexed, query, rounded, table
+from .base import HOLED, I, holed_events, indexed, query, rounded, scratch_path, table
 
 _SCHEMA = {
     "user_id": {"greater_than": 2, "less_than": 140, "not_equal_to": 77},
@@ -237,3 +238,30 @@ def anomalies_by_column(spark, d):
 def anomalies_by_method(spark, d):
     report = tk.find_anomalies(holed_events(spark, d), ["value", "event_type"])
     return report.by_method.select("method", "column", "anomaly_count")
+
+
+def _watched(spark, d):
+    """``events``, read as a stream, with metrics and checks of every batch kept."""
+    files = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    holed = files.select(
+        F.col("event_id").alias(I), "event_id", "user_id", F.when(F.col("event_id") % 11 != 0, F.col("event_type")).alias("event_type"),
+        F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"),
+    )
+    path = scratch_path(spark)
+    schema = {c: r for c, r in _SCHEMA.items() if c != "country"}
+    run = watch(holed, path, schema).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return path
+
+
+@query("stream_metrics", " UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*)::BIGINT AS rows, (count(*) - count({c}))::BIGINT AS nulls,
+  round({"avg(%s)" % c if c != "event_type" else "NULL::DOUBLE"}, 6) AS mean, round({"stddev_samp(%s)" % c if c != "event_type" else "NULL::DOUBLE"}, 6) AS std,
+  {"max(%s)::DOUBLE" % c if c != "event_type" else "NULL::DOUBLE"} AS max FROM {HOLED}""" for c in ("user_id", "event_type", "value")))
+def stream_metrics(spark, d):
+    found = merged(spark, _watched(spark, d)).where(F.col("column") != "event_id")
+    return found.select("column", "rows", "nulls", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "max")
+
+
+@query("stream_checks", " UNION ALL ".join([_check(*x) for x in _EVENT_CHECKS] + [_check("value", "in_range", "value IS NULL OR value < 1 OR value > 200")]))
+def stream_checks(spark, d):
+    return checks_of(spark, _watched(spark, d))
