@@ -11,7 +11,9 @@ blocks end them, and in a drawing only ``text`` and ``foreignObject`` show text.
 
 from __future__ import annotations
 
+import bisect
 import html
+import itertools
 import re
 import unicodedata
 from collections import Counter
@@ -63,14 +65,19 @@ LINES = frozenset("/text /foreignobject /mtr /mlabeledtr".split())
 APART = frozenset("mfrac mroot msubsup munderover mmultiscripts mtr mlabeledtr".split())
 
 _TOKEN = re.compile(
-    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<rest>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|<[!?/][^>]*(?:>|\Z)", re.DOTALL
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<rest>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?P<stop>>|\Z)|<[!?/][^>]*(?:>|\Z)", re.DOTALL
 )
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _BLANKS = re.compile(r"[ \t\n\f\r]+")
 _UNQUOTED_STROKE = re.compile(r"=\s*[^\s\"']*/$")
-_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.IGNORECASE)
-#: Widest padding of a table column; longer cells are not cut, but nothing is aligned to them.
+_ABSENT = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.IGNORECASE)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)", re.IGNORECASE)
+#: Widest padding of a table column; longer cells are not cut, but nothing is aligned to them. Lines are padded up to 20 times as much.
 WIDEST = 80
+#: Columns in which cells are kept free for those that reach down from rows above.
+SPANNED = 1000
+#: Buttons' own labels.
+LABELS = {"submit": "Submit", "reset": "Reset", "button": ""}
 
 
 def _attributes(rest: str) -> dict[str, str]:
@@ -82,12 +89,17 @@ def _attributes(rest: str) -> dict[str, str]:
 
 def _hidden(tag: str, attributes: dict[str, str]) -> bool:
     return (
-        tag in SILENT or "hidden" in attributes or bool(_HIDING.search(attributes.get("style", "")))
-        or tag == "dialog" and "open" not in attributes
-        or tag[0] == "/" and (attributes.get("display") == "none" or attributes.get("visibility") in ("hidden", "collapse"))
+        tag in SILENT or "hidden" in attributes or bool(_ABSENT.search(attributes.get("style", "")))
+        or tag == "dialog" and "open" not in attributes or tag[0] == "/" and attributes.get("display") == "none"
     )
 
 
+def _visibility(tag: str, attributes: dict[str, str]) -> bool | None:
+    """Whether an element says that its content, unless it says otherwise itself, can be seen."""
+    said = _VISIBILITY.findall(attributes.get("style", "")) or ([attributes["visibility"]] if tag[0] == "/" and "visibility" in attributes else [])
+    return said[-1].lower() not in ("hidden", "collapse") if said else None
+
+
 def events(page: str):
     """``("open", tag, attributes)``, ``("close", tag, None)`` and ``("text", text, None)``, each open element closed; foreign tags as ``/tag``."""
     path: list[str] = []
@@ -110,11 +122,13 @@ def events(page: str):
 
     def ending(targets, walls):
         """Close the outermost target that no wall shuts off."""
-        if any(count[t] for t in targets):
+        if unseen := sum(count[t] for t in targets):
             at = None
             for k in range(len(path) - 1, -1, -1):
                 if path[k] in targets:
-                    at = k
+                    at, unseen = k, unseen - 1
+                    if not unseen:
+                        break
                 elif path[k] in walls:
                     break
             if at is not None:
@@ -150,6 +164,9 @@ def events(page: str):
             continue
         if not found["tag"]:
             continue
+        if not found["stop"]:  # what the page's end cuts off is no tag
+            yield from shown(html.unescape(page[found.start() :]))
+            break
         tag = found["tag"].lower()
         if found["end"]:
             if tag == "br":
@@ -255,45 +272,54 @@ def _width(text: str) -> int:
 
 
 class _Table:
-    """Rows of cells: lines, columns and rows that a cell spans."""
+    """Rows of cells: first column, lines, columns that a cell spans."""
 
     def __init__(self):
-        self.rows: list[list[tuple[list[str], int]]] = []
-        self.below: dict[int, int] = {}  # column: rows that a cell from above still covers
+        self.rows: list[list[tuple[int, list[str], int]]] = []
+        self.until: list[int] = []  # by column: the row before which a cell from above ends
+        self.next = 0
 
     def row(self) -> None:
         self.rows.append([])
+        self.next = 0
 
     def cell(self, lines: list[str], across: int, down: int) -> None:
-        row = self.rows[-1]
-        at = sum(n for _, n in row)
-        while self.below.get(at, 0):
-            self.below[at] -= 1
-            row.append(([], 1))
+        here, at, until = len(self.rows), self.next, self.until
+        while at < len(until) and until[at] >= here:
             at += 1
-        row.append((lines, across))
-        if down > 1:
-            self.below |= {k: down - 1 for k in range(at, at + across)}
+        self.rows[-1].append((at, lines, across))
+        self.next = at + across
+        if down > 1 and at < SPANNED:
+            stop = min(at + across, SPANNED)
+            until += [0] * (stop - len(until))
+            until[at:stop] = [here + down - 1] * (stop - at)
 
     def layout(self) -> list[str]:
         widths: dict[int, int] = {}
         for row in self.rows:
-            at = 0
-            for lines, across in row:
+            for at, lines, across in row:
                 if across == 1:
                     widths[at] = max([widths.get(at, 0), *(w for x in lines if (w := _width(x)) <= WIDEST)])
-                at += across
+        columns = sorted(widths)
+        places = list(itertools.accumulate((widths[c] + 2 for c in columns), initial=0))
         out = []
         for row in self.rows:
-            for k in range(max((len(lines) for lines, _ in row), default=0)):
-                line, at, place = "", 0, 0
-                for lines, across in row:
-                    line += " " * max(0, place - _width(line)) if place <= 20 * WIDEST else ""
-                    text = lines[k] if k < len(lines) else ""
-                    line += ("  " if line and text and not line.endswith("  ") else "") + text
-                    place += sum(widths.get(c, 0) + 2 for c in range(at, min(at + across, at + 1000)) if c in widths)
-                    at += across
-                out.append(line.rstrip(" "))
+            height = max((len(lines) for _, lines, _ in row), default=0)
+            found: list[list[tuple[int, str]]] = [[] for _ in range(height)]
+            for at, lines, _ in row:
+                for k, text in enumerate(lines):
+                    found[k].append((at, text))
+            for cells in found:
+                line, wide, tail = [], 0, ""
+                for at, text in cells:
+                    place = places[bisect.bisect_left(columns, at)]
+                    pad = max(0, place - wide) if place <= 20 * WIDEST else 0
+                    if wide and text and not (tail + " " * min(pad, 2)).endswith("  "):
+                        pad += 2
+                    line += [" " * pad, text]
+                    wide += pad + _width(text)
+                    tail = (tail + " " * min(pad, 2) + text)[-2:]
+                out.append("".join(line).rstrip(" "))
         return out
 
 
@@ -306,12 +332,13 @@ def render(page: str | None) -> str:
     """The visible text of a page."""
     flows, tables, lists = [_Flow()], [], []
     silent, depth, pre = 0, 0, 0
+    seen: list[tuple[int, bool]] = []  # depths of elements that say whether they can be seen
     cells: list[tuple] = []
     closed: list[int] = []  # depths of closed details elements
     for kind, tag, attributes in events(page or ""):
         flow = flows[-1]
         if kind == "text":
-            if not silent and not (closed and closed[-1] > 0):
+            if not silent and not (closed and closed[-1] > 0) and (not seen or seen[-1][1]):
                 flow.put(tag, pre > 0)
             continue
         if kind == "open":
@@ -326,7 +353,12 @@ def render(page: str | None) -> str:
             if _hidden(tag, attributes):
                 silent = depth
                 continue
-            if tag == "br":
+            if (said := _visibility(tag, attributes)) is not None:
+                seen.append((depth, said))
+            if tag == "input":
+                if (kind := attributes.get("type", "").strip().lower()) in LABELS and (not seen or seen[-1][1]):
+                    flow.put(attributes.get("value") or LABELS[kind], False)
+            elif tag == "br":
                 flow.end(True) if flow.line.strip(" ") else flow.block(1)
             elif tag in ("td", "th"):
                 cells.append((_number(attributes.get("colspan"), 1, 1000), _number(attributes.get("rowspan"), 1, 65534), len(lists)))
@@ -338,6 +370,8 @@ def render(page: str | None) -> str:
             elif tag == "li":
                 flow.block(0)
                 numbered = lists and lists[-1][0] == "ol"
+                if numbered and (given := re.match(r"\s*([+-]?\d{1,9})", attributes.get("value", ""))):
+                    lists[-1][1] = int(given[1])
                 marker = f"{lists[-1][1]}. " if numbered else "- "
                 if numbered:
                     lists[-1][1] += 1
@@ -362,6 +396,8 @@ def render(page: str | None) -> str:
                 pre += tag in PRE
             continue
         depth -= 1
+        while seen and seen[-1][0] > depth:
+            seen.pop()
         if silent:
             silent = 0 if depth < silent else silent
             continue
@@ -409,9 +445,10 @@ def extract(pages: DataFrame, *, id: str = "page_id", html: str = "html") -> Dat
     """One row per row of ``pages``: id and ``text``, the whole page's visible text.
 
     Null and empty pages have an empty text. Repeated rows give repeated rows. Other columns are not read. Silent are
-    scripts, styles, titles, templates, elements with ``hidden`` or an inline style that hides them, dialogs and details that aren't
+    scripts, styles, titles, templates, elements with ``hidden`` or an inline style that hides them (style sheets are not read), dialogs and details that aren't
     open (but for their summaries), what stands in for media or scripting, and the parts of drawings and formulas that browsers never
-    show (definitions, descriptions, annotations). Text of drawings stands on lines of its own.
+    show (definitions, descriptions, annotations). Text of drawings stands on lines of its own. Pages may be of any length and broken in any
+    way; cells are aligned up to 1,600 characters, and cells that reach down count in the first ``SPANNED`` columns.
     """
 
     def run(batches):

@@ -129,3 +129,32 @@ def test_edge_cases(spark):
     got = sorted(((str(r.page_id), r.text) for r in extract(df).collect()))
     assert got == sorted((str(i), render(h)) for i, h in rows)
     assert extract(df.limit(0)).count() == 0
+
+
+def test_visibility_can_be_taken_back():
+    page = '<p style="visibility: hidden">a <b style="visibility:visible">b</b> c</p><div style="display:none">d <b style="visibility:visible">e</b></div><p>f'
+    assert render(page) == "b\n\nf"
+    assert render('<p style="visibility:visible; visibility:hidden">a</p><p>b</p>') == "b"
+
+
+def test_numbers_and_buttons():
+    assert render("<ol><li>a<li value=7>b<li>c<li value='-2'>d<li>e</ol>") == "1. a\n7. b\n8. c\n-2. d\n-1. e"
+    assert render('<form><input type=text value=typed><input type="SUBMIT" value="Send it"> <input type=reset></form>') == "Send it Reset"
+
+
+def test_spans_are_charged_once():
+    rows = "".join(f"<tr><td rowspan=60000 colspan=1000>{k}</td><td>x</td></tr>" for k in range(1000))
+    start = time.time()
+    assert len(render(f"<table>{rows}</table>").split()) == 2000
+    tall = "<table>" + "<tr><td rowspan=65534>a</td></tr>" * 3000 + "</table>"
+    assert render(tall).count("a") == 3000
+    assert time.time() - start < 10
+    page = "<table><tr><td rowspan=2>ab</td><td>c</td></tr><tr><td>d</td></tr><tr><td>e</td><td>f</td></tr></table>"
+    assert render(page) == "ab  c\n    d\ne   f"
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div><p>", "<b>", "<li>", "</p>", "<table><tr><td>", "<td rowspan=9>", '<a href="', "<!--", "<p><a title='"])
+def test_long_broken_pages(part):
+    start = time.time()
+    render("x" + part * (1_000_000 // len(part) if part in ("<a ", '<a href="', "<!--", "</p>") else 20_000))
+    assert time.time() - start < 20
