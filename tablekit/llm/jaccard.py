@@ -8,7 +8,9 @@ frequent shingles last. Candidates are verified on the whole sets. That happens
   that a large group of near copies costs a star, not all its pairs.
 * Buckets with the same hub are one group. Groups whose classes aren't in one component become signature trees: a node holds the
   OR of its classes' token bitmaps and their range of sizes, and a dual traversal drops pairs of nodes whose largest possible
-  overlap is too small.
+  overlap is too small. First each pair of blocks gives a forest of its likeliest pairs, fewer than it has classes: were bitmaps exact,
+  that forest would hold a link wherever there is one. Then the groups whose classes still aren't in one component give all pairs
+  that are left between components, so that nothing depends on the bitmaps.
 
 Only links matter to the result, which is a component for each document; no document, shingle or pair is left out.
 """
@@ -21,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..plans.joins import bounded, lookup_join
 from ..plans.store import keep
 from .graph import components
 from .words import BLANK_SEPARATED, mix, runs, slices, words
@@ -208,8 +211,46 @@ def _possible(left, right, u, v, threshold, level):
     return ok
 
 
-def _candidates(threshold: float):
-    """Sorted rows of blocks to pairs of classes. A block pair's rows may come in several batches."""
+def likeness(one: _Tree, two: _Tree, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The largest similarity that the bitmaps of two classes allow."""
+    width = min(one.levels[0][0].shape[1], two.levels[0][0].shape[1])
+    left, right = ((t if t.levels[0][0].shape[1] == width else _refold(t, width)).levels[0] for t in (one, two))
+    out = np.empty(len(u))
+    for at in range(0, len(u), 65536):
+        a, b = u[at : at + 65536], v[at : at + 65536]
+        shared = np.bitwise_count(left[0][a] & right[0][b]).sum(axis=1) + np.minimum(left[3][a], right[3][b])
+        out[at : at + 65536] = shared / np.maximum(left[1][a] + right[1][b] - shared, 1)
+    return out
+
+
+def forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Numbers of the edges ``a``, ``b`` of a spanning forest of greatest weight: every tree takes its heaviest edge, round by round."""
+    order = np.argsort(-weight, kind="stable")
+    _, ends = np.unique(np.concatenate([a[order], b[order]]), return_inverse=True)
+    a, b = ends[: len(order)], ends[len(order) :]
+    tree, edge, chosen = np.arange(ends.max(initial=-1) + 1), np.arange(len(order)), []
+    while len(edge):
+        first = np.full(len(tree), len(order))
+        np.minimum.at(first, tree[a[edge]], edge)
+        np.minimum.at(first, tree[b[edge]], edge)
+        taken = np.unique(first[first < len(order)])
+        chosen.append(taken)
+        parent = np.arange(len(tree))
+        for x, y in zip(tree[a[taken]].tolist(), tree[b[taken]].tolist()):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            while parent[y] != y:
+                parent[y] = y = parent[parent[y]]
+            parent[max(x, y)] = min(x, y)
+        while (up := parent[parent]).tolist() != parent.tolist():
+            parent = up
+        tree = parent[tree]
+        edge = edge[tree[a[edge]] != tree[b[edge]]]
+    return order[np.sort(np.concatenate(chosen))] if chosen else np.zeros(0, np.int64)
+
+
+def _candidates(threshold: float, sparse: bool = False):
+    """Sorted rows of blocks to pairs of classes; ``sparse``: only a forest of each pair of blocks. Its rows may come in several batches."""
 
     def pairs(rows: dict[str, np.ndarray], bitmaps: list):
         order = np.lexsort((rows["n"], rows["root"]))
@@ -223,7 +264,11 @@ def _candidates(threshold: float):
         if not len(one) or not len(two):
             return None
         left = tree(one)
-        u, v = traverse(left, left if alike else tree(two), threshold)
+        right = left if alike else tree(two)
+        u, v = traverse(left, right, threshold)
+        if sparse and len(u):
+            best = forest(rows["root"][one[u]], rows["root"][two[v]], likeness(left, right, u, v))
+            u, v = u[best], v[best]
         a, b = rows["node"][one[u]], rows["node"][two[v]]
         return np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
 
@@ -316,20 +361,22 @@ class _Join:
         agreed = members.where("node <> hub").where(F.col("count") >= AGREEING * first)
         return agreed.select(F.col("hub").alias("x"), F.col("node").alias("y"))
 
-    def rest(self, members: DataFrame, roots: DataFrame) -> DataFrame:
+    def rest(self, members: DataFrame, roots: DataFrame, sparse: bool) -> DataFrame:
         """Candidates from the groups that hold several components."""
         named = self.sets.where("n > 0").select("name", "node").distinct().join(roots, F.col("name") == roots["node_name"], "inner")
         labelled = members.join(named.groupBy("node").agg(F.min(F.xxhash64("root")).alias("root")), "node", "left")
         labelled = keep(labelled.select("hub", "node", "n", F.coalesce("root", F.xxhash64("node")).alias("root")))
         groups = labelled.groupBy("hub").agg(F.count("*").alias("many"), F.min("root").alias("low"), F.max("root").alias("high"))
-        mixed = groups.where("low <> high").select("hub", F.ceil(F.col("many") / self.block).cast("int").alias("blocks"))
+        mixed = keep(groups.where("low <> high").select("hub", "many", F.ceil(F.col("many") / self.block).cast("int").alias("blocks")))
+        few = bounded(mixed)
         block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
-        blocked = labelled.join(mixed, "hub").select("*", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        held = lookup_join(labelled, mixed, ["hub"], "many") if few is mixed else labelled.join(few, "hub")
+        blocked = held.select("*", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         blocked = blocked.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "n")
         bitmaps = self.sets.where("n > 0").groupBy("node").agg(F.min_by("bitmap", "key").alias("bitmap"))
         ready = blocked.join(bitmaps, "node").select("hub", "i", "j", "block", "node", "root", "n", "bitmap")
         ready = ready.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
-        return ready.mapInArrow(_candidates(self.threshold), "x long, y long").distinct()
+        return ready.mapInArrow(_candidates(self.threshold, sparse), "x long, y long").distinct()
 
 
 def similarity_join(
@@ -348,9 +395,10 @@ def similarity_join(
     join = _Join(named, size, threshold, block, frequent)
     members = join.members()
     first = join.verified(join.stars(members))
-    roots = components(first)
-    second = join.verified(join.rest(members, roots.withColumnRenamed("node", "node_name")))
-    roots = components(first.unionByName(second))
+    links, roots = first, components(first)
+    for sparse in (True, False):
+        links = links.unionByName(join.verified(join.rest(members, roots.withColumnRenamed("node", "node_name"), sparse)))
+        roots = components(links)
     # Only classes with links or copies differ from documents that stand alone.
     notable = join.classes.join(roots, F.col("name") == F.col("node"), "left").where("copies > 1 or root is not null")
     notable = keep(notable.select("name", "least", F.coalesce("root", "name").alias("root")))

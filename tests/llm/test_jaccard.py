@@ -99,6 +99,46 @@ def test_groups_that_span_batches():
     assert sorted(whole) == sorted(cut) == sorted((10 * k, 10 * k + 1) for _ in range(5) for k in range(4))
 
 
+def test_forest_has_the_greatest_weight():
+    draw = random.Random(2)
+    for _ in range(200):
+        n = draw.randint(1, 12)
+        edges = [(draw.randrange(n), draw.randrange(n), draw.random()) for _ in range(draw.randint(0, 40))]
+        edges = [e for e in edges if e[0] != e[1]]
+        parent, want = list(range(n)), set()
+
+        def find(x):
+            return x if parent[x] == x else find(parent[x])
+
+        for k in sorted(range(len(edges)), key=lambda k: -edges[k][2]):
+            a, b = find(edges[k][0]), find(edges[k][1])
+            if a != b:
+                parent[a] = b
+                want.add(k)
+        got = jaccard.forest(*(np.array([e[k] for e in edges], (np.int64, np.int64, float)[k]) for k in range(3)))
+        assert set(got.tolist()) == want
+
+
+def test_a_crowd_gives_fewer_pairs_than_classes(spark):
+    """5,000 near copies of one text, most pairs of which are too different."""
+    draw = random.Random(12)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(170)]
+    texts = []
+    for k in range(5000):
+        words = list(base)
+        for at in draw.sample(range(5, 170), draw.choice([1, 2, 2, 3])):
+            words[at] = f"x{k}y{at}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("key", F.xxhash64("text"))
+    join = jaccard._Join(docs, 3, 0.9, jaccard.BLOCK, jaccard.FREQUENT)
+    members = join.members()
+    first = join.verified(join.stars(members))
+    roots = jaccard.components(first)
+    sparse = join.rest(members, roots.withColumnRenamed("node", "node_name"), True)
+    # A class is in a forest once for each of its blocks' partners; all pairs would be millions.
+    assert 0 < sparse.count() < 5 * len(texts)
+
+
 def test_missing_ids_and_empty_table(spark):
     long = " ".join(map(str, range(60)))
     rows = [(None, long), (5, long + " 60"), (5, long + " 60"), (None, long + " 60 61"), (None, "alone"), (5, "other text"), (3, "OTHER   text")]
