@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import decimal
 import itertools
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..errors import InvalidParameter
@@ -17,8 +20,7 @@ from ..plans.store import keep
 
 METHODS = ("pearson", "spearman", "kendall")
 PAIRS_PER_JOB = 100
-DIGIT_BITS = 3
-BROADCAST_RANKS = 500_000  # ranks of a column with at most this many distinct values are broadcast
+PART_CELLS = 1 << 18  # cells in one range of Kendall's grid
 
 
 def get_correlation_matrix(
@@ -117,41 +119,29 @@ def _paired_rank_correlations(values: DataFrame, pairs: list[tuple[int, int]]) -
 def _rank_correlations(complete: DataFrame, numbers: list[int]) -> dict:
     """Pearson on average ranks.
 
-    Equal rows are merged first. Ranks come from running counts over each column's distinct values, all columns in
-    one pass, and are joined back: by broadcast while a column has few distinct values, else with hot values salted. The mean rank (n + 1) / 2 is known, so one weighted sum
-    per pair is all that is left.
+    Equal rows are merged first and numbered where they are written. Ranks come from running counts over each column's distinct
+    values, all columns in one pass. One join on (column, value), with hot values salted, brings all ranks to the cells of the rows,
+    and the cells of a row meet again by its number: one join and one grouping, however many columns there are. The mean rank
+    (n + 1) / 2 is known, so one weighted sum per pair is all that is left.
     """
     cols = [f"v{i}" for i in numbers]
-    rows = keep(complete.groupBy(*cols).agg(F.count(F.lit(1)).alias("w")))
-    n = rows.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
-    cells = F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"v{i}").alias("v")) for i in numbers])
-    hist = (
-        rows.select(F.explode(cells).alias("x"), "w").groupBy("x.c", "x.v")
-        .agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("rows"))
-    )
+    rows = keep(complete.groupBy(*cols).agg(F.count(F.lit(1)).alias("w")).withColumn("row", F.monotonically_increasing_id()))
+    cells = rows.select("row", "w", F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"v{i}").alias("v")) for i in numbers])).alias("x"))
+    cells = cells.select("row", "w", "x.c", "x.v")
+    hist = cells.groupBy("c", "v").agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("rows"))
     ranks = keep(
-        running_sums(hist, ["c"], ["v"], {"before": "n"})
-        .select("c", "v", "rows", (F.col("before") + (F.col("n") + 1) / F.lit(2.0)).alias("rank"))
+        running_sums(hist, ["c"], ["v"], {"before": "n"}, {"total": "before"})
+        .select("c", "v", "rows", (F.col("before") + F.col("n") / F.lit(2.0) - F.col("total") / F.lit(2.0)).alias("dev"))
     )
-    distinct = {r["c"]: r["k"] for r in ranks.groupBy("c").agg(F.count(F.lit(1)).alias("k")).collect()}
-    ranked = rows
-    for i in sorted(numbers, key=lambda i: distinct.get(i, 0)):
-        mine = ranks.filter(F.col("c") == i).select(
-            F.col("v").alias(f"v{i}"), F.col("rank").alias(f"r{i}"), F.col("rows").alias("__rows__")
-        )
-        if distinct.get(i, 0) <= BROADCAST_RANKS:
-            ranked = ranked.join(F.broadcast(mine), f"v{i}")
-        else:
-            ranked = lookup_join(ranked, mine, [f"v{i}"], "__rows__")
-        ranked = ranked.drop("__rows__", f"v{i}")
-    mid = F.lit((n + 1) / 2.0)
-    dev = {i: F.col(f"r{i}") - mid for i in numbers}
+    placed = lookup_join(cells, ranks, ["c", "v"], "rows")
+    ranked = placed.groupBy("row").agg(F.first("w").alias("w"), *[F.max(F.when(F.col("c") == i, F.col("dev"))).alias(f"d{i}") for i in numbers])
     pairs = list(itertools.combinations_with_replacement(numbers, 2))
+    if len(pairs) > PAIRS_PER_JOB:
+        ranked = keep(ranked)
     sums = {}
     for at in range(0, len(pairs), PAIRS_PER_JOB):
         part = pairs[at : at + PAIRS_PER_JOB]
-        row = ranked.agg(*[F.sum(dev[i] * dev[j] * F.col("w")).alias(f"p{m}") for m, (i, j) in enumerate(part)])
-        row = row.first()
+        row = ranked.agg(*[F.sum(F.col(f"d{i}") * F.col(f"d{j}") * F.col("w")).alias(f"p{m}") for m, (i, j) in enumerate(part)]).first()
         sums.update({pair: row[f"p{m}"] for m, pair in enumerate(part)})
     return {
         (i, j): _ratio(sums[i, j], math.sqrt(sums[i, i] or 0.0), math.sqrt(sums[j, j] or 0.0))
@@ -167,26 +157,18 @@ def _kendall(values: DataFrame, k: int) -> dict:
 
 
 def _tau_b(values: DataFrame, pairs: list[tuple[int, int]]) -> dict:
-    """tau-b of all pairs in O(n log n) rows for each, without pairing rows; every step is keyed by the number of the pair.
+    """tau-b of all pairs in O(n log n) steps for each, without pairing rows; every step is keyed by the number of the pair.
 
-    Written in base 8, two dense ranks of y differ first at one digit. For every digit, the rows that share the higher
-    digits form a group; inside it a concordant pair is a row and a row with a smaller digit at a smaller x. Running
-    counts over x, one per digit value and spread over range partitions, count them. Discordant pairs follow from the
-    ties. The column with fewer distinct values takes the part of y, which keeps the number of digits low.
+    Concordant pairs are counted over a grid; discordant ones follow from the ties.
     """
     cells = _cells(values, pairs)
     ties = lambda c: F.sum(_product(F.col(c), F.col(c) - 1))
     rows = cells.groupBy("p").agg(ties("w").alias("both"), F.sum("w").alias("n"))
     sides = {
-        c: cells.groupBy("p", c).agg(F.sum("w").alias("t"), F.count(F.lit(1)).alias("rows")).groupBy("p")
-        .agg(ties("t").alias(f"by_{c}"), F.count(F.lit(1)).alias(f"distinct_{c}")) for c in ("x", "y")
+        c: cells.groupBy("p", c).agg(F.sum("w").alias("t")).groupBy("p").agg(ties("t").alias(f"by_{c}")) for c in ("x", "y")
     }
     facts = {r["p"]: r for r in rows.join(sides["x"], "p").join(sides["y"], "p").collect()}  # one row per pair
-    turned = [p for p, r in facts.items() if r["distinct_x"] < r["distinct_y"]]
-    swap = F.col("p").isin(turned) if turned else F.lit(False)
-    cells = cells.select("p", F.when(swap, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("y"), "w")
-    most = max([min(r["distinct_x"], r["distinct_y"]) for r in facts.values()], default=0)
-    counted = _concordant(cells, most) if most else {}
+    counted = _concordant(cells) if facts else {}
     out = {}
     for p, pair in enumerate(pairs):
         out[pair] = 0.0
@@ -200,27 +182,106 @@ def _tau_b(values: DataFrame, pairs: list[tuple[int, int]]) -> dict:
     return out
 
 
-def _concordant(cells: DataFrame, distinct: int) -> dict[int, int]:
-    """Concordant pairs of rows by the number of the pair of columns; no y has more than ``distinct`` values."""
-    values = cells.groupBy("p", "y").agg(F.count(F.lit(1)).alias("rows"))
-    ranks = keep(running_sums(values, ["p"], ["y"], {"rank": F.lit(1)}).select("p", "y", "rank", "rows"))
-    digits = max(1, math.ceil((distinct - 1).bit_length() / DIGIT_BITS))
-    base = 1 << DIGIT_BITS
-    placed = lookup_join(cells, ranks, ["p", "y"], "rows")
-    digit = F.expr(f"shiftright(rank, level * {DIGIT_BITS}) % {base}")
-    levels = (
-        placed.select("p", "x", "w", "rank", F.explode(F.sequence(F.lit(0), F.lit(digits - 1))).alias("level"))
-        .select("p", "x", "level", F.expr(f"shiftright(rank, (level + 1) * {DIGIT_BITS})").alias("prefix"), digit.alias("digit"), "w")
-        .groupBy("p", "level", "prefix", "x")
-        .agg(*[F.sum(F.when(F.col("digit") == d, F.col("w")).otherwise(0)).alias(f"n{d}") for d in range(base)])
-    )
-    counted = running_sums(levels, ["p", "level", "prefix"], ["x"], {f"before{d}": f"n{d}" for d in range(base - 1)})
-    smaller, pairs = F.lit(0).cast("long"), F.lit(0).cast("decimal(38,0)")
-    for d in range(1, base):
-        smaller = smaller + F.col(f"before{d - 1}")
-        pairs = pairs + _product(F.col(f"n{d}"), smaller)
-    sums = counted.groupBy("p").agg(F.sum(pairs.cast("decimal(38,0)")).alias("pairs")).collect()
-    return {r["p"]: int(r["pairs"] or 0) for r in sums}
+def _concordant(cells: DataFrame, part_cells: int = PART_CELLS) -> dict[int, int]:
+    """Concordant pairs of rows by the number of the pair of columns, from written ``cells`` (p, x, y, w), distinct in p, x, y.
+
+    Order the cells by (x up, y down) and by (y up, x down): a pair of rows is concordant exactly if one cell is before the other
+    in both orders. Each order is cut into ranges of about ``part_cells`` cells, which no hot value can widen because the whole cell is the key.
+    Pairs in one range of x are counted in its task, pairs in one range of y but different ranges of x in that one's. What is
+    left lies in different ranges of both and depends on the cells' weights in each square of the grid only: the same
+    question about far fewer cells, at most the square of the number of ranges. Cells are shuffled twice, whatever their values.
+    """
+    total: dict[int, int] = {}
+    while (n := cells.count()) > 0:
+        parts = -(-n // max(part_cells, 4 * math.isqrt(n)))  # so a grid has at most a sixteenth of the cells
+        up, down = F.col("x").asc(), F.col("y").desc()
+        by_x = cells.repartitionByRange(parts, "p", up, down) if parts > 1 else cells.coalesce(1)
+        by_x = by_x.sortWithinPartitions("p", up, down).withColumn("a", F.spark_partition_id())
+        by_x = keep(by_x.select("p", "x", "y", "w", "a").mapInArrow(_count_by_x, "p int, x double, y double, w long, a int, pairs decimal(38,0)"))
+        _add_counts(total, by_x)
+        if parts == 1:
+            break
+        by_y = by_x.where("pairs is null").repartitionByRange(parts, "p", F.col("y").asc(), F.col("x").desc())
+        by_y = by_y.sortWithinPartitions("p", F.col("y").asc(), F.col("x").desc()).withColumn("b", F.spark_partition_id())
+        grid = keep(by_y.select("p", "w", "a", "b").mapInArrow(_count_by_y, "p int, x double, y double, w long, pairs decimal(38,0)"))
+        _add_counts(total, grid)
+        cells = grid.where("pairs is null").select("p", "x", "y", "w")
+    return total
+
+
+def _add_counts(total: dict[int, int], counted: DataFrame) -> None:
+    for r in counted.where("pairs is not null").groupBy("p").agg(F.sum("pairs").alias("pairs")).collect():  # one row per pair of columns
+        total[r["p"]] = total.get(r["p"], 0) + int(r["pairs"])
+
+
+def _count_by_x(batches):
+    """The cells of one range of x unchanged, and for each pair of columns a row with the number of pairs inside the range."""
+    held = []
+    for batch in batches:
+        held.append(batch)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.decimal128(38, 0))], [*batch.schema.names, "pairs"])
+    for p, cell in _runs(held):
+        order = np.lexsort((-cell["x"], cell["y"]))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        yield _summary(p, ascending_pairs(rank, cell["w"]), ["x", "y", "w", "a"], [pa.float64(), pa.float64(), pa.int64(), pa.int32()])
+
+
+def _count_by_y(batches):
+    """For each pair of columns the weight of each square of one range of y, and a row with the number of pairs inside the range whose ranges
+    of x differ: taken by range of x, falling inside it, so that no two cells of one range of x ascend."""
+    for p, cell in _runs(list(batches)):
+        order = np.lexsort((-np.arange(len(cell["a"])), cell["a"]))
+        yield _summary(p, ascending_pairs(order, cell["w"][order]), ["x", "y", "w"], [pa.float64(), pa.float64(), pa.int64()])
+        a, at = np.unique(cell["a"], return_inverse=True)
+        weight = np.zeros(len(a), np.int64)
+        np.add.at(weight, at, cell["w"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(a), p, np.int32)), pa.array(a.astype(float)), pa.array(np.full(len(a), float(cell["b"][0]))), pa.array(weight),
+             pa.nulls(len(a), pa.decimal128(38, 0))], ["p", "x", "y", "w", "pairs"],
+        )
+
+
+def _runs(batches):
+    """The number of each pair of columns in sorted batches, and its columns as arrays."""
+    if not batches:
+        return
+    table = pa.Table.from_batches(batches)
+    columns = {c: table.column(c).to_numpy() for c in table.column_names}
+    cuts = [0, *(np.flatnonzero(np.diff(columns["p"])) + 1).tolist(), table.num_rows]
+    for low, high in zip(cuts, cuts[1:]):
+        if high > low:
+            yield int(columns["p"][low]), {c: v[low:high] for c, v in columns.items()}
+
+
+def _summary(p, pairs, others, types):
+    arrays = [pa.array([p], pa.int32()), *(pa.nulls(1, kind) for kind in types), pa.array([decimal.Decimal(pairs)], pa.decimal128(38, 0))]
+    return pa.RecordBatch.from_arrays(arrays, ["p", *others, "pairs"])
+
+
+def ascending_pairs(rank: np.ndarray, weight: np.ndarray) -> int:
+    """The sum of products of weights over all i < j with ``rank[i] < rank[j]``; ``rank`` holds 0 to n - 1 in some order.
+
+    Two ranks differ first at one binary digit. Ranks that agree above it stand together, in their order; there the sum of the weights so
+    far of ranks with a 0 meets each rank with a 1. Then those with a 0 go before those with a 1, for the next digit.
+    """
+    n = len(rank)
+    small = int(weight.sum()) < 1 << 31  # else products don't fit in 64 bits
+    total, place = 0, np.arange(n)
+    rank, weight = rank.astype(np.int64), weight.astype(np.int64)
+    for level in range(max(n - 1, 0).bit_length() - 1, -1, -1):
+        one = (rank >> level) & 1 == 1
+        start = (rank >> (level + 1)) << (level + 1)  # ranks have no gaps, so a group stands where its ranks begin
+        zero_weight = np.concatenate([[0], np.cumsum(np.where(one, 0, weight))])
+        met = (zero_weight[:-1] - zero_weight[start])[one]
+        total += int(met @ weight[one]) if small else sum(map(int.__mul__, met.tolist(), weight[one].tolist()))
+        zeros = np.concatenate([[0], np.cumsum(~one)])
+        before = zeros[:-1] - zeros[start]
+        target = np.where(one, start + (1 << level) + (place - start - before), start + before)
+        moved_rank, moved_weight = np.empty_like(rank), np.empty_like(weight)
+        moved_rank[target], moved_weight[target] = rank, weight
+        rank, weight = moved_rank, moved_weight
+    return total
 
 
 def _product(a, b):

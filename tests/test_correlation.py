@@ -2,11 +2,13 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 
 import tablekit as tk
 from tablekit.errors import ColumnNotFound, InvalidParameter
+from tablekit.operators import correlation
 
 
 def table(spark, n=60, nulls=True, seed=1):
@@ -100,3 +102,48 @@ def test_jobs_do_not_grow_with_the_pairs(spark, method):
         return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
 
     assert 0 < jobs(5) <= jobs(2) + 2
+
+
+def test_ascending_pairs_equal_a_double_loop():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 3, 7, 64, 65, 150):
+        rank, weight = rng.permutation(n), rng.integers(1, 5, n)
+        want = sum(int(weight[i]) * int(weight[j]) for i in range(n) for j in range(i + 1, n) if rank[i] < rank[j])
+        assert correlation.ascending_pairs(rank, weight) == want
+        assert correlation.ascending_pairs(rank, weight << 33) == want << 66  # beyond 64 bits
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_kendall_over_a_grid_of_many_ranges(spark, seed):
+    """A third of the rows share one x and two fifths one y; two pairs of columns meet in the ranges; the grid is cut again."""
+    rng = random.Random(seed)
+    data = [(float(0 if rng.random() < 0.33 else rng.randint(-40, 40)), float(rng.randint(0, 25) if rng.random() < 0.6 else 5)) for _ in range(900)]
+    cells = correlation._cells(spark.createDataFrame(data, "v0 double, v1 double"), [(0, 1), (1, 0)])
+    want = sum((a - c) * (b - d) > 0 for (a, b), (c, d) in itertools.combinations(data, 2))
+    for part_cells in (16, 100, 1 << 18):
+        assert correlation._concordant(cells, part_cells) == {0: want, 1: want}
+    assert correlation._concordant(cells.limit(0)) == {}
+
+
+def test_kendall_jobs_do_not_grow_with_the_values(spark):
+    def jobs(distinct):
+        df = spark.range(400).selectExpr(f"(id * 37) % {distinct} + 0.0 AS a", f"(id * 91) % {distinct} + 0.0 AS b")
+        group = f"digits {distinct}"
+        spark.sparkContext.setJobGroup(group, group)
+        tk.get_correlation_matrix(df, "kendall", ["a", "b"])
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(397) == jobs(3)
+
+
+def test_spearman_joins_ranks_once_for_all_columns(spark, monkeypatch):
+    joined = []
+    real = correlation.lookup_join
+    monkeypatch.setattr(correlation, "lookup_join", lambda *a, **k: joined.append(a[2]) or real(*a, **k))
+    rng = random.Random(4)
+    data = [tuple(rng.randint(0, 9) + 0.0 for _ in range(16)) for _ in range(80)]
+    got = matrix(spark.createDataFrame(data, ", ".join(f"c{c} double" for c in range(16))), "spearman")  # 136 sums, two jobs
+    assert joined == [["c", "v"]]
+    want = pd.DataFrame(data).corr(method="spearman")
+    assert all(r == pytest.approx(want.loc[int(x[1:]), int(y[1:])], abs=1e-9) for (x, y), r in got.items())
