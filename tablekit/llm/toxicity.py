@@ -16,9 +16,8 @@ from ..plans.store import keep
 from .training import labelled_sample
 from .words import ALPHANUMERIC, slices, words
 
-#: Labelled rows that the fit uses at most, and words in the model at most.
+#: Labelled rows that the fit uses at most. The model has all words of these rows, but for those of very few rows.
 SAMPLE_ROWS = 12_000
-VOCABULARY = 1 << 15
 
 
 @dataclass
@@ -67,18 +66,18 @@ def _vectors(vocabulary):
 
 def fit(
     docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", grade: str = "grade", binary: bool = False,
-    sample_rows: int = SAMPLE_ROWS, vocabulary: int = VOCABULARY, min_documents: int = 3, steps: int = 400, l2: float = 1e-4,
+    sample_rows: int = SAMPLE_ROWS, min_documents: int = 3, steps: int = 400, l2: float = 1e-4,
 ) -> ToxicityModel:
     """Fit on at most ``sample_rows`` labelled rows. ``grade`` holds 0, 1, 2, ...
 
     With ``binary`` the labels are only 0 and 1, and rows labelled 1 are graded 1 to 3 first: by terciles of how many of their
-    words are marked, that is, occur at least nine times as often in rows labelled 1. Words outside the ``vocabulary`` most
-    frequent of the sample have no weight. Without a labelled row or without words the model gives every text grade 0.
+    words are marked, that is, occur at least nine times as often in rows labelled 1. Words in fewer than ``min_documents`` texts
+    of the sample have no weight. Without a labelled row or without words the model gives every text grade 0.
     """
     sample = keep(labelled_sample(docs, labels, rows=sample_rows, id=id, text=text, label=grade))
     counted = sample.select("text").mapInArrow(_hashes, "words array<long>").select(F.explode("words").alias("word")).groupBy("word").count()
-    top = counted.where(F.col("count") >= min_documents).orderBy(F.desc("count"), "word").limit(vocabulary).toPandas()
-    known = np.sort(top["word"].to_numpy(np.int64).view(np.uint64))
+    known = counted.where(F.col("count") >= min_documents).select("word").toPandas()  # words of the bounded sample
+    known = np.sort(known["word"].to_numpy(np.int64).view(np.uint64))
     none = ToxicityModel(np.zeros(1, np.uint64), np.zeros(1), np.full(1, 30.0))
     if not len(known):
         return none

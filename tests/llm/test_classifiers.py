@@ -89,6 +89,15 @@ def test_grades_are_ordered_by_one_weight_vector(spark):
     assert severity[0] < severity[12] < severity[24] < severity[36]
 
 
+def test_every_word_of_the_sample_has_a_weight(spark):
+    """More than 32,768 other words stand in more texts than the marking one."""
+    many = [" ".join(f"w{i}" for i in range(40_000))] * 8
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(many + ["fine words"] * 4 + ["rareslur words"] * 3)], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i > 11)) for i in range(15)], "doc_id long, toxic int"), grade="toxic", binary=True)
+    assert len(model.vocabulary) == 40_000 + 3
+    assert [r.toxic for r in toxicity.score(docs, model).orderBy("doc_id").collect()] == [False] * 12 + [True] * 3
+
+
 def test_gradient_is_that_of_the_likelihood():
     row, word, value = np.array([0, 1, 2, 2, 3]), np.array([0, 0, 0, 1, 1]), np.array([0.7, 1.4, 2.0, 0.7, 0.7])
     model = toxicity._descend(np.arange(2, dtype=np.uint64), np.array([0, 1, 2, 0]), row, word, value, 3000, 0.05)
