@@ -13,15 +13,20 @@ from ..plans.order import running_sums
 FUNCTIONS = ("count", "mean", "median", "sum", "min", "max", "std", "var", "first", "last", "nunique")
 # The built-in percentile keeps a group's distinct values in one buffer; it is used up to this many of them.
 GROUP_DISTINCT_LIMIT = 1_000_000
+# Where a column's absolute values add up to less than this, no sum of some of them leaves 64 bits.
+SAFE_TOTAL = 2.0**62
 
 
-def _aggregate(df: DataFrame, name: str, function: str, index: str) -> Column:
+def _aggregate(df: DataFrame, name: str, function: str, index: str, large: Mapping[str, bool]) -> Column:
     c = value_of(df, name)
     if function in ("first", "last"):
         if index not in df.columns:
             raise InvalidParameter("index", index, "a row order for first / last")
         at = F.when(c.isNotNull(), ref(index))
         return F.min_by(c, at) if function == "first" else F.max_by(c, at)
+    if function == "sum" and name in large:
+        total = F.coalesce(_wide_sum(c), F.lit(0).cast("decimal(38,0)"))
+        return total.cast("long") if large[name] else total
     if function == "sum":
         total = F.sum(c)  # keeps the kind of its column: whole numbers, decimals or doubles
         return F.coalesce(total, F.lit(0).cast(_sum_type(type_of(df, name))))
@@ -38,11 +43,36 @@ def _sum_type(dtype: T.DataType) -> T.DataType:
     return T.LongType() if isinstance(dtype, INTEGRAL) else T.DoubleType()
 
 
+def _wide_sum(c: Column) -> Column:
+    """The exact sum of whole numbers, decimal(38,0)."""
+    return F.sum(c.cast("decimal(28,0)"))
+
+
+def _large_sums(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> dict[str, bool]:
+    """The whole-number columns that 64 bits may not be enough to sum up, each with whether all groups' sums fit in them after all.
+
+    One pass without a shuffle finds the columns; only these are summed beforehand. A stream can't be.
+    """
+    columns = [c for c in columns if isinstance(type_of(rows, c), (T.IntegerType, T.LongType))]
+    if not columns or rows.isStreaming:
+        return {}
+    totals = rows.agg(*[F.sum(F.abs(ref(c).cast("double"))) for c in columns]).first()
+    large = [c for c, total in zip(columns, totals) if (total or 0.0) >= SAFE_TOTAL]
+    if not large:
+        return {}
+    sums = rows.groupBy(*[ref(k) for k in keys]).agg(*[_wide_sum(ref(c)).alias(f"__s{i}__") for i, c in enumerate(large)])
+    ends = sums.agg(*[F.struct(F.min(f"__s{i}__").alias("low"), F.max(f"__s{i}__").alias("high")) for i in range(len(large))]).first()
+    return {c: -(1 << 63) <= (end["low"] or 0) and (end["high"] or 0) < 1 << 63 for c, end in zip(large, ends)}
+
+
 def group_by_aggregate(
     df: DataFrame, group_by: Sequence[str], aggregations: Mapping[str, str | Sequence[str]], index: str = INDEX,
     distinct_limit: int = GROUP_DISTINCT_LIMIT,
 ) -> DataFrame:
-    """One row per group with ``{column}_{function}`` columns; rows with a null key are left out."""
+    """One row per group with ``{column}_{function}`` columns; rows with a null key are left out.
+
+    Sums are exact for whole numbers: long, or decimal(38,0) for a column of which some group's sum doesn't fit in 64 bits.
+    """
     keys = require(df, group_by)
     require(df, aggregations)
     wanted = [(c, f) for c, fs in aggregations.items() for f in ([fs] if isinstance(fs, str) else fs)]
@@ -55,8 +85,9 @@ def group_by_aggregate(
     medians = list(dict.fromkeys(c for c, f in wanted if f == "median"))
     far = medians if medians and _too_wide(rows, keys, medians, distinct_limit) else []
     near = [(c, f) for c, f in wanted if not (f == "median" and c in far)]
+    large = _large_sums(rows, keys, list(dict.fromkeys(c for c, f in wanted if f == "sum")))
     result = rows.groupBy(*[ref(k) for k in keys]).agg(
-        *[_aggregate(df, c, f, index).alias(f"{c}_{f}") for c, f in near], F.count(F.lit(1)).alias("__rows__")
+        *[_aggregate(df, c, f, index, large).alias(f"{c}_{f}") for c, f in near], F.count(F.lit(1)).alias("__rows__")
     )
     if far:
         result = result.join(group_medians(rows, keys, far), keys, "left")

@@ -45,6 +45,18 @@ def test_group_medians_of_large_groups(spark):
         assert r["v_median"] == pytest.approx(want[r["a"], r["b"]])
 
 
+def test_group_sums_beyond_64_bits(spark):
+    big = 2**62
+    data = [("a", big, big, 1), ("a", big, big, None), ("a", big, -big, 2), ("b", 5, big, 3), ("b", -7, big, 4), ("b", None, -big, 5), ("c", None, None, None)]
+    df = spark.createDataFrame(data, "k string, wide long, fits long, small int").coalesce(1)
+    got = tk.group_by_aggregate(df, ["k"], {"wide": ["sum", "max"], "fits": "sum", "small": "sum"})
+    assert [kind for _, kind in got.dtypes] == ["string", "decimal(38,0)", "bigint", "bigint", "bigint"]
+    found = {r["k"]: (int(r["wide_sum"]), r["fits_sum"], r["small_sum"]) for r in got.collect()}
+    assert found == {"a": (3 * big, big, 3), "b": (-2, big, 12), "c": (0, 0, 0)}
+    low = tk.group_by_aggregate(df.select("k", (-F.col("wide")).alias("v")), ["k"], {"v": "sum"})
+    assert {r["k"]: int(r["v_sum"]) for r in low.collect()} == {"a": -3 * big, "b": 2, "c": 0}
+
+
 def test_group_errors(staff):
     with pytest.raises(ColumnNotFound):
         tk.group_by_aggregate(staff, ["x"], {"pay": "sum"})
