@@ -5,15 +5,15 @@ from __future__ import annotations
 import decimal
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..errors import InvalidParameter
 from ..plans.columns import INDEX, as_double, numeric_columns
-from ..plans.joins import lookup_join
+from ..plans.joins import lookup_join, partitions_for
 from ..plans.metrics import null_counts
 from ..plans.order import running_sums
 from ..plans.store import keep
@@ -21,6 +21,9 @@ from ..plans.store import keep
 METHODS = ("pearson", "spearman", "kendall")
 PAIRS_PER_JOB = 100
 PART_CELLS = 1 << 18  # cells in one range of Kendall's grid
+TASK_ROWS = 1 << 20  # rows that one task sorts or groups at a time
+ESTIMATED = 16  # one group in so many, by its hash, is counted to estimate how many there are
+SLOTS = 8  # for each task, so that tasks get about as many rows
 
 
 def get_correlation_matrix(
@@ -85,24 +88,42 @@ def _spearman(values: DataFrame, k: int) -> dict:
     return out
 
 
+def _grouped(
+    table: DataFrame, cells: Callable[[DataFrame], DataFrame], keys: Sequence[str], sums: dict[str, Column], task_rows: int | None = None,
+) -> DataFrame:
+    """``sums`` of the rows that ``cells`` makes of ``table``, by ``keys``; ``cells`` passes on a column ``slot``.
+
+    Few groups are summed where they are read. Else a task would hold as many as a file's split has, so the table is first dealt
+    out by slots that have nothing to do with its values: groups are summed inside each slot, and then over the slots.
+    """
+    task_rows = task_rows or TASK_ROWS
+    marked = cells(table.withColumn("slot", F.lit(0)))
+    some = marked.select(F.xxhash64(*keys).alias("hash")).filter(F.col("hash") % ESTIMATED == 0)
+    if some.agg(F.approx_count_distinct("hash")).first()[0] * ESTIMATED <= task_rows:
+        return marked.groupBy(*keys).agg(*[c.alias(name) for name, c in sums.items()])
+    parts = partitions_for(table, marked.count(), task_rows)
+    slot = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts * SLOTS))
+    inside = cells(table.withColumn("slot", slot).repartition(parts, "slot")).groupBy("slot", *keys).agg(*[c.alias(name) for name, c in sums.items()])
+    met = inside.withColumn("hash", F.xxhash64(*keys)).repartition(parts, "hash")
+    return met.groupBy("hash", *keys).agg(*[F.sum(name).alias(name) for name in sums]).drop("hash")
+
+
 def _cells(values: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
     """(pair number p, x, y, count w) of the complete rows of every pair, written; equal rows are merged."""
     both = [
         F.when(F.col(f"v{i}").isNotNull() & F.col(f"v{j}").isNotNull(), F.struct(F.lit(p).alias("p"), F.col(f"v{i}").alias("x"), F.col(f"v{j}").alias("y")))
         for p, (i, j) in enumerate(pairs)
     ]
-    rows = values.select(F.explode(F.filter(F.array(*both), lambda c: c.isNotNull())).alias("c")).select("c.*")
-    return keep(rows.groupBy("p", "x", "y").agg(F.count(F.lit(1)).alias("w")))
+    cells = lambda rows: rows.select("slot", F.explode(F.filter(F.array(*both), lambda c: c.isNotNull())).alias("c")).select("slot", "c.*")
+    return keep(_grouped(values, cells, ["p", "x", "y"], {"w": F.count(F.lit(1))}))
 
 
 def _paired_rank_correlations(values: DataFrame, pairs: list[tuple[int, int]]) -> dict:
     """As ``_rank_correlations``, with every step keyed by the number of the pair."""
     cells = _cells(values, pairs)
     sides = F.array(*[F.struct(F.lit(s).alias("s"), F.col(s).alias("v")) for s in ("x", "y")])
-    hist = (
-        cells.select("p", "w", F.explode(sides).alias("c")).groupBy("p", "c.s", "c.v")
-        .agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("rows"))
-    )
+    halves = lambda rows: rows.select("slot", "p", "w", F.explode(sides).alias("c")).select("slot", "p", "w", "c.*")
+    hist = _grouped(cells, halves, ["p", "s", "v"], {"n": F.sum("w"), "rows": F.count(F.lit(1))})
     ranks = keep(
         running_sums(hist, ["p", "s"], ["v"], {"before": "n"}, {"total": "before"})
         .select("p", "s", "v", "rows", (F.col("before") + F.col("n") / F.lit(2.0) - F.col("total") / F.lit(2.0)).alias("dev"))
@@ -110,7 +131,7 @@ def _paired_rank_correlations(values: DataFrame, pairs: list[tuple[int, int]]) -
     ranked = cells
     for s in ("x", "y"):
         mine = ranks.filter(F.col("s") == s).select("p", F.col("v").alias(s), F.col("dev").alias(f"d{s}"), F.col("rows").alias("__rows__"))
-        ranked = lookup_join(ranked, mine, ["p", s], "__rows__").drop("__rows__")
+        ranked = lookup_join(ranked, mine, ["p", s], "__rows__", task_rows=TASK_ROWS).drop("__rows__")
     sums = ranked.groupBy("p").agg(*[F.sum(F.col(f"d{a}") * F.col(f"d{b}") * F.col("w")).alias(a + b) for a, b in ("xy", "xx", "yy")])
     found = {r["p"]: _ratio(r["xy"], math.sqrt(r["xx"]), math.sqrt(r["yy"])) for r in sums.collect()}  # one row per pair
     return {pair: found.get(p, 0.0) for p, pair in enumerate(pairs)}
@@ -122,18 +143,21 @@ def _rank_correlations(complete: DataFrame, numbers: list[int]) -> dict:
     Equal rows are merged first and numbered where they are written. Ranks come from running counts over each column's distinct
     values, all columns in one pass. One join on (column, value), with hot values salted, brings all ranks to the cells of the rows,
     and the cells of a row meet again by its number: one join and one grouping, however many columns there are. The mean rank
-    (n + 1) / 2 is known, so one weighted sum per pair is all that is left.
+    (n + 1) / 2 is known, so one weighted sum per pair is all that is left. What a task sorts or groups is bounded by rows.
     """
     cols = [f"v{i}" for i in numbers]
-    rows = keep(complete.groupBy(*cols).agg(F.count(F.lit(1)).alias("w")).withColumn("row", F.monotonically_increasing_id()))
-    cells = rows.select("row", "w", F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"v{i}").alias("v")) for i in numbers])).alias("x"))
-    cells = cells.select("row", "w", "x.c", "x.v")
-    hist = cells.groupBy("c", "v").agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("rows"))
+    merged = _grouped(complete, lambda rows: rows, cols, {"w": F.count(F.lit(1))})
+    rows = keep(merged.withColumn("row", F.monotonically_increasing_id()))
+    each = F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"v{i}").alias("v")) for i in numbers])
+    cells = rows.select("row", "w", F.explode(each).alias("x")).select("row", "w", "x.c", "x.v")
+    slotted = lambda rows: rows.select("slot", "w", F.explode(each).alias("x")).select("slot", "w", "x.*")
+    hist = _grouped(rows, slotted, ["c", "v"], {"n": F.sum("w"), "rows": F.count(F.lit(1))})
     ranks = keep(
         running_sums(hist, ["c"], ["v"], {"before": "n"}, {"total": "before"})
         .select("c", "v", "rows", (F.col("before") + F.col("n") / F.lit(2.0) - F.col("total") / F.lit(2.0)).alias("dev"))
     )
-    placed = lookup_join(cells, ranks, ["c", "v"], "rows")
+    placed = lookup_join(cells, ranks, ["c", "v"], "rows", task_rows=TASK_ROWS)
+    placed = placed.repartition(partitions_for(rows, rows.count(), TASK_ROWS), "row")  # a task before the shuffle has hardly two cells of a row
     ranked = placed.groupBy("row").agg(F.first("w").alias("w"), *[F.max(F.when(F.col("c") == i, F.col("dev"))).alias(f"d{i}") for i in numbers])
     pairs = list(itertools.combinations_with_replacement(numbers, 2))
     if len(pairs) > PAIRS_PER_JOB:

@@ -5,10 +5,12 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import tablekit as tk
 from tablekit.errors import ColumnNotFound, InvalidParameter
 from tablekit.operators import correlation
+from tablekit.plans import joins
 
 
 def table(spark, n=60, nulls=True, seed=1):
@@ -147,3 +149,28 @@ def test_spearman_joins_ranks_once_for_all_columns(spark, monkeypatch):
     assert joined == [["c", "v"]]
     want = pd.DataFrame(data).corr(method="spearman")
     assert all(r == pytest.approx(want.loc[int(x[1:]), int(y[1:])], abs=1e-9) for (x, y), r in got.items())
+
+
+@pytest.mark.parametrize("method", ["spearman", "kendall"])
+@pytest.mark.parametrize("nulls", [False, True])
+def test_ranks_from_tasks_of_few_rows(spark, monkeypatch, method, nulls):
+    """More groups than a task holds: rows are dealt out first. Zeros of both signs are one value; rows come twice, a quarter of them alike."""
+    monkeypatch.setattr(correlation, "TASK_ROWS", 20)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    data, _ = table(spark, nulls=nulls, seed=6)
+    data = data * 2 + [(0.0, -0.0, 1.0, 5.0), (-0.0, 0.0, 1.0, 5.0)] * 20
+    got = matrix(spark.createDataFrame(data, "a double, b double, c double, flat double").repartition(4), method)
+    want = pd.DataFrame(data, columns=["a", "b", "c", "flat"]).corr(method=method) if method == "spearman" else None
+    for x, y in itertools.permutations(range(4), 2):
+        complete = [(r[x], r[y]) for r in data if r[x] is not None and r[y] is not None]
+        r = tau_b(*zip(*complete)) if want is None else want.fillna(0.0).iloc[x, y]
+        assert got["abc"[x] if x < 3 else "flat", "abc"[y] if y < 3 else "flat"] == pytest.approx(r, abs=1e-9), (x, y)
+
+
+def test_groups_of_many_values_meet_in_bounded_tasks(spark):
+    """Two hundred values once each and one a thousand times: no task has many of the groups, and the sums are whole."""
+    df = spark.range(1200).selectExpr("CASE WHEN id < 200 THEN id + 0.5D ELSE -1.0D END AS v")
+    grouped = correlation._grouped(df, lambda rows: rows, ["v"], {"n": F.count(F.lit(1))}, task_rows=20)
+    parts = grouped.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("groups")).collect()
+    assert len(parts) > 10 and max(r["groups"] for r in parts) < 40
+    assert {r["v"]: r["n"] for r in grouped.collect()} == {**{i + 0.5: 1 for i in range(200)}, -1.0: 1000}

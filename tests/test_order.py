@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import tablekit as tk
 from tablekit.errors import InvalidParameter
+from tablekit.plans import joins
 from tablekit.plans.joins import lookup_join
 from tablekit.plans.order import last_before, running_sums, sums_before
 
@@ -133,3 +134,24 @@ def test_null_clusters_across_blocks(spark, bits):
             else:
                 runs, length = runs + (length > 1), 0
         assert got[c] == runs
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_lookup_join_with_a_bound_on_the_rows_of_a_task(spark, monkeypatch, how):
+    """A key with half of the rows and both zeros as one key; Spark doesn't merge the small partitions again."""
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    key = F.when(F.col("id") % 2 == 0, F.lit(7.5)).when(F.col("id") % 9 == 0, F.lit(-0.0)).otherwise(F.col("id") % 100)
+    big = spark.range(4000).select("id", key.alias("k"))
+    counts = {}
+    for r in big.collect():
+        counts[r["k"] + 0.0] = counts.get(r["k"] + 0.0, 0) + 1
+    small = spark.createDataFrame([(k, n, f"of {k}") for k, n in counts.items() if k != 99.0], "k double, n long, name string")
+    got = lookup_join(big, small, ["k"], "n", how, task_rows=100)
+    assert got.columns == (["k", "id"] if how == "left_semi" else ["k", "id", "n", "name"])
+    want = {r["id"]: None if r["k"] == 99.0 else f"of {r['k'] + 0.0}" for r in big.collect() if how == "left" or r["k"] != 99.0}
+    found = got.collect()
+    assert len(found) == len(want) and {r["id"] for r in found} == set(want)
+    if how != "left_semi":
+        assert {r["id"]: r["name"] for r in found} == want
+    parts = [r["count"] for r in got.groupBy(F.spark_partition_id().alias("part")).count().collect()]
+    assert len(parts) > 20 and max(parts) < 400
