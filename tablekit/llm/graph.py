@@ -25,8 +25,24 @@ def components(edges: DataFrame) -> DataFrame:
         edges = keep(moved.select(F.col("x").alias("a"), F.col("to").alias("b")).where("a <> b").distinct())
     if not steps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    found = steps[0].select(F.col("a").alias("node"), F.col("to").alias("root"))
-    for step in steps[1:]:
-        later = step.select(F.col("a").alias("root"), F.col("to").alias("next"))
-        found = keep(found.join(later, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
+    # From the last and smallest round to the first, so that only one join has all nodes.
+    found = steps[-1].select(F.col("a").alias("node"), F.col("to").alias("root"))
+    for step in reversed(steps[:-1]):
+        later = found.select(F.col("node").alias("to"), "root")
+        found = keep(step.join(later, "to", "left").select(F.col("a").alias("node"), F.coalesce("root", "to").alias("root")))
     return found
+
+
+def extended(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """The ``components`` of the edges that gave ``roots`` and of ``edges`` together.
+
+    Edges are carried over to the roots first, so that the rounds see only what connects different components.
+    """
+    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    carried = edges.select("a", "b").join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+    more = components(carried.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")))
+    if more.isEmpty():
+        return roots
+    later = more.select(F.col("node").alias("root"), F.col("root").alias("next"))
+    moved = roots.join(later, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return keep(moved.unionByName(more.join(roots.select("node"), "node", "left_anti")))

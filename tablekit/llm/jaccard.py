@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..plans.joins import bounded, lookup_join
 from ..plans.store import keep
-from .graph import components
+from .graph import components, extended
 from .words import BLANK_SEPARATED, mix, runs, slices, words
 
 #: Frequent shingles that are put last, at most; they are broadcast.
@@ -87,7 +87,7 @@ def _frequent(docs: DataFrame, size: int, threshold: float, most: int) -> np.nda
         least = level["seen"]
     if least is None:
         return np.zeros(0, np.uint64)
-    return np.sort(counts.where(F.col("seen") >= least).select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))
+    return np.sort(counts.where(F.col("seen") >= least).select("token").toArrow()["token"].to_numpy().view(np.uint64))
 
 
 def _described(size: int, threshold: float, frequent):
@@ -330,7 +330,7 @@ class _Join:
         schema = f"id {dict(docs.dtypes)['id']}, key long, n long, name string, node long, first array<long>, bitmap binary"
         self.sets = keep(docs.mapInArrow(_described(size, threshold, late), schema))
         filled = self.sets.where("n > 0")
-        self.classes = filled.groupBy("name").agg(F.min("id").alias("least"), F.min(F.struct("id", "key")).alias("shown"), F.count("*").alias("copies"))
+        self.classes = keep(filled.groupBy("name", "node").agg(F.min("id").alias("least"), F.min(F.struct("id", "key")).alias("shown"), F.count("*").alias("copies")))
 
     def members(self) -> DataFrame:
         """``hub`` and ``node`` with its ``n`` and the number of buckets in which it meets the hub, the smallest node there."""
@@ -347,7 +347,7 @@ class _Join:
         """Names ``a`` and ``b`` of the pairs ``x``, ``y`` of nodes whose sets are similar."""
         pairs = keep(pairs)
         needed = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
-        chosen = self.sets.select("name", "node").distinct().join(needed, "node").join(self.classes, "name").select("name", "node", "shown")
+        chosen = self.classes.join(needed, "node").select("name", "node", "shown")
         shown = (F.col("id").eqNullSafe(F.col("shown.id"))) & (F.col("key") == F.col("shown.key"))
         texts = self.docs.join(chosen, shown).groupBy("name", "node").agg(F.min("text").alias("text"))
         texts = keep(texts)
@@ -363,7 +363,7 @@ class _Join:
 
     def rest(self, members: DataFrame, roots: DataFrame, sparse: bool) -> DataFrame:
         """Candidates from the groups that hold several components."""
-        named = self.sets.where("n > 0").select("name", "node").distinct().join(roots, F.col("name") == roots["node_name"], "inner")
+        named = self.classes.select("name", "node").join(roots, F.col("name") == roots["node_name"], "inner")
         labelled = members.join(named.groupBy("node").agg(F.min(F.xxhash64("root")).alias("root")), "node", "left")
         labelled = keep(labelled.select("hub", "node", "n", F.coalesce("root", F.xxhash64("node")).alias("root")))
         groups = labelled.groupBy("hub").agg(F.count("*").alias("many"), F.min("root").alias("low"), F.max("root").alias("high"))
@@ -394,13 +394,11 @@ def similarity_join(
     named = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
     join = _Join(named, size, threshold, block, frequent)
     members = join.members()
-    first = join.verified(join.stars(members))
-    links, roots = first, components(first)
+    roots = components(join.verified(join.stars(members)))
     for sparse in (True, False):
-        links = links.unionByName(join.verified(join.rest(members, roots.withColumnRenamed("node", "node_name"), sparse)))
-        roots = components(links)
+        roots = extended(roots, join.verified(join.rest(members, roots.withColumnRenamed("node", "node_name"), sparse)))
     # Only classes with links or copies differ from documents that stand alone.
-    notable = join.classes.join(roots, F.col("name") == F.col("node"), "left").where("copies > 1 or root is not null")
+    notable = join.classes.drop("node").join(roots, F.col("name") == F.col("node"), "left").where("copies > 1 or root is not null")
     notable = keep(notable.select("name", "least", F.coalesce("root", "name").alias("root")))
     smallest = notable.groupBy("root").agg(F.min("least").alias("component_id"))
     answers = notable.join(smallest, "root").select("name", "component_id", "root")

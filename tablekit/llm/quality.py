@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .training import labelled_sample
@@ -70,10 +71,12 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     """The vector of each slot from all rows of ``docs``, weighted down for frequent words."""
     names = ["seen", *(f"c{k}" for k in range(DIMENSIONS))]
     parts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_contexts, "slot int, " + ", ".join(f"{n} long" for n in names))
-    sums = parts.groupBy("slot").agg(*[F.sum(n).alias(n) for n in names]).toPandas().sort_values("slot")
+    sums = parts.groupBy("slot").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
     vectors, seen = np.zeros((BUCKETS, DIMENSIONS)), np.zeros(BUCKETS)
-    slot = sums["slot"].to_numpy(np.int64)
-    vectors[slot], seen[slot] = sums[names[1:]].to_numpy(float), sums["seen"].to_numpy(float)
+    slot = sums["slot"].to_numpy()
+    for k, n in enumerate(names[1:]):
+        vectors[slot, k] = sums[n].to_numpy()
+    seen[slot] = sums["seen"].to_numpy()
     share = seen / max(1.0, seen.sum())
     vectors -= vectors.sum(axis=0) * share[:, None]  # what a word's neighbours have beyond those of any word
     length = np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -121,10 +124,20 @@ class QualityModel:
 def _pooled(held):
     def pooled(batches):
         for batch in slices(batches, "text", _SLICE):
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(list(pool(batch.column("text"), held.value)), pa.list_(pa.float64()))], ["id", "label", "pooled"])
+            rows = pa.array([x.tobytes() for x in pool(batch.column("text"), held.value)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), rows], ["id", "label", "pooled"])
     return pooled
 
 
+def _gathered(sample: DataFrame, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pooled vectors and labels of a sample, by the hash of the id. They reach the driver as bytes, never as a Python object for each number."""
+    held = sample.sparkSession.sparkContext.broadcast(vectors)
+    rows = sample.mapInArrow(_pooled(held), f"id {dict(sample.dtypes)['id']}, label int, pooled binary").withColumn("at", F.xxhash64("id")).toArrow()
+    rows = rows.take(pc.sort_indices(rows.select(["at", "id"]), [("at", "ascending"), ("id", "ascending")]))
+    x = np.frombuffer(b"".join(rows["pooled"].to_pylist())).reshape(rows.num_rows, 2 * DIMENSIONS)
+    return x, rows["label"].to_numpy().astype(float)
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", label: str = "quality",
     allowed: Column | None = None, sample_rows: int = SAMPLE_ROWS, hidden: int = 32, epochs: int = 60,
@@ -136,14 +149,12 @@ def fit(
     """
     vectors = word_vectors(docs, text)
     sample = labelled_sample(docs, labels, rows=sample_rows, id=id, text=text, label=label, allowed=allowed)
-    held = docs.sparkSession.sparkContext.broadcast(vectors)
-    rows = sample.mapInArrow(_pooled(held), f"id {dict(sample.dtypes)['id']}, label int, pooled array<double>").withColumn("at", F.xxhash64("id")).toPandas().sort_values(["at", "id"])
+    x, y = _gathered(sample, vectors)
     width = 2 * DIMENSIONS
-    if rows.empty or rows["label"].nunique() < 2:
-        good = (rows["label"].sum() + 1) / (len(rows) + 2)
+    if len(set(y.tolist())) < 2:
+        good = (y.sum() + 1) / (len(y) + 2)
         layers = (np.zeros((width, 1)), np.zeros(1), np.zeros(1), float(np.log(good / (1 - good))))
         return QualityModel(vectors, np.zeros(width), np.ones(width), layers, 1.0)
-    x, y = np.stack(rows["pooled"].to_numpy()), rows["label"].to_numpy(float)
     apart = np.arange(len(y)) % 5 == 0
     mean, scale = x[~apart].mean(axis=0), x[~apart].std(axis=0) + 1e-6
     model = QualityModel(vectors, mean, scale, _train((x[~apart] - mean) / scale, y[~apart], hidden, epochs), 1.0)

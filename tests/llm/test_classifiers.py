@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -124,3 +125,17 @@ def test_toxicity_edge_cases(spark, binary):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels, grade="toxic")).count() == 0
     assert not any(r.toxic for r in toxicity.score(docs, toxicity.fit(docs, labels.limit(0), grade="toxic")).collect())
     assert len(scores[0]) == 5
+
+
+def test_a_labelled_sample_reaches_the_driver_as_bytes(spark):
+    """Sixteen thousand pooled vectors are 16 MB, not a Python object for each of their two million numbers."""
+    rows = 16_000
+    docs = spark.range(rows).selectExpr("id AS doc_id", "concat('word', id % 97, ' other', id % 89, ' last') AS text")
+    labels = spark.range(rows).selectExpr("id AS doc_id", "int(id % 2) AS quality")
+    tracemalloc.start()
+    try:
+        quality.fit(docs, labels, epochs=0)
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert peak < 70

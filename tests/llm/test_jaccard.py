@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tablekit.llm import jaccard
+from tablekit.llm import graph, jaccard
 from tablekit.llm.queries import QUERIES
 
 DATA = "/root/testdata/sf0.01"
@@ -148,3 +148,31 @@ def test_missing_ids_and_empty_table(spark):
     nameless = spark.createDataFrame([(None, long), (None, long + " 60")], "doc_id long, text string")
     assert [r.component_id for r in jaccard.similarity_join(nameless).collect()] == [None, None]
     assert jaccard.similarity_join(df.limit(0)).count() == 0
+
+
+def test_later_parts_work_on_new_links_only(spark, monkeypatch):
+    """The first part links long chains; what the others add costs a few tables, not all rounds anew."""
+    draw = random.Random(4)
+    texts = []
+    for _ in range(40):
+        words = [f"w{draw.randrange(10**6)}" for _ in range(120)]
+        for _ in range(12):
+            texts.append(" ".join(words))
+            words = list(words)
+            words[draw.randrange(5, 120)] = f"x{draw.randrange(10**6)}"
+    docs = list(enumerate(texts))
+    written = []
+    monkeypatch.setattr(graph, "keep", lambda df, f=graph.keep: written.append(1) or f(df))
+    assert joined(spark.createDataFrame(docs, "doc_id long, text string"), size=3, threshold=0.9) == brute.similar(docs, 3, 0.9)
+    assert len(written) <= 35
+
+
+def test_components_with_more_edges(spark):
+    draw = random.Random(6)
+    for n, first, more in ((40, 25, 20), (40, 0, 20), (40, 25, 0), (10, 60, 10)):
+        edges = [(f"n{draw.randrange(n)}", f"n{draw.randrange(n)}") for _ in range(first + more)]
+        one, two, whole = (spark.createDataFrame(e, "a string, b string") for e in (edges[:first], edges[first:], edges))
+        got = {r.node: r.root for r in graph.extended(graph.components(one), two).collect()}
+        want = {r.node: r.root for r in graph.components(whole).collect()}
+        assert got.keys() == want.keys() and all(got[r] == r for r in got.values())
+        assert len({(got[x], want[x]) for x in got}) == len(set(got.values())) == len(set(want.values()))
